@@ -122,7 +122,7 @@ SPAN_SCORES = {
     "IP_ADDRESS": 0.6,
 }
 WEAK_SPAN_SCORE = 0.05
-BARE_DIGITS_PATTERN = r"^\d+$"
+BARE_DIGITS_PATTERN = r"^\s?\d+$"
 IP_PATTERN = r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b"
 IP_LIKE_PATTERN = r"\b\d{1,3}(?:\.\d{1,3}){3}\b"
 

@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# At most this many texts are salted. Any text beyond them has fewer copies than
-# each of them, so no join key is left with more than 1/1000 of the rows.
-HOT_TEXTS = 1000
+# A text is hot from 1/1000 of all rows on, so there are fewer than 1000 hot texts
+# however large the table is: their keys fit into any broadcast.
+HOT_SHARE = 1000
 
 
 def text_key(text: Column) -> Column:
-    """SHA-256 of the text, 32 bytes."""
-    return F.unhex(F.sha2(text, 256))
+    """SHA-256 of the text, 32 bytes.
+
+    Never null, so that joins on it add no null test; pushed below the
+    projection, such a test would hash every text a second time.
+    """
+    return F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(bytearray(b"")))
 
 
 def per_distinct_text(
@@ -26,34 +30,32 @@ def per_distinct_text(
 ) -> DataFrame:
     """Apply ``work`` to the distinct texts and join its columns back to all rows.
 
-    ``work`` gets ``(text_col)`` and may add columns; it must not drop rows. Rows
-    carry only their key through the join, the text comes back from the distinct
-    side. Copies are combined on the map side before the first shuffle. A text
-    with more than ``rows_per_salt`` copies is spread over several join keys,
-    with its one result repeated for each: no task gets all copies of it.
+    ``work`` gets a key column and ``text_col``; it may add columns, and must keep
+    the key and every row. Rows carry only their key through the join, the text
+    comes back from the distinct side. Copies are combined on the map side before
+    the first shuffle, which also serves to find the hot texts. A hot text is
+    spread over several join keys, with its one result repeated for each, so no
+    task gets all copies of it.
     """
     keyed = df.withColumn("_key", text_key(F.col(text_col)))
     distinct = keyed.groupBy("_key", text_col).agg(F.count(F.lit(1)).alias("_copies"))
-    hot = (
-        distinct.where(F.col("_copies") > rows_per_salt)
-        .orderBy(F.col("_copies").desc(), "_key")
-        .limit(HOT_TEXTS)
-        .select("_key", F.ceil(F.col("_copies") / rows_per_salt).cast("int").alias("_salts"))
-    )
-    salts = F.coalesce(F.col("_salts"), F.lit(1))
-
-    results = work(distinct.select("_key", text_col))
-    one_per_salt = (
-        results.join(F.broadcast(hot), "_key", "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-        .drop("_salts")
-    )
-    rows = (
-        keyed.drop(text_col)
-        .join(F.broadcast(hot), "_key", "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(id_col), salts).cast("int"))
-        .drop("_salts")
+    n_rows = distinct.agg(F.sum("_copies").alias("n")).scalar()
+    limit = F.greatest(F.lit(float(rows_per_salt)), n_rows / HOT_SHARE)
+    salted = distinct.select(
+        "_key",
+        text_col,
+        F.when(F.col("_copies") > limit, F.ceil(F.col("_copies") / rows_per_salt).cast("int"))
+        .otherwise(F.lit(1))
+        .alias("_salts"),
     )
-    joined = rows.join(one_per_salt, ["_key", "_salt"]).drop("_key", "_salt")
-    added = [c for c in results.columns if c not in ("_key", text_col) and c not in df.columns]
+    hot = salted.where(F.col("_salts") > 1).select(F.col("_key").alias("_hot_key"), F.col("_salts").alias("_hot_salts"))
+
+    results = work(salted)
+    one_per_salt = results.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    rows = keyed.drop(text_col).join(F.broadcast(hot), F.col("_key") == F.col("_hot_key"), "left")
+    rows = rows.withColumn(
+        "_salt", F.pmod(F.xxhash64(id_col), F.coalesce(F.col("_hot_salts"), F.lit(1))).cast("int")
+    ).drop("_hot_key", "_hot_salts")
+    joined = rows.join(one_per_salt.drop("_salts"), ["_key", "_salt"])
+    added = [c for c in results.columns if c not in ("_key", "_salts", text_col) and c not in df.columns]
     return joined.select(*df.columns, *added)

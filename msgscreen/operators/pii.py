@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.patterns import empty_array, find_all
+from ..functions.patterns import empty_array, find_all, matches
 
 # Types in the order their values are reported and replaced.
 SUPPLEMENT_TYPES = ("EMAIL_ADDRESS", "PHONE_NUMBER", "US_SSN", "CREDIT_CARD", "PERSON")
@@ -18,7 +18,8 @@ def emails(text: Column) -> Column:
 
 
 def phones(text: Column) -> Column:
-    return find_all(text, fv.PHONE_PATTERN)
+    # The pattern tries several optional parts at every word; most texts hold no digit at all.
+    return F.when(matches(text, r"\d"), find_all(text, fv.PHONE_PATTERN)).otherwise(empty_array())
 
 
 def ssns(text: Column) -> Column:

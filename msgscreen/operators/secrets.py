@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,15 +12,15 @@ from ..functions import fixed_values as fv
 from ..functions.patterns import find_all, matches
 
 SECRET_FIELDS = "struct<detected:boolean,is_valid:boolean,risk_score:double,custom_secrets_types:array<string>>"
-# Patterns that hold an assignment sign; texts without one skip them.
-_ASSIGNMENTS = (0, 4, 5, 7)
+# Literals of which every match holds at least one; texts without them skip the pattern.
+_NEEDS = (("=", ":"), ("-",), ("_",), (), ("=", ":"), ("=", ":"), (), ("=", ":"))
 
 
 def has_secret(text: Column, pattern_no: int) -> Column:
-    _, pattern = fv.SECRET_PATTERNS[pattern_no]
-    hit = matches(text, pattern, ignore_case=True)
-    if pattern_no in _ASSIGNMENTS:
-        hit = (F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))) & hit
+    hit = matches(text, fv.SECRET_PATTERNS[pattern_no][1], ignore_case=True)
+    literals = [F.contains(text, F.lit(x)) for x in _NEEDS[pattern_no]]
+    if literals:
+        hit = reduce(or_, literals) & hit
     return F.coalesce(hit, F.lit(False))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.patterns import empty_array, find_all, gaps
+from ..functions.patterns import empty_array, find_all, gaps, matches
 
 SPAN_FIELDS = "struct<start:int,end:int,type:string,score:double,value:string>"
 TOKEN_SPAN_FIELDS = (
@@ -28,7 +28,7 @@ TOKEN_SPAN_FIELDS = (
 class Recognizer:
     """A pattern whose last group is the entity (group 0: the whole match).
 
-    ``needs`` is a literal every match holds; texts without it skip the pattern.
+    ``needs`` is a cheap pattern found in every text that matches; other texts skip the recogniser.
     """
 
     type: str
@@ -49,7 +49,7 @@ RECOGNIZERS = {
     "email": Recognizer("EMAIL_ADDRESS", fv.EMAIL_PATTERN, fv.SPAN_SCORES["EMAIL_ADDRESS"], needs="@"),
     "phone": Recognizer(
         "PHONE_NUMBER", fv.PHONE_PATTERN, fv.SPAN_SCORES["PHONE_NUMBER"],
-        weak_pattern=fv.BARE_DIGITS_PATTERN,
+        weak_pattern=fv.BARE_DIGITS_PATTERN, needs=r"\d",
     ),
     "ssn": Recognizer("US_SSN", fv.SSN_PATTERN, fv.SPAN_SCORES["US_SSN"], needs="-"),
     "card": Recognizer("CREDIT_CARD", fv.CARD_PATTERN, fv.SPAN_SCORES["CREDIT_CARD"]),
@@ -59,7 +59,7 @@ RECOGNIZERS = {
     "name_greeting": Recognizer(
         "PERSON", phrase_ignoring_case(fv.NAME_GREETING_PATTERN), fv.SPAN_SCORES["PERSON"], group=1
     ),
-    "ip": Recognizer("IP_ADDRESS", fv.IP_PATTERN, fv.SPAN_SCORES["IP_ADDRESS"], needs="."),
+    "ip": Recognizer("IP_ADDRESS", fv.IP_PATTERN, fv.SPAN_SCORES["IP_ADDRESS"], needs=r"\d\."),
 }
 STANDARD_RECOGNIZERS = ("email", "phone", "ssn", "card", "name_intro", "name_greeting")
 
@@ -91,7 +91,7 @@ def _matches(text: Column, recognizer: Recognizer) -> Column:
     found = find_all(text, recognizer.pattern)
     if recognizer.needs is None:
         return found
-    return F.when(F.contains(text, F.lit(recognizer.needs)), found).otherwise(empty_array())
+    return F.when(matches(text, recognizer.needs), found).otherwise(empty_array())
 
 
 def _locate(text: Column, recognizer: Recognizer, whole: Column) -> Column:

@@ -170,7 +170,7 @@ def scan_distinct(df: DataFrame, config: ScreenConfig = ScreenConfig(), lexicon:
 
     def work(texts: DataFrame) -> DataFrame:
         return decide(detect(gate(texts, config), config, lexicon, **models), config).select(
-            "_key", "message", *RESPONSE_COLUMNS, *extra
+            "_key", "_salts", "message", *RESPONSE_COLUMNS, *extra
         )
 
     out = per_distinct_text(routing.accepted(df), work)
