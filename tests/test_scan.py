@@ -1,4 +1,5 @@
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -226,17 +227,26 @@ def test_sinks(spark, messages, tmp_path):
     out = scan(messages("a@b.co", "password: x1", "fine"))
     write_responses(out, str(tmp_path / "responses"))
     back = spark.read.parquet(str(tmp_path / "responses"))
-    assert back.where("allowed").count() == 2 and set(RESPONSE_COLUMNS) <= set(back.columns)
+    assert back.where("allowed = 'true'").count() == 2 and set(RESPONSE_COLUMNS) <= set(back.columns)
     write_routes(route(out), str(tmp_path / "routes"))
     assert {r.route for r in spark.read.parquet(str(tmp_path / "routes")).collect()} == {"forward", "reply"}
     record = json.loads(as_json(out).where("msg_id = '2'").first().response)
     assert record["allowed"] is True and record["violations"] == [] and record["llm_handoff"] is None
 
 
-def test_shared_dir_follows_the_session(spark, monkeypatch):
-    spark.conf.set("spark.checkpoint.dir", "/tmp/shared-folder/")
-    try:
-        assert shared_dir(spark, "x").startswith("/tmp/shared-folder/x-")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
-    assert shared_dir(spark, "x") != shared_dir(spark, "x")
+def session(master, **settings):
+    """Only what ``shared_dir`` asks a session for."""
+    conf = SimpleNamespace(get=lambda key, default=None: settings.get(key.replace(".", "_"), default))
+    return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+
+
+def test_shared_dir_follows_the_session():
+    on_cluster = session("yarn", spark_checkpoint_dir="hdfs://shared/folder/")
+    assert shared_dir(on_cluster, "x").startswith("hdfs://shared/folder/x-")
+    assert shared_dir(on_cluster, "x") != shared_dir(on_cluster, "x")
+
+
+def test_shared_dir_is_never_machine_local_on_a_cluster():
+    with pytest.raises(ValueError):
+        shared_dir(session("yarn"), "x")
+    assert "msgscreen-" in shared_dir(session("local[2]"), "x")
