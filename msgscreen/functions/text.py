@@ -23,19 +23,20 @@ def model_input(text: Column, chars: int = fv.MODEL_INPUT_CHARS) -> Column:
 
 
 def length_label(chars: Column) -> Column:
-    bound, label = fv.LENGTH_LABELS[0]
-    out = F.when(chars < bound, label)
-    for bound, label in fv.LENGTH_LABELS[1:]:
-        out = out.when(chars < bound, label)
-    return out.otherwise(fv.LENGTH_LABEL_REST)
+    return _label(fv.LENGTH_LABELS, lambda bound: chars < bound, fv.LENGTH_LABEL_REST)
 
 
 def confidence_label(score: Column) -> Column:
-    bound, label = fv.CONFIDENCE_LABELS[0]
-    out = F.when(score >= bound, label)
-    for bound, label in fv.CONFIDENCE_LABELS[1:]:
-        out = out.when(score >= bound, label)
-    return out.otherwise(fv.CONFIDENCE_LABEL_REST)
+    return _label(fv.CONFIDENCE_LABELS, lambda bound: score >= bound, fv.CONFIDENCE_LABEL_REST)
+
+
+def _label(labels, applies, rest: str) -> Column:
+    """The first label whose bound applies."""
+    (bound, label), *more = labels
+    out = F.when(applies(bound), label)
+    for bound, label in more:
+        out = out.when(applies(bound), label)
+    return out.otherwise(rest)
 
 
 def words(text: Column) -> Column:

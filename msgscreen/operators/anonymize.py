@@ -14,159 +14,137 @@ from pyspark.sql import functions as F
 
 from ..config import ScreenConfig
 from ..functions import fixed_values as fv
-from ..functions.patterns import empty_array, find_all
+from ..functions.patterns import empty_array, find_all, holds_any, jvm_pattern, only_if, quoted
 from . import pii, spans
 
 ENTITY_FIELDS = "struct<type:string,value:string,token:string,source:string>"
 
 
-def entity(type_: Column, value: Column, token: Column, source: str) -> Column:
-    return F.struct(
-        type_.alias("type"), value.alias("value"), token.alias("token"), F.lit(source).alias("source")
-    )
-
-
-def find_tokens(text: Column) -> Column:
+def find_tokens(text: str) -> Column:
     """Redaction tokens standing in the text, typed ones included."""
-    return F.when(F.contains(text, F.lit("[")), find_all(text, fv.TOKEN_PATTERN)).otherwise(empty_array())
-
-
-def token_types(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t: F.regexp_extract(t, "(?U)" + fv.TOKEN_PATTERN, 1))
+    return F.expr(only_if(holds_any(text, "["), find_all(text, fv.TOKEN_PATTERN)))
 
 
-def bind_tokens(tokens: Column, types: Column, values: dict[str, Column]) -> Column:
+def bind_tokens(tokens: str, types: str, nth: str, values: dict[str, str]) -> Column:
     """Entities for the tokens in the text: the n-th token of a type takes its n-th value."""
-
-    def bind(token: Column, i: Column) -> Column:
-        type_ = F.get(types, i)
-        n = F.size(F.filter(F.slice(types, F.lit(1), i), lambda t: t == type_))
-        value = F.lit(None).cast("string")
-        for name, found in values.items():
-            value = F.when(type_ == name, F.get(found, n)).otherwise(value)
-        return entity(type_, F.coalesce(value, F.lit(fv.REDACTED_VALUE)), token, "pii")
-
-    return F.transform(tokens, bind)
+    cases = " ".join(f"when {quoted(t)} then get({c}, {nth}[i])" for t, c in values.items())
+    return F.expr(
+        f"""
+        transform({tokens}, (t, i) -> named_struct(
+          'type', {types}[i], 'value', coalesce(case {types}[i] {cases} end, {quoted(fv.REDACTED_VALUE)}),
+          'token', t, 'source', 'pii'))"""
+    )
 
 
-def fallback_entities(types: Column, values: dict[str, Column]) -> Column:
+def fallback_entities(types: str, values: dict[str, str]) -> Column:
     """Entities of every type no token was bound to, in type and value order."""
+    per_type = [
+        f"""case when array_contains({types}, {quoted(t)}) then {empty_array(ENTITY_FIELDS)}
+        else transform({c}, (v, i) -> named_struct(
+          'type', {quoted(t)}, 'value', v, 'token', concat('[{t}_', i, ']'), 'source', 'regex_fallback')) end"""
+        for t, c in values.items()
+    ]
+    return F.expr(f"concat({', '.join(per_type)})")
 
-    def of_type(name: str, found: Column) -> Column:
-        listed = F.transform(
-            found,
-            lambda v, i: entity(
-                F.lit(name), v, F.concat(F.lit(f"[{name}_"), i.cast("string"), F.lit("]")), "regex_fallback"
-            ),
-        )
-        return F.when(F.array_contains(types, name), empty_array(ENTITY_FIELDS)).otherwise(listed)
-
-    return F.concat(*[of_type(n, v) for n, v in values.items()])
 
-
-def replace_values(text: Column, entities: Column) -> Column:
+def replace_values(text: str, entities: str) -> Column:
     """Replace each value everywhere, one after the other, in the text changed so far."""
-    return F.aggregate(entities, text, lambda acc, e: F.replace(acc, e["value"], e["token"]))
+    return F.expr(f"aggregate({entities}, {text}, (a, e) -> replace(a, e.value, e.token))")
 
 
-def first_per_token(entities: Column, tokens: Column) -> Column:
+def first_per_token(entities: str, tokens: str) -> Column:
     """The first entity of each token, order kept; ``tokens`` are those of the entities."""
-    return F.filter(entities, lambda e, i: F.array_position(tokens, e["token"]) == i + 1)
-
-
-def anonymize(
-    df: DataFrame,
-    config: ScreenConfig = ScreenConfig(),
-    text_col: str = "message",
-    plugin_spans: str | None = None,
-) -> DataFrame:
-    """Add ``sanitized_text`` and ``entities`` (``array<struct<type,value,token,source>>``).
-
-    ``plugin_spans`` names an ``array<span>`` column made by a recogniser of the
-    caller (see ``operators.plugins``); its spans join those of the configured
-    recognisers. Null text gives null text and no entities.
-    """
-    if config.mode == "strict":
-        return _anonymize_strict(df, config, text_col, plugin_spans)
-    return _anonymize_compat(df, config, text_col, plugin_spans)
+    return F.expr(
+        f"""case when size({tokens}) > 1
+        then filter({entities}, (e, i) -> array_position({tokens}, e.token) = i + 1) else {entities} end"""
+    )
 
 
 def with_token_spans(
     df: DataFrame,
     recognizers: tuple[spans.Recognizer, ...],
     config: ScreenConfig = ScreenConfig(),
-    text_col: str = "message",
+    text: str = "message",
     plugin_spans: str | None = None,
 ) -> DataFrame:
     """Add ``token_spans``: found, cut by score, freed of overlaps, numbered."""
-    out = spans.with_spans(df, text_col, recognizers, "_found")
-    found = F.col("_found")
+    out = spans.with_spans(df, text, recognizers, "_found")
     if plugin_spans:
-        found = F.concat(
-            found, F.coalesce(F.col(plugin_spans), empty_array(spans.SPAN_FIELDS)).cast(f"array<{spans.SPAN_FIELDS}>")
-        )
+        out = out.withColumn("_found", F.expr(f"concat(_found, coalesce({plugin_spans}, {empty_array(spans.SPAN_FIELDS)}))"))
     return (
-        out.withColumn("_scored", spans.score_filter(found, config.span_score_threshold))
-        .withColumn("_kept", spans.resolve_overlaps(F.col("_scored")))
-        .withColumn("token_spans", spans.number_tokens(F.col("_kept")))
+        out.withColumn("_scored", spans.score_filter("_found", config.span_score_threshold))
+        .withColumn("_kept", spans.resolve_overlaps("_scored"))
+        .withColumn("token_spans", spans.number_tokens("_kept"))
         .drop("_found", "_scored", "_kept")
     )
 
 
-def _anonymize_strict(df, config, text_col, plugin_spans) -> DataFrame:
-    wanted = dict.fromkeys(spans.STANDARD_RECOGNIZERS + config.recognizers)
-    out = with_token_spans(df, spans.recognizer_names(tuple(wanted)), config, text_col, plugin_spans)
+def anonymize(
+    df: DataFrame,
+    config: ScreenConfig = ScreenConfig(),
+    text: str = "message",
+    plugin_spans: str | None = None,
+) -> DataFrame:
+    """Add ``sanitized_text`` and ``entities`` (``array<struct<type,value,token,source>>``).
+
+    ``text`` names the column to redact. ``plugin_spans`` names an
+    ``array<span>`` column made by a recogniser of the caller (see
+    ``operators.plugins``); its spans join those of the configured recognisers.
+    Null text gives null text and no entities.
+    """
+    if config.mode == "strict":
+        return _anonymize_strict(df, config, text, plugin_spans)
+    return _anonymize_compat(df, config, text, plugin_spans)
+
+
+def _anonymize_strict(df: DataFrame, config: ScreenConfig, text: str, plugin_spans: str | None) -> DataFrame:
+    wanted = tuple(dict.fromkeys(spans.STANDARD_RECOGNIZERS + config.recognizers))
+    out = with_token_spans(df, spans.named_recognizers(wanted), config, text, plugin_spans)
+    entities = F.expr(
+        "transform(token_spans, s -> named_struct('type', s.type, 'value', s.value, 'token', s.token, 'source', 'pii'))"
+    )
     return out.select(
-        *[F.col(c) for c in df.columns],
-        spans.redact_spans(F.col(text_col), F.col("token_spans")).alias("sanitized_text"),
-        F.transform(
-            F.col("token_spans"), lambda s: entity(s["type"], s["value"], s["token"], "pii")
-        ).alias("entities"),
+        *df.columns, spans.redact_spans(text, "token_spans").alias("sanitized_text"), entities.alias("entities")
     )
 
 
-def _values_of(token_spans: Column, type_: str) -> Column:
-    return F.transform(F.filter(token_spans, lambda s: s["type"] == type_), lambda s: s["value"])
+def _values_of(type_: str) -> Column:
+    return F.expr(f"transform(filter(token_spans, s -> s.type = {quoted(type_)}), s -> s.value)")
 
 
-def _anonymize_compat(df, config, text_col, plugin_spans) -> DataFrame:
-    text = F.col(text_col)
-    value_cols = {t: f"_v_{t}" for t in pii.SUPPLEMENT_TYPES}
-    out = df.withColumns({value_cols[t]: v for t, v in pii.supplement_values(text).items()})
-    values = {t: F.col(c) for t, c in value_cols.items()}
+def _anonymize_compat(df: DataFrame, config: ScreenConfig, text: str, plugin_spans: str | None) -> DataFrame:
+    values = {t: f"_v_{t}" for t in pii.SUPPLEMENT_TYPES}
+    out = df.withColumns({values[t]: v for t, v in pii.supplement_values(text).items()})
 
     redacted = text
     if config.recognizers or plugin_spans:
-        recognizers = spans.recognizer_names(config.recognizers)
-        out = with_token_spans(out, recognizers, config, text_col, plugin_spans)
-        out = out.withColumn("_redacted", spans.redact_spans(text, F.col("token_spans")))
-        redacted = F.col("_redacted")
-        primary_types = dict.fromkeys(r.type for r in recognizers)
+        recognizers = spans.named_recognizers(config.recognizers)
+        out = with_token_spans(out, recognizers, config, text, plugin_spans)
+        types = dict.fromkeys(r.type for r in recognizers)
         if plugin_spans:
-            primary_types.update(dict.fromkeys(fv.SPAN_SCORES))
-        primary = {t: _values_of(F.col("token_spans"), t) for t in primary_types}
-        merged = pii.merge_values(primary, values)
-        merged_cols = {t: f"_m_{t}" for t in merged}
-        out = out.withColumns({merged_cols[t]: v for t, v in merged.items()})
-        values = {t: F.col(c) for t, c in merged_cols.items()}
+            types.update(dict.fromkeys(fv.SPAN_SCORES))
+        merged = pii.merge_values({t: _values_of(t) for t in types}, {t: F.col(c) for t, c in values.items()})
+        values, redacted = {t: f"_m_{t}" for t in merged}, "_redacted"
+        out = out.withColumns(
+            {redacted: spans.redact_spans(text, "token_spans")} | {values[t]: v for t, v in merged.items()}
+        )
 
     out = out.withColumn("_tokens", find_tokens(redacted))
-    out = out.withColumn("_token_types", token_types(F.col("_tokens")))
+    kind = f"regexp_extract(t, {quoted(jvm_pattern(fv.TOKEN_PATTERN))}, 1)"
+    out = out.withColumn("_types", F.expr(f"transform(_tokens, t -> {kind})"))
+    out = out.withColumn("_nth", F.expr("transform(_types, (t, i) -> size(filter(slice(_types, 1, i), o -> o = t)))"))
     out = out.withColumns(
-        {
-            "_bound": bind_tokens(F.col("_tokens"), F.col("_token_types"), values),
-            "_fallback": fallback_entities(F.col("_token_types"), values),
-        }
+        {"_bound": bind_tokens("_tokens", "_types", "_nth", values), "_fallback": fallback_entities("_types", values)}
     )
-    out = out.withColumn("_every", F.concat(F.col("_bound"), F.col("_fallback")))
-    out = out.withColumn("_every_tokens", F.transform("_every", lambda e: e["token"]))
+    out = out.withColumn("_every", F.expr("concat(_bound, _fallback)"))
     # Fallback tokens are unique by construction; only tokens from the text can repeat.
-    repeats = (F.size("_bound") > 0) & (F.size("_every_tokens") > 1)
-    entities = F.when(repeats, first_per_token(F.col("_every"), F.col("_every_tokens"))).otherwise(F.col("_every"))
+    out = out.withColumn(
+        "_every_tokens", F.expr(only_if("size(_bound) > 0", "transform(_every, e -> e.token)"))
+    )
     return out.select(
-        *[F.col(c) for c in df.columns],
-        replace_values(redacted, F.col("_fallback")).alias("sanitized_text"),
-        F.coalesce(entities, empty_array(ENTITY_FIELDS)).alias("entities"),
+        *df.columns,
+        replace_values(redacted, "_fallback").alias("sanitized_text"),
+        first_per_token("_every", "_every_tokens").alias("entities"),
     )
 
 
@@ -177,6 +155,4 @@ def explode_entities(df: DataFrame, *keys: str) -> DataFrame:
     below the projection, which would evaluate every pattern a second time.
     """
     rows = df.select(*keys, F.posexplode_outer("entities").alias("seq", "e"))
-    return rows.where(F.col("e").isNotNull()).select(
-        *keys, "seq", F.col("e.type"), F.col("e.value"), F.col("e.token"), F.col("e.source")
-    )
+    return rows.where("e is not null").select(*keys, "seq", "e.type", "e.value", "e.token", "e.source")

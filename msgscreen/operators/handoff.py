@@ -2,26 +2,25 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
+from ..functions.patterns import quoted
 from ..functions.text import confidence_label, length_label
 
 
-def _lookup(rows: tuple[tuple[str, str], ...], key: Column, default: str) -> Column:
-    table = F.create_map(*[F.lit(x) for x in chain.from_iterable(rows)])
-    return F.coalesce(F.try_element_at(table, F.coalesce(key, F.lit(""))), F.lit(default))
+def _lookup(rows: tuple[tuple[str, str], ...], key: str, default: str) -> Column:
+    pairs = ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in rows)
+    return F.expr(f"coalesce(try_element_at(map({pairs}), coalesce(lower({key}), '')), {quoted(default)})")
 
 
-def tone(violation_type: Column) -> Column:
-    return _lookup(fv.TONES, F.lower(violation_type), fv.DEFAULT_TONE)
+def tone(violation_type: str) -> Column:
+    return _lookup(fv.TONES, violation_type, fv.DEFAULT_TONE)
 
 
-def instruction(violation_type: Column) -> Column:
-    return _lookup(fv.INSTRUCTIONS, F.lower(violation_type), fv.DEFAULT_INSTRUCTION)
+def instruction(violation_type: str) -> Column:
+    return _lookup(fv.INSTRUCTIONS, violation_type, fv.DEFAULT_INSTRUCTION)
 
 
 def tone_dim(spark: SparkSession) -> DataFrame:
@@ -30,10 +29,15 @@ def tone_dim(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "violation_type string, tone string, instruction string")
 
 
-def handoff(violation_type: Column, confidence: Column, chars: Column) -> Column:
+def handoff(violation_type: str, confidence: str, chars: str) -> Column:
     """Reply record, null without a blocking violation."""
     vtype = F.lower(violation_type)
-    labels = (confidence_label(confidence), length_label(chars), tone(vtype), instruction(vtype))
+    labels = (
+        confidence_label(F.col(confidence)),
+        length_label(F.col(chars)),
+        tone(violation_type),
+        instruction(violation_type),
+    )
     record = F.struct(
         vtype.alias("violation_type"),
         labels[0].alias("confidence_label"),
@@ -41,4 +45,4 @@ def handoff(violation_type: Column, confidence: Column, chars: Column) -> Column
         labels[2].alias("suggested_tone"),
         F.format_string(fv.REPLY_PROMPT, vtype, *labels).alias("prompt_for_llm"),
     )
-    return F.when(violation_type.isNotNull(), record)
+    return F.when(vtype.isNotNull(), record)

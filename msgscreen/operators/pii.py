@@ -6,72 +6,65 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.patterns import empty_array, find_all, matches
+from ..functions.patterns import find_all, holds_any, matches, only_if
 
 # Types in the order their values are reported and replaced.
 SUPPLEMENT_TYPES = ("EMAIL_ADDRESS", "PHONE_NUMBER", "US_SSN", "CREDIT_CARD", "PERSON")
 
 
-def emails(text: Column) -> Column:
-    # A plain byte search for the at-sign spares most rows the backtracking pattern.
-    return F.when(F.contains(text, F.lit("@")), find_all(text, fv.EMAIL_PATTERN)).otherwise(empty_array())
+def emails(text: str) -> Column:
+    # Spares most rows the backtracking pattern.
+    return F.expr(only_if(holds_any(text, "@"), find_all(text, fv.EMAIL_PATTERN)))
 
 
-def phones(text: Column) -> Column:
+def phones(text: str) -> Column:
     # The pattern tries several optional parts at every word; most texts hold no digit at all.
-    return F.when(matches(text, r"\d"), find_all(text, fv.PHONE_PATTERN)).otherwise(empty_array())
+    return F.expr(only_if(matches(text, r"\d"), find_all(text, fv.PHONE_PATTERN)))
 
 
-def ssns(text: Column) -> Column:
-    return find_all(text, fv.SSN_PATTERN)
+def ssns(text: str) -> Column:
+    return F.expr(find_all(text, fv.SSN_PATTERN))
 
 
-def cards(text: Column) -> Column:
-    return find_all(text, fv.CARD_PATTERN)
+def cards(text: str) -> Column:
+    return F.expr(find_all(text, fv.CARD_PATTERN))
 
 
-def introduced_names(text: Column) -> Column:
+def introduced_names(text: str) -> Column:
     """Names after an introduction phrase.
 
     The group always starts and ends with a letter and holds at least two, so
     no trimming or length check is left to do.
     """
-    return find_all(text, fv.NAME_INTRO_PATTERN, group=1, ignore_case=True)
+    return F.expr(find_all(text, fv.NAME_INTRO_PATTERN, group=1, ignore_case=True))
 
 
-def greeted_names(text: Column) -> Column:
-    return find_all(text, fv.NAME_GREETING_PATTERN, group=1, ignore_case=True)
+def greeted_names(text: str) -> Column:
+    return F.expr(find_all(text, fv.NAME_GREETING_PATTERN, group=1, ignore_case=True))
 
 
-def names(text: Column) -> Column:
+def names(text: str) -> Column:
     return F.concat(introduced_names(text), greeted_names(text))
 
 
-def supplement_values(text: Column) -> dict[str, Column]:
+def supplement_values(text: str) -> dict[str, Column]:
     """One array column per type, in report order."""
-    return {
-        "EMAIL_ADDRESS": emails(text),
-        "PHONE_NUMBER": phones(text),
-        "US_SSN": ssns(text),
-        "CREDIT_CARD": cards(text),
-        "PERSON": names(text),
-    }
-
-
-def values_by_type(text: Column, primary: dict[str, Column] | None = None) -> Column:
-    """Ordered ``array<struct<type,values>>``: primary types first, supplement values appended.
-
-    An array and not a map, because later replacement follows the type order.
-    """
-    merged = merge_values(primary or {}, supplement_values(text))
-    entries = F.array(
-        *[F.struct(F.lit(t).alias("type"), v.alias("values")) for t, v in merged.items()]
-    )
-    return F.filter(entries, lambda e: F.size(e["values"]) > 0)
+    found = (emails(text), phones(text), ssns(text), cards(text), names(text))
+    return dict(zip(SUPPLEMENT_TYPES, found))
 
 
 def merge_values(primary: dict[str, Column], supplement: dict[str, Column]) -> dict[str, Column]:
+    """Values per type: primary types first, supplement values appended to theirs."""
     merged = dict(primary)
     for name, values in supplement.items():
         merged[name] = F.concat(merged[name], values) if name in merged else values
     return merged
+
+
+def values_by_type(merged: dict[str, Column]) -> Column:
+    """Ordered ``array<struct<type,values>>`` of the types that have values.
+
+    An array and not a map, because later replacement follows the type order.
+    """
+    entries = [F.struct(F.lit(t).alias("type"), v.alias("values")) for t, v in merged.items()]
+    return F.filter(F.array(*entries), lambda e: F.size(e["values"]) > 0)

@@ -6,27 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _n(condition: Column, name: str) -> Column:
-    return F.coalesce(F.sum(condition.cast("long")), F.lit(0)).cast("long").alias(name)
-
-
 def metric_columns() -> list[Column]:
     """Batch metrics of a scan, usable in ``agg`` and in ``DataFrame.observe``."""
-
-    def has(type_: str) -> Column:
-        return F.exists("violations", lambda v: v["type"] == type_)
-
+    counted = {
+        "n_allowed": "allowed",
+        "n_blocked": "not allowed",
+        "n_token_limit": "array_contains(violations.type, 'token_limit')",
+        "n_secrets": "array_contains(violations.type, 'secrets')",
+        "n_pii": "array_contains(violations.type, 'pii')",
+        "n_injection": "array_contains(violations.type, 'injection')",
+        "n_toxicity": "array_contains(violations.type, 'toxicity')",
+        "n_failed": "pii_scanner_error is not null",
+    }
     return [
-        F.count(F.lit(1)).alias("n_messages"),
-        _n(F.col("allowed"), "n_allowed"),
-        _n(~F.col("allowed"), "n_blocked"),
-        _n(has("token_limit"), "n_token_limit"),
-        _n(has("secrets"), "n_secrets"),
-        _n(has("pii"), "n_pii"),
-        _n(has("injection"), "n_injection"),
-        _n(has("toxicity"), "n_toxicity"),
-        _n(F.col("pii_scanner_error").isNotNull(), "n_failed"),
-        F.coalesce(F.sum(F.col("token_count").cast("long")), F.lit(0)).alias("n_tokens"),
+        F.expr("count(1) as n_messages"),
+        *[F.expr(f"count_if({condition}) as {name}") for name, condition in counted.items()],
+        F.expr("coalesce(sum(cast(token_count as bigint)), 0L) as n_tokens"),
     ]
 
 

@@ -13,23 +13,15 @@ from ..functions import fixed_values as fv
 from ..functions.patterns import matches
 from ..functions.text import words
 
-LEXICON_FIELDS = "struct<word:string,weight:double>"
 
-
-def injection_score(text: Column, rules=fv.INJECTION_RULES) -> Column:
+def injection_score(text: str, rules=fv.INJECTION_RULES) -> Column:
     """Weight of the heaviest rule that occurs, 0 when none does.
 
-    Rules are tried from heavy to light and the first hit ends the row, so a
-    rule set grows at the cost of clean rows only.
+    Rules are tried from heavy to light and the first hit ends the row.
     """
     ordered = sorted(rules, key=lambda r: -r[2])
-    if not ordered:
-        return F.lit(0.0)
-    score = None
-    for _, pattern, weight in ordered:
-        hit, value = matches(text, pattern, ignore_case=True), F.lit(float(weight))
-        score = F.when(hit, value) if score is None else score.when(hit, value)
-    return score.otherwise(F.lit(0.0))
+    cases = " ".join(f"when {matches(text, p, ignore_case=True)} then {float(w)}D" for _, p, w in ordered)
+    return F.expr(f"case {cases} else 0D end" if cases else "0D")
 
 
 def learn_lexicon(
@@ -71,33 +63,24 @@ def learn_lexicon(
     )
 
 
-def lexicon_array(lexicon: DataFrame) -> Column:
-    """The lexicon as one ``array<struct<word,weight>>`` value, computed once per query."""
-    rows = lexicon.select(F.struct("word", "weight").alias("r"))
-    return rows.agg(F.array_sort(F.collect_list("r")).alias("lexicon")).scalar()
-
-
-def toxicity_score(found_words: Column, lexicon: Column) -> Column:
-    """Weight of the heaviest lexicon word among the words, 0 when there is none.
+def with_toxicity_score(df: DataFrame, text: str, lexicon: DataFrame | None, out: str = "toxicity_score") -> DataFrame:
+    """Add the weight of the heaviest lexicon word in the text, 0 when there is none.
 
-    The lexicon travels to the rows, not the words to the lexicon: no message is
-    exploded, shuffled or joined. ``found_words`` must be a column of the input;
-    testing its size keeps the optimizer from moving the word split into the
-    lambda, where it would run once per lexicon entry.
+    The lexicon becomes one array value, computed once per query, and travels to
+    the rows: no message is exploded, shuffled or joined. Testing the number of
+    words keeps the optimizer from moving the word split into the lambda, where
+    it would run once per lexicon entry.
     """
-    weights = F.transform(
-        F.filter(lexicon, lambda e: F.array_contains(found_words, e["word"])), lambda e: e["weight"]
-    )
-    return F.when(F.size(found_words) > 0, F.coalesce(F.array_max(weights), F.lit(0.0))).otherwise(F.lit(0.0))
-
-
-def with_toxicity_score(df: DataFrame, text_col: str, lexicon: DataFrame | None, out: str = "toxicity_score") -> DataFrame:
     if lexicon is None:
         return df.withColumn(out, F.lit(0.0))
+    as_array = lexicon.agg(F.array_sort(F.collect_list(F.struct("word", "weight"))).alias("l")).scalar()
     # A subquery may not stand inside a higher-order function, a column may.
-    ready = df.withColumns({"_words": words(F.col(text_col)), "_lexicon": lexicon_array(lexicon)})
-    return ready.withColumn(out, toxicity_score(F.col("_words"), F.col("_lexicon"))).drop("_words", "_lexicon")
+    ready = df.withColumns({"_words": words(F.col(text)), "_lexicon": as_array})
+    best = "array_max(transform(filter(_lexicon, e -> array_contains(_words, e.word)), e -> e.weight))"
+    score = F.expr(f"case when size(_words) > 0 then coalesce({best}, 0D) else 0D end")
+    return ready.withColumn(out, score).drop("_words", "_lexicon")
 
 
-def over_threshold(score: Column, threshold: float) -> Column:
-    return F.coalesce(score >= F.lit(float(threshold)), F.lit(False))
+def over_threshold(score: str, threshold: float) -> Column:
+    """Thresholds are inclusive; no score is no detection."""
+    return F.expr(f"coalesce({score} >= {float(threshold)}D, false)")

@@ -2,69 +2,56 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.patterns import find_all, matches
+from ..functions.patterns import find_all, holds_any, matches, quoted
 
-SECRET_FIELDS = "struct<detected:boolean,is_valid:boolean,risk_score:double,custom_secrets_types:array<string>>"
 # Literals of which every match holds at least one; texts without them skip the pattern.
 _NEEDS = (("=", ":"), ("-",), ("_",), (), ("=", ":"), ("=", ":"), (), ("=", ":"))
 
 
-def has_secret(text: Column, pattern_no: int) -> Column:
+def _has_secret(text: str, pattern_no: int) -> str:
     hit = matches(text, fv.SECRET_PATTERNS[pattern_no][1], ignore_case=True)
-    literals = [F.contains(text, F.lit(x)) for x in _NEEDS[pattern_no]]
-    if literals:
-        hit = reduce(or_, literals) & hit
-    return F.coalesce(hit, F.lit(False))
+    needs = _NEEDS[pattern_no]
+    return f"{holds_any(text, needs)} and {hit}" if needs else hit
+
+
+def _per_pattern(text: str, item) -> Column:
+    items = [
+        f"case when {_has_secret(text, n)} then {item(n, name)} end" for n, (name, _) in enumerate(fv.SECRET_PATTERNS)
+    ]
+    return F.expr(f"array_compact(array({', '.join(items)}))")
 
 
-def secret_matches(text: Column, pattern_no: int) -> Column:
+def secret_matches(text: str, pattern_no: int) -> Column:
     """Whole matches of one pattern, for counting."""
-    return find_all(text, fv.SECRET_PATTERNS[pattern_no][1], ignore_case=True)
+    return F.expr(find_all(text, fv.SECRET_PATTERNS[pattern_no][1], ignore_case=True))
 
 
-def secret_hits(text: Column) -> Column:
+def secret_hits(text: str) -> Column:
     """``array<struct<pattern_no,type>>`` of the patterns that occur, in pattern order."""
-    return F.array_compact(
-        F.array(
-            *[
-                F.when(has_secret(text, n), F.struct(F.lit(n).alias("pattern_no"), F.lit(name).alias("type")))
-                for n, (name, _) in enumerate(fv.SECRET_PATTERNS)
-            ]
-        )
-    )
+    return _per_pattern(text, lambda n, name: f"named_struct('pattern_no', {n}, 'type', {quoted(name)})")
 
 
-def secret_types(text: Column) -> Column:
+def secret_types(text: str) -> Column:
     """One type per pattern that occurs, in pattern order; a type may stand twice."""
-    return F.array_compact(
-        F.array(
-            *[F.when(has_secret(text, n), F.lit(name)) for n, (name, _) in enumerate(fv.SECRET_PATTERNS)]
-        )
-    )
+    return _per_pattern(text, lambda n, name: quoted(name))
 
 
-def extra_risk(text: Column, rules: tuple[tuple[str, str, float], ...]) -> Column:
+def extra_risk(text: str, rules: tuple[tuple[str, str, float], ...]) -> Column:
     """Highest risk of the caller's ``(name, pattern, risk)`` rules, 0 when none is given or hit."""
-    risk = F.lit(0.0)
-    for _, pattern, weight in rules:
-        risk = F.greatest(risk, F.when(matches(text, pattern, ignore_case=True), F.lit(float(weight))).otherwise(0.0))
-    return risk
+    risks = [f"if({matches(text, p, ignore_case=True)}, {float(w)}D, 0D)" for _, p, w in rules]
+    return F.expr(f"array_max(array({', '.join(risks)}))" if risks else "0D")
 
 
-def secret_verdict(types: Column, risk: Column) -> Column:
+def secret_verdict(types: str, risk: str) -> Column:
     """Combine found types with the risk of the extra rules."""
-    found = F.size(types) > 0
-    detected = found | (risk > 0)
-    return F.struct(
-        detected.alias("detected"),
-        (~detected).alias("is_valid"),
-        F.when(found, F.greatest(risk, F.lit(1.0))).otherwise(risk).alias("risk_score"),
-        types.alias("custom_secrets_types"),
+    return F.expr(
+        f"""named_struct(
+          'detected', size({types}) > 0 or {risk} > 0,
+          'is_valid', not (size({types}) > 0 or {risk} > 0),
+          'risk_score', if(size({types}) > 0, greatest({risk}, 1D), {risk}),
+          'custom_secrets_types', {types})"""
     )

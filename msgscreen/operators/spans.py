@@ -5,7 +5,8 @@ by higher-order functions, so a whole corpus is redacted without a shuffle and
 no message depends on where another one lies.
 
 A span is ``struct<start,end,type,score,value>``; offsets are code points,
-zero-based, end exclusive.
+zero-based, end exclusive. Functions take the names of columns, which must exist
+as such: what a lambda reads is then evaluated once per row and not per element.
 """
 
 from __future__ import annotations
@@ -16,19 +17,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.patterns import empty_array, find_all, gaps, matches
+from ..functions.patterns import empty_array, find_all, gaps, matches, only_if, quoted
 
 SPAN_FIELDS = "struct<start:int,end:int,type:string,score:double,value:string>"
-TOKEN_SPAN_FIELDS = (
-    "struct<start:int,end:int,type:string,score:double,value:string,token:string>"
-)
 
 
 @dataclass(frozen=True)
 class Recognizer:
     """A pattern whose last group is the entity (group 0: the whole match).
 
-    ``needs`` is a cheap pattern found in every text that matches; other texts skip the recogniser.
+    ``needs`` is a cheap pattern found in every text that matches; other texts
+    skip the recogniser. Values that match ``weak_pattern`` are weak hits.
     """
 
     type: str
@@ -51,7 +50,7 @@ RECOGNIZERS = {
         "PHONE_NUMBER", fv.PHONE_PATTERN, fv.SPAN_SCORES["PHONE_NUMBER"],
         weak_pattern=fv.BARE_DIGITS_PATTERN, needs=r"\d",
     ),
-    "ssn": Recognizer("US_SSN", fv.SSN_PATTERN, fv.SPAN_SCORES["US_SSN"], needs="-"),
+    "ssn": Recognizer("US_SSN", fv.SSN_PATTERN, fv.SPAN_SCORES["US_SSN"]),
     "card": Recognizer("CREDIT_CARD", fv.CARD_PATTERN, fv.SPAN_SCORES["CREDIT_CARD"]),
     "name_intro": Recognizer(
         "PERSON", phrase_ignoring_case(fv.NAME_INTRO_PATTERN), fv.SPAN_SCORES["PERSON"], group=1
@@ -64,14 +63,14 @@ RECOGNIZERS = {
 STANDARD_RECOGNIZERS = ("email", "phone", "ssn", "card", "name_intro", "name_greeting")
 
 
-def recognizer_names(names: tuple[str, ...]) -> tuple[Recognizer, ...]:
+def named_recognizers(names: tuple[str, ...]) -> tuple[Recognizer, ...]:
     unknown = [n for n in names if n not in RECOGNIZERS]
     if unknown:
         raise ValueError(f"unknown recognizers {unknown}; known: {sorted(RECOGNIZERS)}")
     return tuple(RECOGNIZERS[n] for n in names)
 
 
-def with_spans(df: DataFrame, text_col: str, recognizers: tuple[Recognizer, ...], out: str = "spans") -> DataFrame:
+def with_spans(df: DataFrame, text: str, recognizers: tuple[Recognizer, ...], out: str = "spans") -> DataFrame:
     """Add the spans of all recognisers, one recogniser after the other, with exact offsets.
 
     The text between matches gives the offsets: a match starts after all gaps
@@ -79,104 +78,74 @@ def with_spans(df: DataFrame, text_col: str, recognizers: tuple[Recognizer, ...]
     runs once per text, and again for gaps and groups only where it has matched.
     """
     if not recognizers:
-        return df.withColumn(out, empty_array(SPAN_FIELDS))
-    text = F.col(text_col)
-    matched = df.withColumns({f"_whole{i}": _matches(text, r) for i, r in enumerate(recognizers)})
-    helpers = [c for c in matched.columns if c not in df.columns]
-    spans = [_locate(text, r, F.col(f"_whole{i}")) for i, r in enumerate(recognizers)]
-    return matched.withColumn(out, F.concat(*spans)).drop(*helpers)
+        return df.withColumn(out, F.expr(empty_array(SPAN_FIELDS)))
+    whole = {f"_whole{i}": r for i, r in enumerate(recognizers)}
+    matched = df.withColumns({c: F.expr(_whole_matches(text, r)) for c, r in whole.items()})
+    located = ", ".join(_located(text, r, c) for c, r in whole.items())
+    return matched.withColumn(out, F.expr(f"concat({located})")).drop(*whole)
 
 
-def _matches(text: Column, recognizer: Recognizer) -> Column:
+def _whole_matches(text: str, recognizer: Recognizer) -> str:
     found = find_all(text, recognizer.pattern)
-    if recognizer.needs is None:
-        return found
-    return F.when(matches(text, recognizer.needs), found).otherwise(empty_array())
+    return only_if(matches(text, recognizer.needs), found) if recognizer.needs else found
 
 
-def _locate(text: Column, recognizer: Recognizer, whole: Column) -> Column:
-    value = find_all(text, recognizer.pattern, recognizer.group) if recognizer.group else whole
-    pairs = F.arrays_zip(
-        F.slice(gaps(text, recognizer.pattern), F.lit(1), F.size(whole)).alias("gap"),
-        whole.alias("whole"),
-        value.alias("value"),
-    )
-
-    def step(acc: Column, pair: Column) -> Column:
-        end = (acc["pos"] + F.length(pair["gap"]) + F.length(pair["whole"])).cast("int")
-        span = F.struct(
-            (end - F.length(pair["value"])).cast("int").alias("start"),
-            end.alias("end"),
-            F.lit(recognizer.type).alias("type"),
-            _score(recognizer, pair["value"]).alias("score"),
-            pair["value"].alias("value"),
-        )
-        return F.struct(end.alias("pos"), F.concat(acc["spans"], F.array(span)).alias("spans"))
-
-    start = F.struct(F.lit(0).alias("pos"), empty_array(SPAN_FIELDS).alias("spans"))
-    located = F.aggregate(pairs, start, step, lambda acc: acc["spans"]).cast(f"array<{SPAN_FIELDS}>")
-    return F.when(F.size(whole) > 0, located).otherwise(empty_array(SPAN_FIELDS))
+def _located(text: str, r: Recognizer, whole: str) -> str:
+    steps = f"""zip_with(slice({gaps(text, r.pattern)}, 1, size({whole})), {whole},
+      (g, w) -> named_struct('step', length(g) + length(w), 'value', w))"""
+    if r.group:
+        value = find_all(text, r.pattern, r.group)
+        steps = f"zip_with({steps}, {value}, (z, v) -> named_struct('step', z.step, 'value', v))"
+    score = f"cast({r.score} as double)"
+    if r.weak_pattern:
+        score = f"if({matches('m.value', r.weak_pattern)}, cast({fv.WEAK_SPAN_SCORE} as double), {score})"
+    located = f"""
+    aggregate({steps}, named_struct('pos', 0, 'spans', {empty_array(SPAN_FIELDS)}),
+      (a, m) -> named_struct('pos', a.pos + m.step, 'spans', concat(a.spans, array(named_struct(
+        'start', a.pos + m.step - length(m.value), 'end', a.pos + m.step,
+        'type', {quoted(r.type)}, 'score', {score}, 'value', m.value)))),
+      a -> a.spans)"""
+    return only_if(f"size({whole}) > 0", located, SPAN_FIELDS)
 
 
-def _score(recognizer: Recognizer, value: Column) -> Column:
-    score = F.lit(recognizer.score).cast("double")
-    if recognizer.weak_pattern is None:
-        return score
-    return F.when(value.rlike("(?U)" + recognizer.weak_pattern), F.lit(fv.WEAK_SPAN_SCORE)).otherwise(score)
+def score_filter(spans: str, threshold: float = fv.SPAN_SCORE_THRESHOLD) -> Column:
+    return F.expr(f"filter({spans}, s -> s.score >= cast({threshold} as double))")
 
 
-def score_filter(spans: Column, threshold: float = fv.SPAN_SCORE_THRESHOLD) -> Column:
-    return F.filter(spans, lambda s: s["score"] >= F.lit(threshold))
-
-
-def resolve_overlaps(spans: Column) -> Column:
+def resolve_overlaps(spans: str) -> Column:
     """Keep the longest span of an overlap, then the earliest, then by type; sorted by start."""
-    ranked = F.array_sort(
-        F.transform(
-            spans,
-            lambda s: F.struct(
-                (s["start"] - s["end"]).alias("neg_len"),
-                s["start"].alias("start"),
-                s["type"].alias("type"),
-                s.alias("span"),
-            ),
-        )
+    return F.expr(
+        f"""
+        case when size({spans}) <= 1 then {spans} else array_sort(aggregate(
+          array_sort(transform({spans}, s -> named_struct(
+            'neg_len', s.start - s.end, 'start', s.start, 'type', s.type, 'span', s))),
+          {empty_array(SPAN_FIELDS)},
+          (kept, r) -> if(exists(kept, k -> k.start < r.span.end and r.span.start < k.end),
+            kept, concat(kept, array(r.span))))) end"""
     )
 
-    def keep(acc: Column, r: Column) -> Column:
-        span = r["span"]
-        clash = F.exists(acc, lambda k: (k["start"] < span["end"]) & (span["start"] < k["end"]))
-        return F.when(clash, acc).otherwise(F.concat(acc, F.array(span)))
-
-    kept = F.aggregate(ranked, empty_array(SPAN_FIELDS), keep)
-    # One span or none cannot overlap.
-    return F.when(F.size(spans) <= 1, spans).otherwise(F.array_sort(kept))
 
-
-def number_tokens(spans: Column) -> Column:
+def number_tokens(spans: str) -> Column:
     """Add ``token`` = ``[TYPE_n]``, n counted per type from 0, left to right."""
-
-    def with_token(span: Column, i: Column) -> Column:
-        before = F.size(F.filter(F.slice(spans, F.lit(1), i), lambda o: o["type"] == span["type"]))
-        token = F.concat(F.lit("["), span["type"], F.lit("_"), before.cast("string"), F.lit("]"))
-        return F.struct(
-            *[span[f].alias(f) for f in ("start", "end", "type", "score", "value")],
-            token.alias("token"),
-        )
-
-    return F.transform(spans, with_token)
+    return F.expr(
+        f"""
+        transform({spans}, (s, i) -> named_struct(
+          'start', s.start, 'end', s.end, 'type', s.type, 'score', s.score, 'value', s.value,
+          'token', concat('[', s.type, '_', size(filter(slice({spans}, 1, i), o -> o.type = s.type)), ']')))"""
+    )
 
 
-def redact_spans(text: Column, token_spans: Column) -> Column:
+def redact_spans(text: str, token_spans: str) -> Column:
     """The text with every span replaced by its token; spans sorted and disjoint."""
 
-    def end_before(i: Column) -> Column:
-        return F.coalesce(F.get(token_spans, i - 1)["end"], F.lit(0))
-
-    def piece(span: Column, i: Column) -> Column:
-        begin = end_before(i)
-        return F.concat(F.substring(text, begin + 1, span["start"] - begin), span["token"])
+    def end_before(i: str) -> str:
+        return f"coalesce(get({token_spans}, {i} - 1).end, 0)"
 
-    tail = F.substring(text, end_before(F.size(token_spans)) + 1, F.length(text))
-    built = F.concat(F.array_join(F.transform(token_spans, piece), ""), tail)
-    return F.when(F.size(token_spans) > 0, built).otherwise(text)
+    return F.expr(
+        f"""
+        case when size({token_spans}) > 0 then concat(
+          array_join(transform({token_spans}, (s, i) -> concat(
+            substring({text}, {end_before('i')} + 1, s.start - {end_before('i')}), s.token)), ''),
+          substring({text}, {end_before(f'size({token_spans})')} + 1, length({text})))
+        else {text} end"""
+    )

@@ -1,4 +1,4 @@
-"""Combining findings into one verdict per message."""
+"""Combining findings into one verdict per message, over the columns of ``plans.scan``."""
 
 from __future__ import annotations
 
@@ -7,61 +7,41 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 
-VIOLATION_FIELDS = "struct<type:string,confidence:double,action:string>"
 
-
-def violation(type_: str, confidence: Column, action: str) -> Column:
-    return F.struct(
-        F.lit(type_).alias("type"), confidence.cast("double").alias("confidence"), F.lit(action).alias("action")
+def _violation(when: str, type_: str, confidence: str, action: str) -> str:
+    return (
+        f"case when {when} then named_struct("
+        f"'type', '{type_}', 'confidence', cast({confidence} as double), 'action', '{action}') end"
     )
 
 
-def violations(
-    too_long: Column,
-    secrets: Column,
-    pii: Column,
-    injection: Column,
-    toxicity: Column,
-    secrets_score: Column,
-    injection_score: Column,
-    toxicity_score: Column,
-) -> Column:
-    """Ordered violations; a message over the length gate has that one only."""
-    scanned = F.array_compact(
-        F.array(
-            F.when(secrets, violation("secrets", F.coalesce(secrets_score, F.lit(fv.DEFAULT_SECRETS_SCORE)), "blocked")),
-            F.when(pii, violation("pii", F.lit(fv.PII_CONFIDENCE), "anonymized")),
-            F.when(
-                injection,
-                violation("injection", F.coalesce(injection_score, F.lit(fv.DEFAULT_INJECTION_SCORE)), "blocked"),
-            ),
-            F.when(
-                toxicity,
-                violation("toxicity", F.coalesce(toxicity_score, F.lit(fv.DEFAULT_TOXICITY_SCORE)), "blocked"),
-            ),
+def violations() -> Column:
+    """Ordered violations; a message over the length gate has that one only.
+
+    Reads ``too_long``, the four ``has_*`` flags, ``secrets``, ``injection_score``
+    and ``toxicity_score``.
+    """
+    gated = _violation("too_long", "token_limit", f"{fv.TOKEN_LIMIT_CONFIDENCE}", "blocked")
+    scanned = ", ".join(
+        (
+            _violation("has_secrets", "secrets", f"coalesce(secrets.risk_score, {fv.DEFAULT_SECRETS_SCORE})", "blocked"),
+            _violation("has_pii", "pii", f"{fv.PII_CONFIDENCE}", "anonymized"),
+            _violation("has_injection", "injection", f"coalesce(injection_score, {fv.DEFAULT_INJECTION_SCORE})", "blocked"),
+            _violation("has_toxicity", "toxicity", f"coalesce(toxicity_score, {fv.DEFAULT_TOXICITY_SCORE})", "blocked"),
         )
     )
-    gated = F.array(violation("token_limit", F.lit(fv.TOKEN_LIMIT_CONFIDENCE), "blocked"))
-    return F.when(too_long, gated).otherwise(scanned).cast(f"array<{VIOLATION_FIELDS}>")
+    return F.expr(f"array_compact(if(too_long, array({gated}), array({scanned})))")
 
 
-def primary_violation(found: Column) -> Column:
+def primary_violation(found: str) -> Column:
     """The first blocking violation, null when nothing blocks."""
-    return F.get(F.filter(found, lambda v: v["action"] == "blocked"), F.lit(0))
-
-
-def allowed(found: Column) -> Column:
-    return ~F.exists(found, lambda v: v["action"] == "blocked")
-
-
-def anonymized_prompt(has_pii: Column, sanitized: Column) -> Column:
-    return F.when(has_pii, sanitized)
+    return F.expr(f"get(filter({found}, v -> v.action = 'blocked'), 0)")
 
 
-def detected_threats(found: Column) -> Column:
-    return F.transform(found, lambda v: v["type"])
+def detected_threats(found: str) -> Column:
+    return F.expr(f"transform({found}, v -> v.type)")
 
 
-def risk_level(found: Column) -> Column:
+def risk_level(found: str) -> Column:
     """``SAFE`` without violations; no other level is published, so null."""
-    return F.when(F.size(found) == 0, F.lit(fv.RISK_SAFE))
+    return F.expr(f"case when size({found}) = 0 then '{fv.RISK_SAFE}' end")

@@ -98,18 +98,18 @@ def confidence_label(spark, sf_dir):
 # --- personal data ----------------------------------------------------------
 def _values(find):
     def query(spark, sf_dir):
-        return _listed(messages(spark, sf_dir), find(F.col("message")), "value")
+        return _listed(messages(spark, sf_dir), find("message"), "value")
 
     return query
 
 
 def pii_values_by_type(spark, sf_dir):
     """Primary IP values ahead of the supplement, as merged for redaction."""
-    df = an.with_token_spans(messages(spark, sf_dir), spans.recognizer_names(("ip",)))
-    primary = {"IP_ADDRESS": F.transform("token_spans", lambda s: s["value"])}
-    rows = df.select(
-        "msg_id", F.posexplode_outer(pii.values_by_type(F.col("message"), primary)).alias("type_seq", "e")
+    df = an.with_token_spans(messages(spark, sf_dir), spans.named_recognizers(("ip",)))
+    merged = pii.merge_values(
+        {"IP_ADDRESS": F.expr("transform(token_spans, s -> s.value)")}, pii.supplement_values("message")
     )
+    rows = df.select("msg_id", F.posexplode_outer(pii.values_by_type(merged)).alias("type_seq", "e"))
     return rows.where(F.col("e").isNotNull()).select(
         "msg_id",
         "type_seq",
@@ -126,18 +126,18 @@ def _span_rows(df: DataFrame, column: str, *fields: str) -> DataFrame:
 
 
 def pii_spans(spark, sf_dir):
-    df = spans.with_spans(messages(spark, sf_dir), "message", spans.recognizer_names(ALL_RECOGNIZERS))
+    df = spans.with_spans(messages(spark, sf_dir), "message", spans.named_recognizers(ALL_RECOGNIZERS))
     return _span_rows(df, "spans", "start", "end", "type", "score", "value")
 
 
 def pii_score_filter(spark, sf_dir):
-    df = spans.with_spans(messages(spark, sf_dir), "message", spans.recognizer_names(ALL_RECOGNIZERS))
-    df = df.withColumn("kept", spans.score_filter(F.col("spans")))
+    df = spans.with_spans(messages(spark, sf_dir), "message", spans.named_recognizers(ALL_RECOGNIZERS))
+    df = df.withColumn("kept", spans.score_filter("spans"))
     return _span_rows(df, "kept", "start", "end", "type", "score")
 
 
 def _numbered(spark, sf_dir):
-    return an.with_token_spans(messages(spark, sf_dir), spans.recognizer_names(ALL_RECOGNIZERS))
+    return an.with_token_spans(messages(spark, sf_dir), spans.named_recognizers(ALL_RECOGNIZERS))
 
 
 def pii_token_number(spark, sf_dir):
@@ -146,11 +146,11 @@ def pii_token_number(spark, sf_dir):
 
 def pii_redact_spans(spark, sf_dir):
     df = _numbered(spark, sf_dir)
-    return df.select("msg_id", spans.redact_spans(F.col("message"), F.col("token_spans")).alias("redacted"))
+    return df.select("msg_id", spans.redact_spans("message", "token_spans").alias("redacted"))
 
 
 def pii_token_scan(spark, sf_dir):
-    return _listed(pii_redact_spans(spark, sf_dir), an.find_tokens(F.col("redacted")), "token")
+    return _listed(pii_redact_spans(spark, sf_dir), an.find_tokens("redacted"), "token")
 
 
 def pii_token_bind(spark, sf_dir):
@@ -172,8 +172,8 @@ def pii_entities(spark, sf_dir):
 
 
 def anonymize(spark, sf_dir):
-    df = messages(spark, sf_dir).withColumn("types", secrets.secret_types(F.col("message")))
-    out = an.anonymize(df, WITH_IP).withColumn("s", secrets.secret_verdict(F.col("types"), F.lit(0.0)))
+    df = messages(spark, sf_dir).withColumn("types", secrets.secret_types("message"))
+    out = an.anonymize(df, WITH_IP).withColumn("s", secrets.secret_verdict("types", "0D"))
     return out.select(
         "msg_id",
         "sanitized_text",
@@ -193,18 +193,18 @@ def anonymize_strict(spark, sf_dir):
 # --- credentials ------------------------------------------------------------
 def _secret(pattern_no: int):
     def query(spark, sf_dir):
-        return _listed(messages(spark, sf_dir), secrets.secret_matches(F.col("message"), pattern_no), "matched")
+        return _listed(messages(spark, sf_dir), secrets.secret_matches("message", pattern_no), "matched")
 
     return query
 
 
 def secret_findings(spark, sf_dir):
-    rows = messages(spark, sf_dir).select("msg_id", F.explode_outer(secrets.secret_hits(F.col("message"))).alias("h"))
+    rows = messages(spark, sf_dir).select("msg_id", F.explode_outer(secrets.secret_hits("message")).alias("h"))
     return rows.where(F.col("h").isNotNull()).select("msg_id", "h.pattern_no", "h.type")
 
 
 def secret_summary(spark, sf_dir):
-    rows = messages(spark, sf_dir).select("source", F.explode_outer(secrets.secret_hits(F.col("message"))).alias("h"))
+    rows = messages(spark, sf_dir).select("source", F.explode_outer(secrets.secret_hits("message")).alias("h"))
     long = rows.where(F.col("h").isNotNull()).select("source", "h.type")
     return long.groupBy("source", "type").agg(F.count(F.lit(1)).alias("n_hits"))
 
@@ -212,11 +212,11 @@ def secret_summary(spark, sf_dir):
 def secret_verdict(spark, sf_dir):
     df = messages(spark, sf_dir).withColumns(
         {
-            "types": secrets.secret_types(F.col("message")),
-            "risk": secrets.extra_risk(F.col("message"), EXTRA_SECRET_RULES),
+            "types": secrets.secret_types("message"),
+            "risk": secrets.extra_risk("message", EXTRA_SECRET_RULES),
         }
     )
-    out = df.withColumn("s", secrets.secret_verdict(F.col("types"), F.col("risk")))
+    out = df.withColumn("s", secrets.secret_verdict("types", "risk"))
     return out.select(
         "msg_id",
         F.col("s.detected").alias("detected"),
@@ -229,7 +229,7 @@ def secret_verdict(spark, sf_dir):
 # --- scores -----------------------------------------------------------------
 def injection_score(spark, sf_dir):
     gated = sc.gate(messages(spark, sf_dir))
-    return gated.select("msg_id", scores.injection_score(F.col("model_text")).alias("injection_score"))
+    return gated.select("msg_id", scores.injection_score("model_text").alias("injection_score"))
 
 
 def toxicity_lexicon(spark, sf_dir):
@@ -283,7 +283,7 @@ def tone_lookup(spark, sf_dir):
         "msg_id", F.explode(F.concat(F.array(F.col("source")), F.col("detected_threats"))).alias("type")
     )
     return listed.select(
-        "msg_id", "type", ho.tone(F.col("type")).alias("tone"), ho.instruction(F.col("type")).alias("instruction")
+        "msg_id", "type", ho.tone("type").alias("tone"), ho.instruction("type").alias("instruction")
     )
 
 

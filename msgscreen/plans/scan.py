@@ -29,16 +29,15 @@ RESPONSE_COLUMNS = (
 )
 
 
-def gate(df: DataFrame, config: ScreenConfig = ScreenConfig(), text_col: str = "message") -> DataFrame:
+def gate(df: DataFrame, config: ScreenConfig = ScreenConfig(), text: str = "message") -> DataFrame:
     """Add ``char_count``, ``token_count``, ``too_long`` and the texts the scanners get."""
-    chars = F.length(text_col)
-    too_long = chars > config.max_message_chars
+    too_long = f"length({text}) > {config.max_message_chars}"
     return df.select(
-        *[F.col(c) for c in df.columns],
-        chars.alias("char_count"),
-        token_count(F.col(text_col)).alias("token_count"),
-        too_long.alias("too_long"),
-        F.when(~too_long, F.col(text_col)).alias("scan_text"),
+        *df.columns,
+        F.length(text).alias("char_count"),
+        token_count(F.col(text)).alias("token_count"),
+        F.expr(f"{too_long} as too_long"),
+        F.expr(f"case when not ({too_long}) then {text} end as scan_text"),
     ).withColumn("model_text", model_input(F.col("scan_text"), config.model_input_chars))
 
 
@@ -57,87 +56,68 @@ def detect(
     ``span_model`` one of ``text -> [(type, start, end, score)]``. Without them
     no row leaves the JVM.
     """
-    keep = [F.col(c) for c in df.columns]
     found = scores.with_toxicity_score(df, "model_text", lexicon).withColumns(
         {
-            "secret_types": secrets.secret_types(F.col("scan_text")),
-            "extra_risk": secrets.extra_risk(F.col("scan_text"), config.extra_secret_rules),
-            "injection_score": scores.injection_score(F.col("model_text"), config.injection_rules),
+            "_secret_types": secrets.secret_types("scan_text"),
+            "_extra_risk": secrets.extra_risk("scan_text", config.extra_secret_rules),
+            "injection_score": scores.injection_score("model_text", config.injection_rules),
         }
     )
-    scan_error = F.lit(None).cast("string")
+    scan_errors = []
     for name, model in (("injection", injection_model), ("toxicity", toxicity_model)):
-        if model is None:
-            continue
-        found = found.withColumn(f"_{name}", plugins.model_score(F.col("model_text"), model))
-        found = found.withColumn(
-            f"{name}_score",
-            F.greatest(F.col(f"{name}_score"), F.coalesce(F.col(f"_{name}.score"), F.lit(0.0))),
-        )
-        scan_error = F.coalesce(scan_error, F.col(f"_{name}.error"))
-
-    pii_error, plugin_spans = F.lit(None).cast("string"), None
+        if model is not None:
+            result = f"_{name}"
+            found = found.withColumn(result, plugins.model_score(F.col("model_text"), model))
+            found = found.withColumn(
+                f"{name}_score", F.expr(f"greatest({name}_score, coalesce({result}.score, 0D))")
+            )
+            scan_errors.append(f"{result}.error")
+
+    pii_error, plugin_spans = "cast(null as string)", None
     if span_model is not None:
         found = found.withColumn("_spans", plugins.model_spans(F.col("scan_text"), span_model))
         found = found.withColumn("_plugin_spans", F.col("_spans.spans"))
-        pii_error, plugin_spans = F.col("_spans.error"), "_plugin_spans"
+        pii_error, plugin_spans = "_spans.error", "_plugin_spans"
     found = anonymize(found, config, "scan_text", plugin_spans)
+    found = found.withColumn("_secrets", secrets.secret_verdict("_secret_types", "_extra_risk"))
 
     # A row whose PII scanner failed counts as unscanned for PII and secrets.
-    scanned = pii_error.isNull()
-    return found.select(
-        *keep,
-        F.when(scanned, F.col("sanitized_text")).alias("sanitized_text"),
-        F.when(scanned, F.col("entities")).alias("entities"),
-        F.when(scanned, secrets.secret_verdict(F.col("secret_types"), F.col("extra_risk"))).alias("secrets"),
-        F.col("injection_score"),
-        F.col("toxicity_score"),
-        pii_error.alias("pii_scanner_error"),
-        scan_error.alias("scan_error"),
+    def if_scanned(column: str, name: str) -> str:
+        return f"case when {pii_error} is null then {column} end as {name}" if span_model else f"{column} as {name}"
+
+    return found.selectExpr(
+        *df.columns,
+        if_scanned("sanitized_text", "sanitized_text"),
+        if_scanned("entities", "entities"),
+        if_scanned("_secrets", "secrets"),
+        "injection_score",
+        "toxicity_score",
+        f"{pii_error} as pii_scanner_error",
+        f"coalesce({', '.join(scan_errors) or 'cast(null as string)'}) as scan_error",
     )
 
 
-def decide(found: DataFrame, config: ScreenConfig = ScreenConfig(), text_col: str = "message") -> DataFrame:
+def decide(found: DataFrame, config: ScreenConfig = ScreenConfig(), text: str = "message") -> DataFrame:
     """Turn findings into the verdict columns."""
-    keep = [F.col(c) for c in found.columns]
-    flags = found.withColumns(
+    flagged = found.withColumns(
         {
-            "has_secrets": F.coalesce(F.col("secrets.detected"), F.lit(False)),
-            "has_pii": F.coalesce(F.size("entities") > 0, F.lit(False)),
-            "has_injection": scores.over_threshold(F.col("injection_score"), config.injection_threshold),
-            "has_toxicity": scores.over_threshold(F.col("toxicity_score"), config.toxicity_threshold),
+            "has_secrets": F.expr("coalesce(secrets.detected, false)"),
+            "has_pii": F.expr("coalesce(size(entities) > 0, false)"),
+            "has_injection": scores.over_threshold("injection_score", config.injection_threshold),
+            "has_toxicity": scores.over_threshold("toxicity_score", config.toxicity_threshold),
         }
-    ).withColumn(
-        "violations",
-        verdict.violations(
-            F.col("too_long"),
-            F.col("has_secrets"),
-            F.col("has_pii"),
-            F.col("has_injection"),
-            F.col("has_toxicity"),
-            F.col("secrets.risk_score"),
-            F.col("injection_score"),
-            F.col("toxicity_score"),
-        ),
     )
-    blocking = flags.withColumn("primary_violation", verdict.primary_violation(F.col("violations")))
-    return blocking.select(
-        *keep,
-        F.col("has_secrets"),
-        F.col("has_pii"),
-        F.col("has_injection"),
-        F.col("has_toxicity"),
-        F.col("violations"),
-        F.col("primary_violation"),
-        F.col("primary_violation").isNull().alias("allowed"),
-        F.lit(None).cast("bigint").alias("scan_duration_ms"),
-        F.col(text_col).alias("original_prompt"),
-        verdict.anonymized_prompt(F.col("has_pii"), F.col("sanitized_text")).alias("anonymized_prompt"),
-        handoff.handoff(
-            F.col("primary_violation.type"), F.col("primary_violation.confidence"), F.col("char_count")
-        ).alias("llm_handoff"),
-        verdict.detected_threats(F.col("violations")).alias("detected_threats"),
-        verdict.risk_level(F.col("violations")).alias("risk_level"),
+    judged = flagged.withColumn("violations", verdict.violations())
+    judged = judged.withColumn("primary_violation", verdict.primary_violation("violations"))
+    return judged.select(
+        "*",
+        F.expr("primary_violation is null as allowed"),
+        F.expr("cast(null as bigint) as scan_duration_ms"),
+        F.col(text).alias("original_prompt"),
+        F.expr("case when has_pii then sanitized_text end as anonymized_prompt"),
+        handoff.handoff("primary_violation.type", "primary_violation.confidence", "char_count").alias("llm_handoff"),
+        verdict.detected_threats("violations").alias("detected_threats"),
+        verdict.risk_level("violations").alias("risk_level"),
         F.current_timestamp().alias("scanned_at"),
     )
 

@@ -150,8 +150,7 @@ def test_environment_sets_thresholds(monkeypatch):
 
 def test_tone_defaults(spark):
     row = spark.range(1).select(
-        ho.tone(F.lit("Jailbreak")).alias("a"), ho.tone(F.lit("other")).alias("b"),
-        ho.instruction(F.lit(None).cast("string")).alias("c"),
+        ho.tone("'Jailbreak'").alias("a"), ho.tone("'other'").alias("b"), ho.instruction("null").alias("c")
     ).first()
     assert tuple(row) == ("lightly humorous and firm", fv.DEFAULT_TONE, fv.DEFAULT_INSTRUCTION)
     assert ho.tone_dim(spark).count() == 7

@@ -28,21 +28,20 @@ SECRETS = [
 
 @pytest.mark.parametrize("text,types", SECRETS)
 def test_secret_types(one, text, types):
-    assert one(lambda d: d.select(secrets.secret_types(F.col("message")).alias("t")), text).t == types
+    assert one(lambda d: d.select(secrets.secret_types("message").alias("t")), text).t == types
 
 
 def test_secret_match_holds_the_value(one):
-    row = one(lambda d: d.select(secrets.secret_matches(F.col("message"), 4).alias("m")), "password: hunter2 x")
+    row = one(lambda d: d.select(secrets.secret_matches("message", 4).alias("m")), "password: hunter2 x")
     assert row.m == ["password: hunter2"]
 
 
 def test_secret_verdict_combines_risk(messages):
     rules = (("ref", r"\bref \d+", 0.4),)
     df = messages("ref 12", "password: x ref 12", "clean").select(
-        secrets.secret_verdict(
-            secrets.secret_types(F.col("message")), secrets.extra_risk(F.col("message"), rules)
-        ).alias("s")
+        secrets.secret_types("message").alias("types"), secrets.extra_risk("message", rules).alias("risk")
     )
+    df = df.select(secrets.secret_verdict("types", "risk").alias("s"))
     got = [(r.s.detected, r.s.is_valid, r.s.risk_score) for r in df.collect()]
     assert got == [(True, False, 0.4), (True, False, 1.0), (False, True, 0.0)]
 
@@ -60,11 +59,11 @@ def test_secret_verdict_combines_risk(messages):
     ],
 )
 def test_injection_score(one, text, score):
-    assert one(lambda d: d.select(scores.injection_score(F.col("message")).alias("s")), text).s == score
+    assert one(lambda d: d.select(scores.injection_score("message").alias("s")), text).s == score
 
 
 def test_no_injection_rules(one):
-    assert one(lambda d: d.select(scores.injection_score(F.col("message"), ()).alias("s")), "x").s == 0.0
+    assert one(lambda d: d.select(scores.injection_score("message", ()).alias("s")), "x").s == 0.0
 
 
 def test_lexicon_like_brute_force(spark):
@@ -99,7 +98,7 @@ def test_toxicity_score(spark, messages):
 
 def test_thresholds_are_inclusive(spark):
     df = spark.createDataFrame([(0.79,), (0.8,), (None,)], "s double")
-    assert [r.x for r in df.select(scores.over_threshold(F.col("s"), 0.8).alias("x")).collect()] == [False, True, False]
+    assert [r.x for r in df.select(scores.over_threshold("s", 0.8).alias("x")).collect()] == [False, True, False]
 
 
 @pytest.mark.parametrize("n,tokens", [(0, 1), (3, 1), (4, 1), (8, 2), (2001, 500)])
