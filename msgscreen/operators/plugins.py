@@ -4,6 +4,10 @@ The only Python in the package. A plug-in sees Arrow batches of one text column,
 loads its model once per worker, and fails row by row: an exception becomes
 ``error`` text beside a null result instead of failing the task or letting an
 unscanned row pass. Helpers are closures, so workers need no copy of the package.
+
+Plug-ins are marked as not deterministic. A filter on a result, such as the one
+for failed rows, would else be pushed below the projection and run the model a
+second time.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ def model_score(text: Column, load: Callable[[], Callable[[str], float]]) -> Col
             rows = [attempt(scorer, t) for t in texts]
             yield pd.DataFrame(rows, columns=["score", "error"]).astype({"score": "float64", "error": "object"})
 
-    return run(text)
+    return run.asNondeterministic()(text)
 
 
 def model_spans(text: Column, load: Callable[[], Callable[[str], list]]) -> Column:
@@ -63,4 +67,4 @@ def model_spans(text: Column, load: Callable[[], Callable[[str], list]]) -> Colu
             rows = [attempt(recognizer, t) for t in texts]
             yield pd.DataFrame(rows, columns=["spans", "error"]).astype("object")
 
-    return run(text)
+    return run.asNondeterministic()(text)

@@ -20,6 +20,7 @@ from ..sources.messages import (
     corpus,
     derived_messages,
     documents_as_messages,
+    idle_cores,
     spread,
     table,
 )
@@ -390,7 +391,13 @@ def stream_scan(spark, sf_dir):
         .unionByName(derived_messages(source("customer")))
     )
     learned = spark.read.parquet(f"{work}/lexicon")
-    query = start_scan(arriving, lambda m: sc.scan(m, lexicon=learned), f"{work}/out", f"{work}/checkpoint")
+    query = start_scan(
+        arriving,
+        lambda m: sc.scan(m, lexicon=learned),
+        f"{work}/out",
+        f"{work}/checkpoint",
+        tasks=idle_cores(table(spark, sf_dir, "documents")),
+    )
     query.awaitTermination()
     return sc.flatten(spark.read.parquet(f"{work}/out"), "msg_id", "route")
 

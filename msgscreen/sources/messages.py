@@ -42,6 +42,12 @@ def read_messages(spark: SparkSession, path: str, format: str = "parquet", **opt
     return spark.read.schema(MESSAGE_SCHEMA).options(**options).format(format).load(path)
 
 
+def idle_cores(df: DataFrame) -> int | None:
+    """The number of cores if a static input has too few splits to busy them, else None."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return cores if df.rdd.getNumPartitions() <= cores else None
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use every core on an input too small to give each of them a file split.
 
@@ -49,8 +55,8 @@ def spread(df: DataFrame) -> DataFrame:
     alone: no shuffle of the texts. Row groups cannot be split, so a small file
     would otherwise be screened by a single task.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
+    cores = idle_cores(df)
+    return df.repartition(cores) if cores else df
 
 
 # ---------------------------------------------------------------------------

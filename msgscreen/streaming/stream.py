@@ -37,13 +37,16 @@ def start_scan(
     checkpoint: str,
     available_now: bool = True,
     interval: str = "10 seconds",
+    tasks: int | None = None,
 ) -> StreamingQuery:
     """Scan a stream into parquet below ``path``, partitioned by route (hold / reply / forward).
 
     Per-batch counts arrive as observed metrics named ``scan`` in the query
-    progress, where a ``StreamingQueryListener`` can pick them up.
+    progress, where a ``StreamingQueryListener`` can pick them up. ``tasks``
+    spreads each batch, for sources that bring fewer file splits than there are
+    cores; leave it out where batches hold many files.
     """
-    scanned = scan(messages)
+    scanned = scan(messages.repartition(tasks) if tasks else messages)
     counted = scanned.observe("scan", *metric_columns())
     writer = (
         route(counted)

@@ -189,6 +189,11 @@ def test_failed_rows_are_held_and_quarantined(messages):
     }
 
 
+def test_a_filter_on_failures_does_not_run_the_model_twice(messages):
+    df = quarantined(scan(messages("x"), span_model=_ip_model(), injection_model=_scorer()))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 2
+
+
 def test_native_scan_stays_in_the_jvm(messages):
     plan = scan(messages("x"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan.replace("ExistingRDD", "") and "Exchange" not in plan
