@@ -25,6 +25,16 @@ def find_tokens(text: str) -> Column:
     return F.expr(only_if(holds_any(text, "["), find_all(text, fv.TOKEN_PATTERN)))
 
 
+def nth_of_kind(kinds: str) -> Column:
+    """For each element how many equal ones stand before it."""
+    return F.expr(
+        f"""
+        transform(array_sort(flatten(transform(array_distinct({kinds}),
+          k -> transform(filter(transform({kinds}, (t, i) -> named_struct('i', i, 't', t)), p -> p.t = k),
+            (p, n) -> named_struct('i', p.i, 'n', n))))), p -> p.n)"""
+    )
+
+
 def bind_tokens(tokens: str, types: str, nth: str, values: dict[str, str]) -> Column:
     """Entities for the tokens in the text: the n-th token of a type takes its n-th value."""
     cases = " ".join(f"when {quoted(t)} then get({c}, {nth}[i])" for t, c in values.items())
@@ -132,7 +142,7 @@ def _anonymize_compat(df: DataFrame, config: ScreenConfig, text: str, plugin_spa
     out = out.withColumn("_tokens", find_tokens(redacted))
     kind = f"regexp_extract(t, {quoted(jvm_pattern(fv.TOKEN_PATTERN))}, 1)"
     out = out.withColumn("_types", F.expr(f"transform(_tokens, t -> {kind})"))
-    out = out.withColumn("_nth", F.expr("transform(_types, (t, i) -> size(filter(slice(_types, 1, i), o -> o = t)))"))
+    out = out.withColumn("_nth", nth_of_kind("_types"))
     out = out.withColumns(
         {"_bound": bind_tokens("_tokens", "_types", "_nth", values), "_fallback": fallback_entities("_types", values)}
     )

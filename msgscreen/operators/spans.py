@@ -112,26 +112,43 @@ def score_filter(spans: str, threshold: float = fv.SPAN_SCORE_THRESHOLD) -> Colu
     return F.expr(f"filter({spans}, s -> s.score >= cast({threshold} as double))")
 
 
+def _longest_first(spans: str) -> str:
+    """Spans of one overlapping run without overlaps."""
+    return f"""
+    if(size({spans}) <= 1, {spans}, aggregate(
+      array_sort(transform({spans}, s -> named_struct(
+        'neg_len', s.start - s.end, 'start', s.start, 'type', s.type, 'span', s))),
+      {empty_array(SPAN_FIELDS)},
+      (kept, r) -> if(exists(kept, k -> k.start < r.span.end and r.span.start < k.end),
+        kept, concat(kept, array(r.span)))))"""
+
+
 def resolve_overlaps(spans: str) -> Column:
-    """Keep the longest span of an overlap, then the earliest, then by type; sorted by start."""
+    """Keep the longest span of an overlap, then the earliest, then by type; sorted by start.
+
+    Spans are read in text order and compared only within a run of overlapping
+    ones, so a text with thousands of them does not compare all pairs.
+    """
     return F.expr(
         f"""
         case when size({spans}) <= 1 then {spans} else array_sort(aggregate(
-          array_sort(transform({spans}, s -> named_struct(
-            'neg_len', s.start - s.end, 'start', s.start, 'type', s.type, 'span', s))),
-          {empty_array(SPAN_FIELDS)},
-          (kept, r) -> if(exists(kept, k -> k.start < r.span.end and r.span.start < k.end),
-            kept, concat(kept, array(r.span))))) end"""
+          array_sort({spans}),
+          named_struct('run', {empty_array(SPAN_FIELDS)}, 'end', 0, 'done', {empty_array(SPAN_FIELDS)}),
+          (a, s) -> if(s.start < a.end,
+            named_struct('run', concat(a.run, array(s)), 'end', greatest(a.end, s.end), 'done', a.done),
+            named_struct('run', array(s), 'end', s.end, 'done', concat(a.done, {_longest_first('a.run')}))),
+          a -> concat(a.done, {_longest_first('a.run')}))) end"""
     )
 
 
 def number_tokens(spans: str) -> Column:
-    """Add ``token`` = ``[TYPE_n]``, n counted per type from 0, left to right."""
+    """Add ``token`` = ``[TYPE_n]``, n counted per type from 0, left to right; sorted by start."""
     return F.expr(
         f"""
-        transform({spans}, (s, i) -> named_struct(
-          'start', s.start, 'end', s.end, 'type', s.type, 'score', s.score, 'value', s.value,
-          'token', concat('[', s.type, '_', size(filter(slice({spans}, 1, i), o -> o.type = s.type)), ']')))"""
+        array_sort(flatten(transform(array_distinct(transform({spans}, s -> s.type)),
+          t -> transform(filter({spans}, s -> s.type = t), (s, n) -> named_struct(
+            'start', s.start, 'end', s.end, 'type', s.type, 'score', s.score, 'value', s.value,
+            'token', concat('[', t, '_', n, ']'))))))"""
     )
 
 

@@ -20,8 +20,8 @@ SECRETS = [
     ("mysecret=abcdefgh1", []),
     ("token=abc", []),
     ("password is x", []),
-    ("ſecret = abcdefgh1234", ["SECRET"]),
-    ("password: hunter2", ["PASSWORD"]),
+    ("\u017fecret = abcdefgh1234", ["SECRET"]),
+    ("password:\u00a0hunter2", ["PASSWORD"]),
     (None, []),
 ]
 
