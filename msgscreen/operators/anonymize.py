@@ -124,7 +124,8 @@ def _values_of(type_: str) -> Column:
 
 def _anonymize_compat(df: DataFrame, config: ScreenConfig, text: str, plugin_spans: str | None) -> DataFrame:
     values = {t: f"_v_{t}" for t in pii.SUPPLEMENT_TYPES}
-    out = df.withColumns({values[t]: v for t, v in pii.supplement_values(text).items()})
+    out = df.withColumn("_digits", pii.has_digit(text))
+    out = out.withColumns({values[t]: v for t, v in pii.supplement_values(text, "_digits").items()})
 
     redacted = text
     if config.recognizers or plugin_spans:

@@ -17,17 +17,24 @@ def emails(text: str) -> Column:
     return F.expr(only_if(holds_any(text, "@"), find_all(text, fv.EMAIL_PATTERN)))
 
 
-def phones(text: str) -> Column:
+def has_digit(text: str) -> Column:
+    return F.expr(matches(text, r"\d"))
+
+
+def phones(text: str, digits: str | None = None) -> Column:
+    """``digits`` names a column made by ``has_digit``, to share the test between recognisers."""
     # The pattern tries several optional parts at every word; most texts hold no digit at all.
-    return F.expr(only_if(matches(text, r"\d"), find_all(text, fv.PHONE_PATTERN)))
+    return F.expr(only_if(digits or matches(text, r"\d"), find_all(text, fv.PHONE_PATTERN)))
 
 
-def ssns(text: str) -> Column:
-    return F.expr(find_all(text, fv.SSN_PATTERN))
+def ssns(text: str, digits: str | None = None) -> Column:
+    found = find_all(text, fv.SSN_PATTERN)
+    return F.expr(only_if(digits, found) if digits else found)
 
 
-def cards(text: str) -> Column:
-    return F.expr(find_all(text, fv.CARD_PATTERN))
+def cards(text: str, digits: str | None = None) -> Column:
+    found = find_all(text, fv.CARD_PATTERN)
+    return F.expr(only_if(digits, found) if digits else found)
 
 
 def introduced_names(text: str) -> Column:
@@ -48,9 +55,9 @@ def names(text: str) -> Column:
     return F.concat(introduced_names(text), greeted_names(text))
 
 
-def supplement_values(text: str) -> dict[str, Column]:
+def supplement_values(text: str, digits: str | None = None) -> dict[str, Column]:
     """One array column per type, in report order."""
-    found = (emails(text), phones(text), ssns(text), cards(text), names(text))
+    found = (emails(text), phones(text, digits), ssns(text, digits), cards(text, digits), names(text))
     return dict(zip(SUPPLEMENT_TYPES, found))
 
 

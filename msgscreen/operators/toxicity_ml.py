@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 
 
-def train(documents: DataFrame, labels: DataFrame, features: int = 1 << 15, iterations: int = 20) -> PipelineModel:
+def train(documents: DataFrame, labels: DataFrame, features: int = 1 << 15, iterations: int = 10) -> PipelineModel:
     """Fit on the labelled documents; training aggregates gradients as a tree, never rows on the driver."""
     rows = documents.join(labels.select("doc_id", "toxic"), "doc_id").select(
         F.col("text"), F.col("toxic").cast("double").alias("label")
