@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as contract
 import oracle
+from msgscreen.plans import registered
 
 QUERIES = contract.queries()
 SQL = contract.oracle_sql()
@@ -24,7 +25,7 @@ def test_every_statement_has_a_query():
 
 
 def test_only_the_learned_model_has_no_sql():
-    assert set(QUERIES) - set(SQL) == {"toxicity_ml"}
+    assert set(registered.QUERIES) - set(SQL) == {"toxicity_ml"}
 
 
 def test_learned_model_scores_every_document(spark, small_dir):
