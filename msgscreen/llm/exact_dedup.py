@@ -21,6 +21,8 @@ from .common import ascii_lower, stored, text_or_empty
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+# Many stores with little in each: room is taken as it is used, not in advance.
+ALLOCATE = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
 
 
 def sha256(text: Column) -> Column:
@@ -38,7 +40,7 @@ def located(docs: DataFrame, row_id: Column, text: Column) -> DataFrame:
 
 def keyed_state(arrivals: str, schema, spark, files_per_batch: int | None) -> DataFrame:
     """Run the stream over the arrivals to its end; ``digest, keeper, n`` of the state it leaves."""
-    before = spark.conf.get(PROVIDER)
+    before = {PROVIDER: spark.conf.get(PROVIDER), ALLOCATE: spark.conf.get(ALLOCATE, "true")}
     out = shared_dir(spark, "dedup-state")
     reader = spark.readStream.schema(schema)
     if files_per_batch:
@@ -50,6 +52,7 @@ def keyed_state(arrivals: str, schema, spark, files_per_batch: int | None) -> Da
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     spark.conf.set(PROVIDER, ROCKSDB)
+    spark.conf.set(ALLOCATE, "false")
     try:
         run = (
             state.writeStream.outputMode("update")
@@ -60,7 +63,8 @@ def keyed_state(arrivals: str, schema, spark, files_per_batch: int | None) -> Da
         )
         run.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     shape = "digest binary, keeper struct<id:bigint,at:struct<file:string,row:bigint>>, n bigint"
     updates = spark.read.schema(f"{shape}, batch int").parquet(out)
     # Each batch gives the new value of the digests it touched: the last one counts.
