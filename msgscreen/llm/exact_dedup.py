@@ -101,7 +101,8 @@ def exact_duplicates(
     # Hits: bring the bytes of these rows only, and compare each with those of the row that stays.
     hits = keyed.select("id", "at", "digest").join(state.where("n > 1").select("digest", "keeper"), "digest")
     hits = stored(hits.select("digest", "id", "at", F.col("keeper.at").alias("stays")), "dedup-hits")
-    content = hits.select("at", "digest", "stays").join(rows.select("at", "text"), "at")
+    # Both sides are as large as the duplicates allow: always a shuffle, whatever a small table's size suggests.
+    content = hits.select("at", "digest", "stays").hint("merge").join(rows.select("at", "text"), "at")
     content = stored(content, "dedup-bytes")
     kept_bytes = content.where("at = stays").select("digest", F.col("text").alias("kept_text"))
     differing = content.select("digest", "text").join(kept_bytes, "digest").where("text <> kept_text")
