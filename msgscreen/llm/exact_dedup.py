@@ -106,7 +106,8 @@ def exact_duplicates(
     content = stored(content, "dedup-bytes")
     kept_bytes = content.where("at = stays").select("digest", F.col("text").alias("kept_text"))
     differing = content.select("digest", "text").join(kept_bytes, "digest").where("text <> kept_text")
-    split = stored(differing.select("digest").distinct(), "dedup-collisions")
+    # No distinct here: it would hold each digest's rows together and keep a hot one from being split.
+    split = stored(differing.select("digest"), "dedup-collisions")
 
     # Different texts under one digest: the texts themselves are the key there.
     apart = content.join(split, "digest", "left_semi").select("at", "text").join(keyed.select("at", "id"), "at")
