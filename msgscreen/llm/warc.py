@@ -210,7 +210,8 @@ def read_archives(listing: DataFrame, directory: str) -> DataFrame:
                     ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
                 )
 
-    spread = listing.select("archive", "records").repartition(F.xxhash64("archive"))
+    # The listing is tiny and its archives are not: a given number of tasks, which Spark does not merge.
+    spread = listing.select("archive", "records").repartition(max(1, listing.count()), "archive")
     return spread.mapInArrow(
         run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     )
