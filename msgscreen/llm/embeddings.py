@@ -131,7 +131,7 @@ def placed(points: DataFrame, plan: Plan, cell_windows: int, tile_rows: int) ->
     return rows.select("width", "grid", "x", "y", "tile", visit.alias("visit"), "node", "weight", "low", "v")
 
 
-def verified(batches: Iterator[pa.RecordBatch], plan: Plan, threshold: float) -> Iterator[pa.RecordBatch]:
+def verified(batches: Iterator[pa.RecordBatch], plan: Plan, threshold: float, cell_windows: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by tile, its own points first: ``a, b`` of links that connect, and ``a, n`` of link counts.
 
     A pair counts in the first grid that brings it together only. Per tile a task
@@ -141,17 +141,31 @@ def verified(batches: Iterator[pa.RecordBatch], plan: Plan, threshold: float) ->
     current, parts, own, label = None, [], None, None
     dims = 2 * plan.grids
 
+    def by_line(side):
+        """The rows sorted along the grid's first line; ``x`` counts its steps from one window before the cell."""
+        x = side["low"][:, 2 * current[1]] - np.uint8((current[2] * cell_windows * UNIT - UNIT) & 255)
+        order = np.argsort(x, kind="stable")
+        return {k: v[order] for k, v in side.items()} | {"x": x[order].astype(np.int16)}
+
     def near(left, right, skip_lower: bool):
-        """Index pairs of verified links, ``first`` telling those that no earlier grid has met."""
-        step = max(1, BLOCK // max(1, len(right["node"])))
+        """Index pairs of verified links, ``first`` telling those that no earlier grid has met; both sides sorted."""
+        step = max(1, min(256, BLOCK // max(1, len(right["node"]))))
         span = np.uint8(2 * UNIT)
         for lo in range(0, len(left["node"]), step):
-            ours = left["low"][lo : lo + step]
-            count = np.zeros((len(ours), len(right["node"])), np.uint8)
+            ours, x = left["low"][lo : lo + step], left["x"][lo : lo + step]
+            start = int(np.searchsorted(right["x"], x[0] - UNIT))
+            if skip_lower:
+                start = max(start, lo + 1)
+            theirs = right["low"][start : int(np.searchsorted(right["x"], x[-1] + UNIT, side="right"))]
+            if not len(theirs):
+                continue
+            columns = np.ascontiguousarray(theirs.T)
+            count = np.zeros((len(ours), len(theirs)), np.uint8)
             for k in range(plan.lines):
-                shifted = ours[:, k, None] + np.uint8(UNIT) - right["low"][None, :, k]
+                shifted = ours[:, k, None] + np.uint8(UNIT) - columns[k]
                 count += shifted <= span
             i, j = np.nonzero(count >= plan.hits)
+            j = j + start
             if skip_lower:
                 keep = i + lo < j
                 i, j = i[keep], j[keep]
@@ -176,7 +190,7 @@ def verified(batches: Iterator[pa.RecordBatch], plan: Plan, threshold: float) ->
 
     def settle():
         nonlocal own, label
-        own = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+        own = by_line({k: np.concatenate([p[k] for p in parts]) for k in parts[0]})
         size = len(own["node"])
         label, links = np.arange(size), np.zeros(size)
         for i, j, first in near(own, own, True):
@@ -212,7 +226,7 @@ def verified(batches: Iterator[pa.RecordBatch], plan: Plan, threshold: float) ->
                 continue
             if own is None:
                 yield from settle()
-            guests = {k: v[first:] for k, v in part.items()}
+            guests = by_line({k: v[first:] for k, v in part.items()})
             ours, theirs = np.zeros(len(own["node"])), np.zeros(len(guests["node"]))
             seen = [np.empty((0, 2), np.int64)]
             for i, j, new in near(own, guests, False):
@@ -233,7 +247,7 @@ def embedding_groups(
     vector_col: str = "embedding",
     threshold: float = 0.95,
     plan: Plan | None = None,
-    cell_windows: int = 3,
+    cell_windows: int = 2,
     tile_rows: int = 8192,
     seed: int = 7,
 ) -> DataFrame:
@@ -256,7 +270,7 @@ def embedding_groups(
         .repartition("width", "grid", "x", "y", "tile")
         .sortWithinPartitions("width", "grid", "x", "y", "tile", "visit")
     )
-    found = stored(sorted_rows.mapInArrow(lambda b: verified(b, plan, threshold), "a long, b long, n long"), "embeddings-links")
+    found = stored(sorted_rows.mapInArrow(lambda b: verified(b, plan, threshold, cell_windows), "a long, b long, n long"), "embeddings-links")
     grouped = components(found.where("b >= 0").select("a", "b"), "embeddings")
     links = found.where("b < 0").groupBy(F.col("a").alias("linked")).agg(F.sum("n").alias("n"))
     per_point = (
