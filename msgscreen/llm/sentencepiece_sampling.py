@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-CACHED_CHARS, CACHED_UNITS = 40, 100_000
+CACHED_CHARS, CACHED_UNITS = 40, 30_000
 RANK_SHIFT = 10.0
 
 
