@@ -10,73 +10,58 @@ patterns, and Spark gives every piece its place by its rank within its length.
 
 from __future__ import annotations
 
-import re
+import base64
 import struct
-import time
 import zlib
-from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import stored
 
-WHITE = "\t-\r \x85\xa0  -     　"
-# Parts whose ends the tokenizer's own pre-tokens never cross: a word before plain
-# punctuation or white space, a run of other characters, white space.
-PART = re.compile(
-    f" ?[^{WHITE}\\W\\d_]++(?=[.,!|*$%#&:;{WHITE}]|\\Z)| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
-)
-KEPT_PARTS, KEPT_CHARS = 400_000, 64
+# How the tokenizer itself splits a text before its merges (a fixed value of the vocabulary).
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BUCKETS = 4096  # parts of a length in which pieces are ranked, so that a length shared by many splits
 
 
 class Ids:
-    """Token ids of texts; ids of parts met before are kept, up to a bound."""
+    """Token ids of texts.
 
-    def __init__(self, vocabulary: str):
+    ``ranks`` holds the vocabulary in rank form, with which a text is encoded several
+    times faster; the ids are the same. Texts that spell out a special token go to
+    the tokenizer itself.
+    """
+
+    def __init__(self, vocabulary: str, ranks: str):
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        special = self.tokenizer.get_added_tokens_decoder().values()
-        self.special = [t.content for t in special]
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def of(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        for lo in range(0, len(texts), 64):
-            some = texts[lo : lo + 64]
-            parts = [None if any(s in t for s in self.special) else PART.findall(t) for t in some]
-            if len(self.known) > KEPT_PARTS:
-                self.known = {}
-            known = self.known
-            new = list({p for found in parts if found for p in found}.difference(known))
-            for part, encoding in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[part] = array("I", encoding.ids).tobytes()
-            for text, found in zip(some, parts):
-                yield self.whole(text) if found is None else b"".join(map(known.__getitem__, found))
-            for part in new:
-                if len(part) > KEPT_CHARS:
-                    del known[part]
-
-
-def pieces_of(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col: str, text_col: str) -> DataFrame:
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(ranks, "rb") as lines:
+            merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.plain = tiktoken.Encoding("plain", pat_str=SPLIT, mergeable_ranks=merges, special_tokens={})
+
+    def of(self, text: str) -> bytes:
+        """Little-endian 32-bit ids."""
+        if any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.plain.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+
+
+def pieces_of(docs: DataFrame, vocabulary: str, ranks: str, end_id: int, capacity: int, id_col: str, text_col: str) -> DataFrame:
     """``id, piece, start, length, ids_crc32`` of every row; null texts are empty, and every document ends in ``end_id``."""
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(vocabulary)
+        ids = Ids(vocabulary, ranks)
         for batch in batches:
             columns = [[], [], [], [], []]
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for row, data in enumerate(ids.of(texts)):
-                data += end
+            for row, text in enumerate(batch.column(1)):
+                data = ids.of(text.as_py() or "") + end
                 n = len(data) // 4
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
@@ -170,18 +155,18 @@ def least_sequences(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def complete(counts: dict[int, int], capacity: int, width: int = 3, seconds: float = 20.0) -> list[tuple[tuple[int, ...], int]]:
-    """Bin completion, branch and bound, within a time for improving on the incumbent."""
+def complete(counts: dict[int, int], capacity: int, width: int = 3, nodes: int = 1500) -> list[tuple[tuple[int, ...], int]]:
+    """Bin completion, branch and bound, within a number of nodes for improving on the incumbent."""
     counts = {k: v for k, v in counts.items() if v}
     incumbent = best_fit(counts, capacity)
     least = least_sequences(counts, capacity)
     best = [sum(n for _, n in incumbent), incumbent]
-    stop = time.monotonic() + seconds
     spare = lambda: (best[0] - 1) * capacity - sum(k * v for k, v in counts.items())  # noqa: E731  waste that still improves
 
     # Depth first with an own stack: (counts left, patterns so far, waste so far).
     stack = [(dict(counts), (), 0)]
-    while stack and best[0] > least and time.monotonic() < stop:
+    while stack and best[0] > least and nodes:
+        nodes -= 1
         left, plan, waste = stack.pop()
         if not left:
             total, patterns, node = 0, [], plan
@@ -234,6 +219,7 @@ def plan_runs(patterns: list[tuple[tuple[int, ...], int]], capacity: int) -> np.
 def packed(
     docs: DataFrame,
     vocabulary: str,
+    ranks: str,
     capacity: int = 1024,
     end_id: int = 2,
     id_col: str = "doc_id",
@@ -251,7 +237,7 @@ def packed(
     are ranked within hash buckets whose counts are summed up before, so a length
     that a third of all pieces share is ranked by many tasks.
     """
-    pieces = pieces_of(docs, vocabulary, end_id, capacity, id_col, text_col)
+    pieces = pieces_of(docs, vocabulary, ranks, end_id, capacity, id_col, text_col)
     bucket = F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int")
     pieces = stored(pieces.withColumn("bucket", bucket), "packing-pieces")
     by_bucket = pieces.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))

@@ -86,7 +86,7 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = packing.packed(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    found = packing.packed(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"))
     return found.withColumnRenamed("id", "doc_id")
 
 
