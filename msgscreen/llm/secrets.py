@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.patterns import quoted
 from .common import stored, text_or_empty
 
 # Fixed values of the contract. Lengths are tested after matching, as stated there.
@@ -32,7 +33,7 @@ def pieces(text: str, pattern: str, rank: int, value_group: int, where: str) ->
     Spark gives matches and the gaps before them, not offsets; those are running
     sums, taken later. Texts without a match skip all this.
     """
-    q = "r'" + pattern.replace("'", r"\x27") + "'"
+    q = quoted(pattern)
     whole = f"regexp_extract_all({text}, {q}, 0)"
     value = f"regexp_extract_all({text}, {q}, {value_group})" if value_group else whole
     pairs = f"zip_with({whole}, {value}, (m, v) -> named_struct('m', m, 'v', v))"
