@@ -33,13 +33,8 @@ SSN_PATTERN = r"\b\d{3}-\d{2}-\d{4}\b"
 CARD_PATTERN = r"\b(?:\d{4}[-\s]?){3}\d{4}\b"
 
 # Name patterns (case-insensitive, group 1 is the name)
-NAME_INTRO_PATTERN = (
-    r"(?:my name is|i am|i'm|call me|this is|name's|myself)\s+"
-    r"([A-Za-z][a-z]{1,}(?:\s+[A-Z][a-z]+)*)"
-)
-NAME_GREETING_PATTERN = (
-    r"(?:hi|hey|hello)[,\s]+(?:i(?:'m| am)\s+)?([A-Z][a-z]{1,}(?:\s+[A-Z][a-z]+)*)"
-)
+NAME_INTRO_PATTERN = r"(?:my name is|i am|i'm|call me|this is|name's|myself)\s+([A-Za-z][a-z]{1,}(?:\s+[A-Z][a-z]+)*)"
+NAME_GREETING_PATTERN = r"(?:hi|hey|hello)[,\s]+(?:i(?:'m| am)\s+)?([A-Z][a-z]{1,}(?:\s+[A-Z][a-z]+)*)"
 
 # Fixed value: redaction token
 TOKEN_PATTERN = r"\[([A-Z_]+)_(\d+)\]"
@@ -105,7 +100,7 @@ INJECTION_RULES = (
     ("override", r"\b(?:ignore|disregard|forget)\s+(?:all\s+|any\s+)?(?:of\s+)?(?:the\s+|your\s+|my\s+)?(?:previous|prior|above|earlier)\s+(?:instructions?|rules?|prompts?|messages?)\b", 1.0),
     ("reveal_prompt", r"\b(?:reveal|show|print|repeat|tell\s+me)\s+(?:me\s+)?your\s+(?:system|hidden|initial)\s+(?:prompt|instructions?)\b", 0.95),
     ("jailbreak", r"\b(?:jailbreak|do\s+anything\s+now|dan\s+mode)\b", 0.95),
-    ("no_limits_persona", r"\b(?:pretend|act|respond)\s+(?:to\s+be|as\s+if|as|like)\b[^.!?]{0,80}\b(?:no|without(?:\s+any)?)\s+(?:restrictions|rules|filters|limits)\b", 0.9),
+    ("no_limits_persona", r"\b(?:pretend|act|respond)\s+(?:to\s+be|as\s+if|as|like)\b[^.!?]*\b(?:no|without(?:\s+any)?)\s+(?:restrictions|rules|filters|limits)\b", 0.9),
     ("bypass", r"\b(?:bypass|disable|turn\s+off)\s+(?:your\s+|the\s+|all\s+)?(?:safety|security|content)\s+(?:filters?|rules?|checks?|guidelines?)\b", 0.9),
     ("privileged_mode", r"\b(?:developer|god|debug|admin)\s+mode\s+(?:on|enabled|activated)\b", 0.85),
     ("new_instructions", r"\bnew\s+instructions\s*:", 0.6),

@@ -12,14 +12,27 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+NAME_TAIL = r"(?:\s+[A-Z][a-z]+)*"
+
 
 def quoted(text: str) -> str:
-    """A SQL string literal."""
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    """A SQL string literal that means the same under every setting of the parser.
+
+    Sessions may read backslashes as they stand (``escapedStringLiterals``), so texts
+    with backslashes or quotes are given by their bytes.
+    """
+    if "\\" in text or "'" in text:
+        return f"cast(X'{text.encode().hex()}' as string)"
+    return f"'{text}'"
 
 
 def jvm_pattern(pattern: str, ignore_case: bool = False) -> str:
-    return ("(?iU)" if ignore_case else "(?U)") + pattern
+    """The pattern for the JVM, where a repeated group needs stack for every turn.
+
+    Name tails end their patterns, so giving nothing back changes no match; it keeps
+    long runs of words from overflowing the stack.
+    """
+    return ("(?iU)" if ignore_case else "(?U)") + pattern.replace(NAME_TAIL, NAME_TAIL + "+")
 
 
 def empty_array(ddl: str = "string") -> str:

@@ -7,10 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A text is hot from 1/1000 of all rows on, so there are fewer than 1000 hot texts
-# however large the table is: their keys fit into any broadcast.
-HOT_SHARE = 1000
-
 
 def text_key(text: Column) -> Column:
     """SHA-256 of the text, 32 bytes.
@@ -34,17 +30,16 @@ def per_distinct_text(
     the key and every row. Rows carry only their key through the join, the text
     comes back from the distinct side. Copies are combined on the map side before
     the first shuffle, which also serves to find the hot texts. A hot text is
-    spread over several join keys, with its one result repeated for each, so no
-    task gets all copies of it.
+    spread over as many join keys as it has ``rows_per_salt`` copies, with its one
+    result repeated for each. The small table of hot texts meets the rows by an
+    ordinary join, whose hot side Spark can split.
     """
     keyed = df.withColumn("_key", text_key(F.col(text_col)))
     distinct = keyed.groupBy("_key", text_col).agg(F.count(F.lit(1)).alias("_copies"))
-    n_rows = distinct.agg(F.sum("_copies").alias("n")).scalar()
-    limit = F.greatest(F.lit(float(rows_per_salt)), n_rows / HOT_SHARE)
     salted = distinct.select(
         "_key",
         text_col,
-        F.when(F.col("_copies") > limit, F.ceil(F.col("_copies") / rows_per_salt).cast("int"))
+        F.when(F.col("_copies") > rows_per_salt, F.ceil(F.col("_copies") / rows_per_salt).cast("int"))
         .otherwise(F.lit(1))
         .alias("_salts"),
     )
@@ -52,7 +47,7 @@ def per_distinct_text(
 
     results = work(salted)
     one_per_salt = results.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
-    rows = keyed.drop(text_col).join(F.broadcast(hot), F.col("_key") == F.col("_hot_key"), "left")
+    rows = keyed.drop(text_col).join(hot, F.col("_key") == F.col("_hot_key"), "left")
     rows = rows.withColumn(
         "_salt", F.pmod(F.xxhash64(id_col), F.coalesce(F.col("_hot_salts"), F.lit(1))).cast("int")
     ).drop("_hot_key", "_hot_salts")

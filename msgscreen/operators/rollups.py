@@ -39,8 +39,8 @@ def session_rollup(scanned: DataFrame, *by: str) -> DataFrame:
 
 
 def violation_rollup(scanned: DataFrame, by: str) -> DataFrame:
-    """Counts per ``(by, type)`` with subtotals per ``by`` and a grand total (nulls)."""
+    """Counts per ``(by, type)`` with subtotals per ``by`` (``level`` 1) and a grand total (``level`` 3)."""
     long = scanned.select(by, F.explode_outer("violations.type").alias("type")).where(F.col("type").isNotNull())
     # One row per (by, type) first: the rollup then multiplies groups, not rows.
     grouped = long.groupBy(by, "type").agg(F.count(F.lit(1)).alias("n"))
-    return grouped.rollup(by, "type").agg(F.sum("n").alias("n_violations"))
+    return grouped.rollup(by, "type").agg(F.grouping_id().alias("level"), F.sum("n").alias("n_violations"))

@@ -27,19 +27,17 @@ def injection_score(text: str, rules=fv.INJECTION_RULES) -> Column:
 def learn_lexicon(
     documents: DataFrame,
     labels: DataFrame,
-    min_support: int = 3,
-    support_share: float = 0.10,
-    min_weight: float = 0.96,
+    min_support: int = 5,
+    min_weight: float = 0.8,
 ) -> DataFrame:
     """Words that mark toxic documents: ``word, toxic_docs, clean_docs, weight``.
 
     Words are counted once per document over the whole text, so the grouped
     count combines on the map side and a word found in every document costs one
-    partial row per task. ``weight`` is the toxic share of the word after
-    balancing the two classes. A word needs to stand in at least
-    ``support_share`` of the toxic documents, which bounds the lexicon: it holds
-    no more than ``1 / support_share`` times the distinct words of an average
-    toxic document, however large the corpus.
+    partial row per task. ``weight`` is the lower bound, one deviation down
+    (Wilson), of the toxic share of the word after balancing the two classes: it
+    grows with the evidence, and a threshold tells strong marks from weak ones.
+    Words are chosen by evidence alone, however many there are.
     """
     labelled = documents.join(labels.select("doc_id", "toxic"), "doc_id")
     seen = labelled.select(
@@ -53,11 +51,13 @@ def learn_lexicon(
     )
     n_toxic = totals.select("n_toxic").scalar()
     n_clean = totals.select("n_clean").scalar()
-    toxic_rate = F.col("toxic_docs").cast("double") / n_toxic
-    clean_rate = F.col("clean_docs").cast("double") / F.greatest(n_clean, F.lit(1))
+    balance = n_toxic.cast("double") / F.greatest(n_clean, F.lit(1)).cast("double")
+    seen_docs = counts.withColumn("n", F.col("toxic_docs") + F.col("clean_docs") * balance)
+    shares = seen_docs.withColumn("share", F.col("toxic_docs") / F.col("n"))
+    bound = "share * (n / (n + 1)) + 0.5D / (n + 1) - sqrt(share * (1 - share) * n + 0.25D) / (n + 1)"
     return (
-        counts.where(F.col("toxic_docs") >= F.greatest(F.lit(float(min_support)), n_toxic * F.lit(support_share)))
-        .withColumn("weight", toxic_rate / (toxic_rate + clean_rate))
+        shares.where(F.col("toxic_docs") >= min_support)
+        .withColumn("weight", F.expr(bound))
         .where(F.col("weight") >= min_weight)
         .select("word", "toxic_docs", "clean_docs", "weight")
     )
@@ -73,10 +73,10 @@ def with_toxicity_score(df: DataFrame, text: str, lexicon: DataFrame | None, out
     """
     if lexicon is None:
         return df.withColumn(out, F.lit(0.0))
-    as_array = lexicon.agg(F.array_sort(F.collect_list(F.struct("word", "weight"))).alias("l")).scalar()
-    # A subquery may not stand inside a higher-order function, a column may.
-    ready = df.withColumns({"_words": words(F.col(text)), "_lexicon": as_array})
-    best = "array_max(transform(filter(_lexicon, e -> array_contains(_words, e.word)), e -> e.weight))"
+    as_map = lexicon.agg(F.map_from_entries(F.collect_list(F.struct("word", "weight"))).alias("l")).scalar()
+    # A subquery may not stand inside a higher-order function, a column may. Words are matched by hashing first.
+    ready = df.withColumns({"_words": words(F.col(text)), "_lexicon": as_map})
+    best = "array_max(transform(array_intersect(_words, map_keys(_lexicon)), w -> _lexicon[w]))"
     score = F.expr(f"case when size(_words) > 0 then coalesce({best}, 0D) else 0D end")
     return ready.withColumn(out, score).drop("_words", "_lexicon")
 

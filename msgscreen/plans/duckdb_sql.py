@@ -66,27 +66,28 @@ SECRET_LIST = "list_filter([{}], lambda x: x is not null)".format(
 
 INJECTION = "case {} else cast(0 as double) end".format(
     " ".join(
-        f"when {hit('model_text', p)} then cast({w} as double)"
+        f"when {hit('scan_text', p)} then cast({w} as double)"
         for _, p, w in sorted(fv.INJECTION_RULES, key=lambda r: -r[2])
     )
 )
 
 LEXICON = f"""
 select word, cast(t as bigint) as toxic_docs, cast(c as bigint) as clean_docs, weight from (
- select word, t, c, nt,
-  (cast(t as double) / nt) / ((cast(t as double) / nt) + (cast(c as double) / greatest(nc, 1))) as weight
+ select word, t, c,
+  share * (n / (n + 1)) + 0.5 / (n + 1) - sqrt(share * (1 - share) * n + cast(0.25 as double)) / (n + 1) as weight
  from (
-  select word, sum(toxic) as t, sum(1 - toxic) as c from (
+  select *, t / (t + c * (nt / greatest(nc, 1))) as share, t + c * (nt / greatest(nc, 1)) as n from (
+  select word, cast(sum(toxic) as double) as t, cast(sum(1 - toxic) as double) as c from (
    select toxic, unnest(list_distinct(regexp_extract_all(lower(text), {q(fv.WORD_PATTERN)}))) as word
    from documents join labels using (doc_id))
   group by word),
-  (select sum(toxic) as nt, sum(1 - toxic) as nc from labels))
-where t >= greatest(cast(3 as double), nt * cast(0.10 as double)) and weight >= cast(0.96 as double)
+  (select cast(sum(toxic) as double) as nt, cast(sum(1 - toxic) as double) as nc from labels)))
+where t >= 5 and weight >= cast(0.8 as double)
 """
 
 TOX = """
 select msg_id, max(weight) as score from (
- select msg_id, unnest(regexp_extract_all(lower(model_text), '\\p{L}+')) as w from gated)
+ select msg_id, unnest(regexp_extract_all(lower(scan_text), '\\p{L}+')) as w from gated)
 join lexicon on w = word group by msg_id
 """
 
@@ -223,7 +224,7 @@ def wide(out: str, toxicity: bool, error: str = "cast(null as varchar)",
 select *, blocking[1] as primary_type,
  case blocking[1] when 'token_limit' then cast({fv.TOKEN_LIMIT_CONFIDENCE} as double) when 'secrets' then risk
   when 'injection' then injection_score when 'toxicity' then toxicity_score end as primary_confidence,
- len(blocking) = 0 as allowed, case when has_pii then sanitized end as anonymized_prompt
+ len(blocking) = 0 and pii_error is null as allowed, case when has_pii then sanitized end as anonymized_prompt
 from (
  select *, list_filter(types, lambda t: t <> 'pii') as blocking from (
   select *, case when too_long then ['token_limit'] else list_filter([
@@ -234,7 +235,7 @@ from (
    select *, injection_score >= cast({injection_cut} as double) as has_injection,
     toxicity_score >= cast({toxicity_cut} as double) as has_toxicity,
     pii_error is null and coalesce(n_entities, 0) > 0 as has_pii,
-    pii_error is null and len(secret_list) > 0 as has_secrets, cast(1 as double) as risk
+    len(secret_list) > 0 as has_secrets, cast(1 as double) as risk
    from (
     select g.*, o.sanitized, o.n_entities, {error} as pii_error, {tox} as toxicity_score,
      {INJECTION} as injection_score, {SECRET_LIST.replace('txt', 'scan_text')} as secret_list
@@ -436,7 +437,7 @@ from (select msg_id, unnest(list_prepend(source, types)) as type from wide)
     "scan_metrics": f"select {metric_list()} from wide",
     "session_rollup": f"select source, session_id, {metric_list()} from wide group by source, session_id",
     "violation_rollup": """
-select source, type, cast(count(*) as bigint) as n_violations
+select source, type, cast(grouping_id(source, type) as bigint) as level, cast(count(*) as bigint) as n_violations
 from (select source, unnest(types) as type from wide) group by rollup (source, type)
 """,
     "scan": flat("wide", "msg_id, source, session_id"),
@@ -447,7 +448,7 @@ from (select source, unnest(types) as type from wide) group by rollup (source, t
 select msg_id, {ROUTE} as route, case when not allowed then {PROMPT}
  else coalesce(nullif(anonymized_prompt, ''), message) end as outgoing_prompt from wide
 """,
-    "quarantine": f"""select msg_id, {ROUTE} as route, pii_error as reason, anonymized_prompt
+    "quarantine": f"""select msg_id, {ROUTE} as route, pii_error as reason, anonymized_prompt, allowed, array_to_string(types, ',') as violation_types
  from wide_plug where pii_error is not null""",
     "plugin_redaction": "select msg_id, allowed, anonymized_prompt, pii_error as pii_scanner_error from wide_plug",
     "stream_scan": flat("wide", f"msg_id, {ROUTE} as route"),

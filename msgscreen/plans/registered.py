@@ -20,8 +20,6 @@ from ..sources.messages import (
     corpus,
     derived_messages,
     documents_as_messages,
-    idle_cores,
-    spread,
     table,
 )
 from ..sources.storage import shared_dir
@@ -36,15 +34,13 @@ EXTRA_SECRET_RULES = (("ticket_ref", r"\bref \d{7}\b", 0.6),)
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus(spark, sf_dir)
-
-
-def usable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.accepted(corpus(spark, sf_dir))
+    """All messages; the setting ``msgscreen.partitions``, if the caller makes it, deals them out anew."""
+    partitions = spark.conf.get("msgscreen.partitions", None)
+    return corpus(spark, sf_dir, partitions and int(partitions))
 
 
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores.learn_lexicon(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "labels"))
+    return scores.learn_lexicon(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
 def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,7 +226,7 @@ def secret_verdict(spark, sf_dir):
 # --- scores -----------------------------------------------------------------
 def injection_score(spark, sf_dir):
     gated = sc.gate(messages(spark, sf_dir))
-    return gated.select("msg_id", scores.injection_score("model_text").alias("injection_score"))
+    return gated.select("msg_id", scores.injection_score("scan_text").alias("injection_score"))
 
 
 def toxicity_lexicon(spark, sf_dir):
@@ -239,12 +235,12 @@ def toxicity_lexicon(spark, sf_dir):
 
 def toxicity_score(spark, sf_dir):
     gated = sc.gate(messages(spark, sf_dir))
-    return scores.with_toxicity_score(gated, "model_text", lexicon(spark, sf_dir)).select("msg_id", "toxicity_score")
+    return scores.with_toxicity_score(gated, "scan_text", lexicon(spark, sf_dir)).select("msg_id", "toxicity_score")
 
 
 def toxicity_ml(spark, sf_dir):
     return score_documents(
-        spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "labels")
+        table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     )
 
 
@@ -368,7 +364,9 @@ def _ip_model():
 def quarantine(spark, sf_dir):
     """Rows on which the caller's recogniser failed: unscanned, held, with the reason."""
     responses = sc.scan(messages(spark, sf_dir), span_model=_ip_model())
-    return routing.quarantined(routing.route(responses)).select("msg_id", "route", "reason", "anonymized_prompt")
+    return routing.quarantined(routing.route(responses)).select(
+        "msg_id", "route", "reason", "anonymized_prompt", "allowed", F.array_join("violations.type", ",").alias("violation_types")
+    )
 
 
 def plugin_redaction(spark, sf_dir):
@@ -396,7 +394,6 @@ def stream_scan(spark, sf_dir):
         lambda m: sc.scan(m, lexicon=learned),
         f"{work}/out",
         f"{work}/checkpoint",
-        tasks=idle_cores(table(spark, sf_dir, "documents")),
     )
     query.awaitTermination()
     return sc.flatten(spark.read.parquet(f"{work}/out"), "msg_id", "route")

@@ -56,11 +56,11 @@ def detect(
     ``span_model`` one of ``text -> [(type, start, end, score)]``. Without them
     no row leaves the JVM.
     """
-    found = scores.with_toxicity_score(df, "model_text", lexicon).withColumns(
+    found = scores.with_toxicity_score(df, "scan_text", lexicon).withColumns(
         {
             "_secret_types": secrets.secret_types("scan_text"),
             "_extra_risk": secrets.extra_risk("scan_text", config.extra_secret_rules),
-            "injection_score": scores.injection_score("model_text", config.injection_rules),
+            "injection_score": scores.injection_score("scan_text", config.injection_rules),
         }
     )
     scan_errors = []
@@ -81,7 +81,7 @@ def detect(
     found = anonymize(found, config, "scan_text", plugin_spans)
     found = found.withColumn("_secrets", secrets.secret_verdict("_secret_types", "_extra_risk"))
 
-    # A row whose PII scanner failed counts as unscanned for PII and secrets.
+    # A row whose PII scanner failed counts as unscanned for PII; what the other scanners found stays.
     def if_scanned(column: str, name: str) -> str:
         return f"case when {pii_error} is null then {column} end as {name}" if span_model else f"{column} as {name}"
 
@@ -89,7 +89,7 @@ def detect(
         *df.columns,
         if_scanned("sanitized_text", "sanitized_text"),
         if_scanned("entities", "entities"),
-        if_scanned("_secrets", "secrets"),
+        "_secrets as secrets",
         "injection_score",
         "toxicity_score",
         f"{pii_error} as pii_scanner_error",
@@ -111,7 +111,8 @@ def decide(found: DataFrame, config: ScreenConfig = ScreenConfig(), text: str =
     judged = judged.withColumn("primary_violation", verdict.primary_violation("violations"))
     return judged.select(
         "*",
-        F.expr("primary_violation is null as allowed"),
+        # A scanner that failed has cleared nothing.
+        F.expr("primary_violation is null and pii_scanner_error is null and scan_error is null as allowed"),
         F.expr("cast(null as bigint) as scan_duration_ms"),
         F.col(text).alias("original_prompt"),
         F.expr("case when has_pii then sanitized_text end as anonymized_prompt"),

@@ -42,23 +42,6 @@ def read_messages(spark: SparkSession, path: str, format: str = "parquet", **opt
     return spark.read.schema(MESSAGE_SCHEMA).options(**options).format(format).load(path)
 
 
-def idle_cores(df: DataFrame) -> int | None:
-    """The number of cores if a static input has too few splits to busy them, else None."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return cores if df.rdd.getNumPartitions() <= cores else None
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core on an input too small to give each of them a file split.
-
-    A large input already has more splits than there are cores and is left
-    alone: no shuffle of the texts. Row groups cannot be split, so a small file
-    would otherwise be screened by a single task.
-    """
-    cores = idle_cores(df)
-    return df.repartition(cores) if cores else df
-
-
 # ---------------------------------------------------------------------------
 # The tables of the test data as messages
 # ---------------------------------------------------------------------------
@@ -124,11 +107,15 @@ def derived_messages(customer: DataFrame) -> DataFrame:
     )
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents, conversations and derived messages, whole tables and whole texts."""
+def corpus(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
+    """Documents, conversations and derived messages, whole tables and whole texts.
+
+    ``partitions`` deals the rows out anew, for inputs whose files can't be split; by
+    default nothing is shuffled.
+    """
     rows = (
         documents_as_messages(table(spark, sf_dir, "documents"))
         .unionByName(conversations_as_messages(table(spark, sf_dir, "conversations")))
         .unionByName(derived_messages(table(spark, sf_dir, "customer")))
     )
-    return spread(rows)
+    return rows.repartition(partitions) if partitions else rows

@@ -246,3 +246,28 @@ def test_each_pattern_is_evaluated_once(messages):
 def test_find_tokens(one):
     row = one(lambda d: d.select(an.find_tokens("message").alias("t")), "[A_1] x [b_1] [C_D_22] [E_]")
     assert row.t == ["[A_1]", "[C_D_22]"]
+
+
+@pytest.mark.parametrize("mode", ["compat", "strict"])
+@pytest.mark.parametrize("phrase", ["my name is ", "hello "])
+@pytest.mark.parametrize("word", ["word ", "Word "])
+def test_long_runs_of_words_after_a_name_phrase(one, mode, phrase, word):
+    from msgscreen import ScreenConfig, scan
+
+    text = phrase + word * 200_000
+    row = one(lambda d: scan(d, ScreenConfig(mode=mode, max_message_chars=10_000_000)), text)
+    assert row.token_count == len(text) // 4
+
+
+def test_patterns_mean_the_same_under_every_parser_setting(spark, one):
+    from msgscreen import scan
+
+    text = "password: hunter22, mail a@b.co, ssn 123-45-6789, I'm Priya"
+    before = one(scan, text)
+    for setting in ("spark.sql.parser.escapedStringLiterals", "spark.sql.ansi.enabled"):
+        old = spark.conf.get(setting)
+        spark.conf.set(setting, "false" if old == "true" else "true")
+        try:
+            assert one(scan, text) == before and not before.allowed
+        finally:
+            spark.conf.set(setting, old)

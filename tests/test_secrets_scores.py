@@ -82,11 +82,14 @@ def test_lexicon_like_brute_force(spark):
     want = {}
     for w in toxic:
         word = w.rstrip("0123456789")
-        if word != w or toxic[w] < 3:
+        if word != w or toxic[w] < 5:
             continue
-        a, b = toxic[w] / 10, clean[w] / 30
-        if a / (a + b) >= 0.96:
-            want[w] = (toxic[w], clean[w], a / (a + b))
+        balanced = clean[w] * 10 / 30
+        n = toxic[w] + balanced
+        share = toxic[w] / n
+        weight = (share * n + 0.5 - (share * (1 - share) * n + 0.25) ** 0.5) / (n + 1)
+        if weight >= 0.8:
+            want[w] = (toxic[w], clean[w], pytest.approx(weight))
     assert got == want and "trash" in got
 
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from msgscreen import route, scan
-from msgscreen.sources.messages import MESSAGE_SCHEMA, corpus, read_messages, spread
+from msgscreen.sources.messages import MESSAGE_SCHEMA, corpus, read_messages
 from msgscreen.sources.storage import shared_dir
 from msgscreen.streaming.stream import start_scan, stream_files
 
@@ -43,11 +43,10 @@ def test_only_needed_columns_are_read(spark, small_dir):
     assert "ReadSchema: struct<c_custkey:bigint>" in plan
 
 
-def test_spread_leaves_large_inputs_alone(spark):
-    cores = spark.sparkContext.defaultParallelism
-    many = spark.range(0, 1000, 1, cores + 5)
-    assert spread(many) is many
-    assert spread(spark.range(0, 1000, 1, 1)).rdd.getNumPartitions() == cores
+def test_corpus_is_dealt_out_only_when_asked(spark, small_dir):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(corpus(spark, small_dir))
+    assert corpus(spark, small_dir, partitions=5).rdd.getNumPartitions() == 5
 
 
 def test_stream_equals_batch_and_resumes(spark, table, tmp_path):
