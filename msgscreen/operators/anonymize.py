@@ -35,13 +35,18 @@ def nth_of_kind(kinds: str) -> Column:
     )
 
 
-def bind_tokens(tokens: str, types: str, nth: str, values: dict[str, str]) -> Column:
-    """Entities for the tokens in the text: the n-th token of a type takes its n-th value."""
+def bind_tokens(tokens: str, types: str, nth: str, values: dict[str, str], numbered: str | None = None) -> Column:
+    """Entities for the tokens in the text: the n-th token of a type takes its n-th value.
+
+    ``numbered`` names the array of numbered spans; types that ``values`` does not
+    list, such as those of a caller's recogniser, take their values from there.
+    """
     cases = " ".join(f"when {quoted(t)} then get({c}, {nth}[i])" for t, c in values.items())
+    own = f"get(transform(filter({numbered}, s -> s.type = {types}[i]), s -> s.value), {nth}[i])" if numbered else "null"
     return F.expr(
         f"""
         transform({tokens}, (t, i) -> named_struct(
-          'type', {types}[i], 'value', coalesce(case {types}[i] {cases} end, {quoted(fv.REDACTED_VALUE)}),
+          'type', {types}[i], 'value', coalesce(case {types}[i] {cases} end, {own}, {quoted(fv.REDACTED_VALUE)}),
           'token', t, 'source', 'pii'))"""
     )
 
@@ -127,8 +132,9 @@ def _anonymize_compat(df: DataFrame, config: ScreenConfig, text: str, plugin_spa
     out = df.withColumn("_digits", pii.has_digit(text))
     out = out.withColumns({values[t]: v for t, v in pii.supplement_values(text, "_digits").items()})
 
-    redacted = text
+    redacted, numbered = text, None
     if config.recognizers or plugin_spans:
+        numbered = "token_spans" if plugin_spans else None
         recognizers = spans.named_recognizers(config.recognizers)
         out = with_token_spans(out, recognizers, config, text, plugin_spans)
         types = dict.fromkeys(r.type for r in recognizers)
@@ -145,7 +151,7 @@ def _anonymize_compat(df: DataFrame, config: ScreenConfig, text: str, plugin_spa
     out = out.withColumn("_types", F.expr(f"transform(_tokens, t -> {kind})"))
     out = out.withColumn("_nth", nth_of_kind("_types"))
     out = out.withColumns(
-        {"_bound": bind_tokens("_tokens", "_types", "_nth", values), "_fallback": fallback_entities("_types", values)}
+        {"_bound": bind_tokens("_tokens", "_types", "_nth", values, numbered), "_fallback": fallback_entities("_types", values)}
     )
     out = out.withColumn("_every", F.expr("concat(_bound, _fallback)"))
     # Fallback tokens are unique by construction; only tokens from the text can repeat.

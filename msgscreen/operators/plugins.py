@@ -31,7 +31,10 @@ def model_score(text: Column, load: Callable[[], Callable[[str], float]]) -> Col
         if value is None:
             return None, None
         try:
-            return float(scorer(value)), None
+            score = float(scorer(value))
+            if not 0.0 <= score <= 1.0:
+                raise ValueError(f"score {score} is not in [0, 1]")
+            return score, None
         except Exception as exc:
             return None, f"{type(exc).__name__}: {exc}"
 
@@ -52,9 +55,13 @@ def model_spans(text: Column, load: Callable[[], Callable[[str], list]]) -> Colu
         if value is None:
             return None, None
         try:
+            found = list(recognizer(value))
+            for kind, start, end, score in found:
+                if not 0 <= start < end <= len(value) or not 0.0 <= float(score) <= 1.0:
+                    raise ValueError(f"span {kind} {start}-{end} with score {score} does not fit the text")
             rows = [
                 {"start": start, "end": end, "type": kind, "score": float(score), "value": value[start:end]}
-                for kind, start, end, score in recognizer(value)
+                for kind, start, end, score in found
             ]
             return rows, None
         except Exception as exc:

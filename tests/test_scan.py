@@ -255,3 +255,28 @@ def test_shared_dir_is_never_machine_local_on_a_cluster():
     with pytest.raises(ValueError):
         shared_dir(session("yarn"), "x")
     assert "msgscreen-" in shared_dir(session("local[2]"), "x")
+
+
+def _place_model():
+    def load():
+        def find(text):
+            if "outside" in text:
+                return [("LOCATION", 0, len(text) + 1, 0.9)]
+            return [("LOCATION", i, i + 5, 0.9) for i in range(len(text)) if text.startswith(("Paris", "Tokyo"), i)]
+
+        return find
+
+    return load
+
+
+@pytest.mark.parametrize("mode", ["compat", "strict"])
+def test_a_type_outside_the_standard_list_keeps_its_values(messages, mode):
+    from msgscreen.plans.scan import scan_wide
+
+    df = scan_wide(messages("from Paris to Tokyo, mail a@b.co", "outside"), ScreenConfig(mode=mode), span_model=_place_model())
+    rows = {r.msg_id: r for r in df.collect()}
+    assert rows["0"].anonymized_prompt == "from [LOCATION_0] to [LOCATION_1], mail [EMAIL_ADDRESS_0]"
+    assert {(e.token, e.value) for e in rows["0"].entities} == {
+        ("[LOCATION_0]", "Paris"), ("[LOCATION_1]", "Tokyo"), ("[EMAIL_ADDRESS_0]", "a@b.co")
+    }
+    assert not rows["1"].allowed and "does not fit" in rows["1"].pii_scanner_error
