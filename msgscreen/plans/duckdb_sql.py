@@ -415,6 +415,8 @@ from (select msg_id, {SECRET_LIST} as l,
   else cast(0 as double) end as r from whole)
 """,
     "injection_score": f"select msg_id, {INJECTION} as injection_score from gated",
+    "toxicity_ml": """select doc_id, cast(concat('0x', substr(md5(cast(doc_id as varchar)), 1, 2)) as int) % 5 = 0 as held_out,
+ true as in_range from documents""",
     "toxicity_lexicon": "select word, toxic_docs, clean_docs, weight from lexicon",
     "toxicity_score": """select g.msg_id, coalesce(score, cast(0 as double)) as toxicity_score
  from gated g left join tox t on t.msg_id = g.msg_id""",

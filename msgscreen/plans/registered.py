@@ -239,9 +239,13 @@ def toxicity_score(spark, sf_dir):
 
 
 def toxicity_ml(spark, sf_dir):
-    return score_documents(
-        table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
-    )
+    """Held-out flags and whether every score is a probability; the scores themselves have no SQL."""
+    scored = toxicity_ml_scores(spark, sf_dir)
+    return scored.select("doc_id", "held_out", F.col("toxicity_score").between(0.0, 1.0).alias("in_range"))
+
+
+def toxicity_ml_scores(spark, sf_dir):
+    return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
 def threshold_apply(spark, sf_dir):
