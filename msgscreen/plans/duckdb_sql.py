@@ -275,7 +275,7 @@ left join (select msg_id, count(*) as n from strict_num group by msg_id) c on c.
                       span_part("good", "IP_ADDRESS", fv.IP_LIKE_PATTERN, 0, "cast(0.6 as double)")),
     "wide": wide("scan_out", True),
     "wide_bare": wide("scan_out", False),
-    "wide_cut": wide("scan_out", True, injection_cut=0.9, toxicity_cut=1.0),
+    "wide_cut": wide("scan_out", True, injection_cut=0.9, toxicity_cut=0.95),
     "wide_strict": wide("strict_out", False),
     "wide_plug": wide("plug_out", False, PLUGIN_ERROR),
 }

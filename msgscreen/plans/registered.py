@@ -250,7 +250,7 @@ def toxicity_ml_scores(spark, sf_dir):
 
 def threshold_apply(spark, sf_dir):
     """Looser cut-offs than the defaults, so that every rule weight is told apart."""
-    config = ScreenConfig(injection_threshold=0.9, toxicity_threshold=1.0)
+    config = ScreenConfig(injection_threshold=0.9, toxicity_threshold=0.95)
     return sc.scan_wide(messages(spark, sf_dir), config, lexicon(spark, sf_dir)).select(
         "msg_id", "injection_score", "toxicity_score", "has_injection", "has_toxicity"
     )
