@@ -120,23 +120,27 @@ def fillings(room: int, counts: dict[int, int], lengths: list[int], width: int)
     found: list[tuple[int, tuple[int, ...]]] = []
     budget = [4000]
 
-    def extend(room: int, at: int, chosen: tuple[int, ...], used: int) -> None:
+    def extend(room: int, at: int, chosen: tuple[tuple[int, int], ...]) -> None:
+        """Go on with the lengths below ``at``; one level a length, so that many small pieces need no deep stack."""
         budget[0] -= 1
         top = bisect_right(lengths, room, 0, at) - 1
-        while top >= 0 and chosen.count(lengths[top]) >= counts[lengths[top]]:
+        while top >= 0 and not counts[lengths[top]]:
             top -= 1
         if top < 0:
-            found.append((room, chosen))
+            used = dict(chosen)
+            fits = lengths[: bisect_right(lengths, room)]
+            if all(used.get(x, 0) >= counts[x] for x in fits):
+                found.append((room, tuple(x for x, n in chosen for _ in range(n))))
             return
         while top >= 0 and budget[0] > 0:
             length = lengths[top]
-            if chosen.count(length) < counts[length]:
-                extend(room - length, top + 1, chosen + (length,), used + 1)
-                if found and found[-1][0] == 0 and sum(r == 0 for r, _ in found) >= width:
+            for n in range(min(counts[length], room // length), 0, -1):
+                extend(room - n * length, top, (*chosen, (length, n)))
+                if budget[0] <= 0 or (found and found[-1][0] == 0 and sum(r == 0 for r, _ in found) >= width):
                     return
             top -= 1
 
-    extend(room, len(lengths), (), 0)
+    extend(room, len(lengths), ())
     found.sort(key=lambda f: f[0])
     return [c for _, c in found[:width]]
 

@@ -121,6 +121,4 @@ with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVW
 select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
   doc_id = max(doc_id) over w as kept, sha256(x) as text_sha256
 from t window w as (partition by x)""",
-    "op6_embeddings": None,
 }
-SQL = {k: v for k, v in SQL.items() if v}

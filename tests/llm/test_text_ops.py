@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -243,6 +244,26 @@ def test_bin_completion_beats_best_fit():
     assert used == collections.Counter(counts) and sum(n for _, n in plan) == 4
 
 
+def test_fillings_are_undominated_and_the_fullest_comes_first():
+    for seed in range(200):
+        rng = random.Random(seed)
+        lengths = sorted(rng.sample(range(1, 12), 4))
+        counts = {x: rng.randint(0, 4) for x in lengths}
+        room = rng.randint(0, 25)
+        found = packing.fillings(room, counts, lengths, 3)
+        for filling in found:
+            used = collections.Counter(filling)
+            assert all(used[x] <= counts[x] for x in used)
+            assert not any(x <= room - sum(filling) and used[x] < counts[x] for x in lengths)
+        every = itertools.product(*(range(counts[x] + 1) for x in lengths))
+        sums = [sum(x * n for x, n in zip(lengths, times)) for times in every]
+        assert sum(found[0]) == max(s for s in sums if s <= room)
+
+
+def test_fillings_of_very_many_small_pieces_need_no_deep_stack():
+    assert sum(packing.fillings(1023, {1: 5000, 2: 1}, [1, 2], 3)[0]) == 1023
+
+
 def test_pipeline_stages(spark, small_dir):
     docs = spark.read.parquet(f"{small_dir}/documents.parquet")
     assert [s[0] for s in corpus_pipeline.STAGES] == ["quality classifier", "exact dedup", "SimHash near-dedup", "secret scans", "best-fit packing"]
