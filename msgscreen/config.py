@@ -23,6 +23,9 @@ class ScreenConfig:
     pii_threshold
         Accepted for compatibility of configuration; spans are cut at
         ``span_score_threshold``.
+    lexicon_in_row
+        Look toxicity words up inside each row, without a shuffle, instead of by
+        a join. Streams need it; for tables it suits small lexicons only.
     """
 
     injection_threshold: float = fv.INJECTION_THRESHOLD
@@ -35,6 +38,7 @@ class ScreenConfig:
     recognizers: tuple[str, ...] = ()
     injection_rules: tuple[tuple[str, str, float], ...] = fv.INJECTION_RULES
     extra_secret_rules: tuple[tuple[str, str, float], ...] = ()
+    lexicon_in_row: bool = False
 
     def __post_init__(self):
         if self.mode not in ("compat", "strict"):

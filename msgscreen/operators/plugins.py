@@ -1,7 +1,7 @@
 """Slots for models of the caller: Python scorers and span recognisers.
 
 The only Python in the package. A plug-in sees Arrow batches of one text column,
-loads its model once per worker, and fails row by row: an exception becomes
+loads its model once per task, and fails row by row: an exception becomes
 ``error`` text beside a null result instead of failing the task or letting an
 unscanned row pass. Helpers are closures, so workers need no copy of the package.
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions.patterns import matches
 from ..functions.text import words
+from .dedup import text_key
 
 
 def injection_score(text: str, rules=fv.INJECTION_RULES) -> Column:
@@ -39,11 +40,10 @@ def learn_lexicon(
     grows with the evidence, and a threshold tells strong marks from weak ones.
     Words are chosen by evidence alone, however many there are.
     """
-    labelled = documents.join(labels.select("doc_id", "toxic"), "doc_id")
-    seen = labelled.select(
-        (F.col("toxic") == 1).cast("long").alias("t"),
-        F.explode_outer(F.array_distinct(words(F.col("text")))).alias("word"),
-    ).where(F.col("word").isNotNull())
+    # Should the join need a shuffle, distinct words travel in place of texts.
+    held = documents.select("doc_id", F.array_distinct(words(F.col("text"))).alias("held"))
+    labelled = held.join(labels.select("doc_id", "toxic"), "doc_id")
+    seen = labelled.select((F.col("toxic") == 1).cast("long").alias("t"), F.explode("held").alias("word"))
     counts = seen.groupBy("word").agg(F.sum("t").alias("toxic_docs"), F.sum(1 - F.col("t")).alias("clean_docs"))
     totals = labels.agg(
         F.sum(F.col("toxic").cast("long")).alias("n_toxic"),
@@ -63,18 +63,34 @@ def learn_lexicon(
     )
 
 
-def with_toxicity_score(df: DataFrame, text: str, lexicon: DataFrame | None, out: str = "toxicity_score") -> DataFrame:
+def with_toxicity_score(
+    df: DataFrame, text: str, lexicon: DataFrame | None, out: str = "toxicity_score", in_row: bool = False
+) -> DataFrame:
     """Add the weight of the heaviest lexicon word in the text, 0 when there is none.
 
-    The lexicon becomes one array value, computed once per query, and travels to
-    the rows: no message is exploded, shuffled or joined. Testing the number of
-    words keeps the optimizer from moving the word split into the lambda, where
-    it would run once per lexicon entry.
+    Words meet the lexicon, of any size, in a join; only hits go on, one weight per
+    distinct text after combining, and meet the rows by a hash of the text. With
+    ``in_row`` the lexicon becomes one map value instead and no row is shuffled: for
+    streams and for lexicons that the caller knows to be small, as every row's cost
+    then grows with the lexicon.
     """
     if lexicon is None:
         return df.withColumn(out, F.lit(0.0))
+    if in_row:
+        return _scored_in_row(df, text, lexicon, out)
+    if df.isStreaming:
+        raise ValueError("a stream can't be joined with its own words: choose the in-row lexicon")
+    keyed = df.withColumn("_text_key", text_key(F.col(text)))
+    found = keyed.select("_text_key", F.explode(F.array_distinct(words(F.col(text)))).alias("word"))
+    best = found.join(lexicon.select("word", "weight"), "word").groupBy("_text_key").agg(F.max("weight").alias("_best"))
+    scored = keyed.join(best, "_text_key", "left").withColumn(out, F.coalesce("_best", F.lit(0.0)))
+    return scored.drop("_text_key", "_best")
+
+
+def _scored_in_row(df: DataFrame, text: str, lexicon: DataFrame, out: str) -> DataFrame:
     as_map = lexicon.agg(F.map_from_entries(F.collect_list(F.struct("word", "weight"))).alias("l")).scalar()
     # A subquery may not stand inside a higher-order function, a column may. Words are matched by hashing first.
+    # Testing the number of words keeps the word split out of the lambda, where it would run once per entry.
     ready = df.withColumns({"_words": words(F.col(text)), "_lexicon": as_map})
     best = "array_max(transform(array_intersect(_words, map_keys(_lexicon)), w -> _lexicon[w]))"
     score = F.expr(f"case when size(_words) > 0 then coalesce({best}, 0D) else 0D end")

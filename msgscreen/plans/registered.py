@@ -395,7 +395,7 @@ def stream_scan(spark, sf_dir):
     learned = spark.read.parquet(f"{work}/lexicon")
     query = start_scan(
         arriving,
-        lambda m: sc.scan(m, lexicon=learned),
+        lambda m: sc.scan(m, ScreenConfig(lexicon_in_row=True), learned),
         f"{work}/out",
         f"{work}/checkpoint",
     )

@@ -1,6 +1,6 @@
 """The end-to-end scan: a table or stream of messages to one response per message.
 
-One pass, no shuffle. The length gate is a null text and not a second branch:
+One pass; no shuffle but that of the lexicon join. The length gate is a null text and not a second branch:
 every pattern gives up at once on null, so over-long messages cost nothing and
 the input is read a single time.
 """
@@ -56,7 +56,7 @@ def detect(
     ``span_model`` one of ``text -> [(type, start, end, score)]``. Without them
     no row leaves the JVM.
     """
-    found = scores.with_toxicity_score(df, "scan_text", lexicon).withColumns(
+    found = scores.with_toxicity_score(df, "scan_text", lexicon, in_row=config.lexicon_in_row).withColumns(
         {
             "_secret_types": secrets.secret_types("scan_text"),
             "_extra_risk": secrets.extra_risk("scan_text", config.extra_secret_rules),

@@ -99,6 +99,26 @@ def test_toxicity_score(spark, messages):
     assert [r.toxicity_score for r in df.collect()] == [1.0, 0.6, 0.0, 0.0]
 
 
+def test_large_lexicon_is_joined_and_agrees_with_the_in_row_form(spark, messages):
+    lexicon = spark.range(100_000).selectExpr(
+        "translate(cast(id as string), '0123456789', 'abcdefghij') as word", "(id % 100) / 100D as weight"
+    )
+    # a copy, words of weight 0.45 and 0.99, no word of the lexicon, a blank and a null text
+    df = messages("x EF, jj zz", "x EF, jj zz", "ef", "zz yy", " ", None)
+    joined = scores.with_toxicity_score(df, "message", lexicon)
+    assert [r.toxicity_score for r in joined.orderBy("msg_id").collect()] == [0.99, 0.99, 0.45, 0.0, 0.0, 0.0]
+    in_row = scores.with_toxicity_score(df, "message", lexicon.where("length(word) < 3"), in_row=True)
+    assert in_row.orderBy("msg_id").collect() == joined.orderBy("msg_id").select(in_row.columns).collect()
+
+
+def test_a_stream_needs_the_in_row_lexicon(spark):
+    lexicon = spark.createDataFrame([("trash", 1.0)], "word string, weight double")
+    stream = spark.readStream.format("rate").load().selectExpr("cast(value as string) as message")
+    with pytest.raises(ValueError, match="in-row"):
+        scores.with_toxicity_score(stream, "message", lexicon)
+
+
+
 def test_thresholds_are_inclusive(spark):
     df = spark.createDataFrame([(0.79,), (0.8,), (None,)], "s double")
     assert [r.x for r in df.select(scores.over_threshold("s", 0.8).alias("x")).collect()] == [False, True, False]
