@@ -444,6 +444,7 @@ from (select source, unnest(types) as type from wide) group by rollup (source, t
 """,
     "scan": flat("wide", "msg_id, source, session_id"),
     "scan_response": flat("wide_bare", "msg_id"),
+    "sink_roundtrip": flat("wide_bare", "msg_id"),
     "scan_dedup": flat("wide", "msg_id, source, session_id"),
     "scan_strict": flat("wide_strict", "msg_id"),
     "route_messages": f"""

@@ -22,7 +22,7 @@ from ..sources.messages import (
     documents_as_messages,
     table,
 )
-from ..sources.storage import shared_dir
+from ..sources.storage import shared_dir, write_responses
 from ..streaming.stream import start_scan, stream_files
 from . import scan as sc
 
@@ -329,6 +329,15 @@ def scan_response(spark, sf_dir):
     return sc.flatten(sc.scan(messages(spark, sf_dir)), "msg_id")
 
 
+def sink_roundtrip(spark, sf_dir):
+    """The response sink, partitioned by verdict, written and read back."""
+    path = shared_dir(spark, "responses")
+    responses = sc.scan(messages(spark, sf_dir))
+    write_responses(responses, path)
+    # The schema is given: a partition column read without one is text.
+    return sc.flatten(spark.read.schema(responses.schema).parquet(path), "msg_id")
+
+
 def scan_dedup(spark, sf_dir):
     responses = sc.scan_distinct(messages(spark, sf_dir), lexicon=lexicon(spark, sf_dir))
     return sc.flatten(responses, "msg_id", "source", "session_id")
@@ -457,6 +466,7 @@ QUERIES = {
     "violation_rollup": violation_rollup,
     "scan": scan,
     "scan_response": scan_response,
+    "sink_roundtrip": sink_roundtrip,
     "scan_dedup": scan_dedup,
     "scan_strict": scan_strict,
     "route_messages": route_messages,
