@@ -45,13 +45,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def masked_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with all secrets found in it masked; ``n_chars`` counts the new text."""
-    found = secrets.scan_secrets(docs)
-    marked = found.select(F.col("id").alias("doc_id"), F.expr("sort_array(concat(base, added))").alias("spans"))
-    marked = marked.where("size(spans) > 0")
-    joined = docs.join(marked, "doc_id", "left").withColumn("spans", F.coalesce("spans", F.expr("array()")))
-    joined = joined.withColumn("text", secrets.redact("text", "spans"))
+    found = secrets.scan_secrets(docs, keep=COLUMNS).withColumn("spans", F.expr("sort_array(concat(base, added))"))
+    masked = found.withColumn("text", secrets.redact("text", "spans"))
     n_chars = F.when(F.size("spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return joined.withColumn("n_chars", n_chars).select(*COLUMNS)
+    return masked.withColumn("n_chars", n_chars).select(*COLUMNS)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
