@@ -1,7 +1,9 @@
 """A training-data pipeline: each stage reads what the one before wrote, and its decisions take effect.
 
 quality classifier -> exact dedup -> SimHash near-dedup -> secret scan -> packing.
-All but the last stage return the columns of ``documents``.
+All but the last stage return the columns of ``documents``. Every row is a document
+of its own: a null id is an id like any other, and rows that repeat an id are decided
+on one by one.
 """
 
 from __future__ import annotations
@@ -22,25 +24,35 @@ from msgscreen.llm.queries import tokenizer_file  # noqa: E402
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with one of the ids."""
-    return docs.join(ids, "doc_id", "left_semi").select(*COLUMNS)
+def keyed(docs: DataFrame) -> DataFrame:
+    """The documents with a unique ``row_key``, stored so that it stays the same."""
+    return stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_key")), "pipeline-rows")
+
+
+def chosen(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The documents with one of the row keys."""
+    return rows.join(keys.select("row_key"), "row_key", "left_semi").select(*COLUMNS)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
-    scores = quality.quality_scores(docs, table(spark, sf_dir, "labels"))
-    return chosen(docs, scores.where("predicted = 1").select(F.col("id").alias("doc_id")))
+    rows = keyed(docs)
+    scores = quality.quality_scores(rows, table(spark, sf_dir, "labels"), keep=("row_key",))
+    return chosen(rows, scores.where("predicted = 1"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id."""
-    return chosen(docs, exact_dedup.exact_duplicates(docs).where("kept").select(F.col("id").alias("doc_id")))
+    """Of equal texts, the document with the largest id; a null one is smaller than any other."""
+    rows = keyed(docs)
+    return chosen(rows, exact_dedup.exact_duplicates(rows, keep=("row_key",)).where("kept"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id."""
-    return chosen(docs, simhash.simhash_groups(docs).where("kept").select(F.col("id").alias("doc_id")))
+    """Of each group of near copies, the document with the smallest id; a null one stays only where there is no other."""
+    rows = keyed(docs)
+    groups = simhash.simhash_groups(rows, id_col="row_key").select(F.col("id").alias("row_key"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key"))
+    return chosen(rows, groups.join(rows.select("row_key", "doc_id"), "row_key").groupBy("component_id").agg(first.alias("first")).select("first.row_key"))
 
 
 def masked_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

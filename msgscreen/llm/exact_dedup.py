@@ -29,13 +29,14 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def located(docs: DataFrame, row_id: Column, text: Column) -> DataFrame:
-    """``id, text, at``: ``at`` is the file and row where a row's content lies; tables that aren't files are stored first."""
+def located(docs: DataFrame, row_id: Column, text: Column, kept: Column) -> DataFrame:
+    """``id, text, kept, at``: ``at`` is the file and row where a row's content lies; tables that aren't files are stored first."""
     at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at")
     try:
-        return docs.select(row_id.alias("id"), text.alias("text"), at)
+        return docs.select(row_id.alias("id"), text.alias("text"), kept.alias("kept"), at)
     except AnalysisException:
-        return stored(docs.select(row_id.alias("id"), text.alias("text")), "dedup-content").select("id", "text", at)
+        content = stored(docs.select(row_id.alias("id"), text.alias("text"), kept.alias("kept")), "dedup-content")
+        return content.select("id", "text", "kept", at)
 
 
 def keyed_state(arrivals: str, schema, spark, files_per_batch: int | None) -> DataFrame:
@@ -78,24 +79,29 @@ def exact_duplicates(
     text_col: str = "text",
     digest: Callable[[Column], Column] = sha256,
     files_per_batch: int | None = None,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``id, keep_id, group_size, kept, text_sha256`` per row; texts are equal when identical after lower-casing A-Z.
+    """``id, keep_id, group_size, kept, text_sha256`` and the columns ``keep`` per row.
+
+    Texts are equal when identical after lower-casing A-Z.
 
     Of equal texts the row with the largest id stays; of rows that share that id,
     the one that lies last, so exactly one stays. A null text counts as empty. A
     null id is smaller than any other; its row stays only if its group has no other
-    id. Other columns aren't read, so their names can't clash. An empty table gives
-    an empty result. ``digest`` may be weak: the check of the bytes makes up for it.
+    id. Of the other columns only ``keep`` are read, inside one struct. An empty table
+    gives an empty result. ``digest`` may be weak: the check of the bytes makes up for it.
     """
     spark = docs.sparkSession
-    rows = located(docs, F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    rows = rows.select("id", "at", ascii_lower(text_or_empty(F.col("text"))).alias("text"))
-    keyed = rows.select("id", "at", digest(F.col("text")).alias("digest"), sha256(F.col("text")).alias("sha"))
+    kept = F.struct(*(F.col(c) for c in keep) if keep else [F.lit(0).alias("_")])
+    rows = located(docs, F.col(id_col).cast("long"), F.col(text_col).cast("string"), kept)
+    rows = rows.select("id", "at", ascii_lower(text_or_empty(F.col("text"))).alias("text"), "kept")
+    keyed = rows.select("id", "at", "kept", digest(F.col("text")).alias("digest"), sha256(F.col("text")).alias("sha"))
     arrivals = shared_dir(spark, "dedup-arrivals")
     keyed.write.parquet(arrivals)
     keyed = spark.read.schema(keyed.schema).parquet(arrivals)
     if keyed.isEmpty():
-        return keyed.selectExpr("id", "id as keep_id", "0L as group_size", "true as kept", "lower(hex(sha)) as text_sha256")
+        none = keyed.selectExpr("id", "id as keep_id", "0L as group_size", "true as kept", "lower(hex(sha)) as text_sha256", "kept as own")
+        return none.select("id", "keep_id", "group_size", "kept", "text_sha256", *(F.col("own")[c].alias(c) for c in keep))
     state = stored(keyed_state(arrivals, keyed.schema, spark, files_per_batch), "dedup-entries")
 
     # Hits: bring the bytes of these rows only, and compare each with those of the row that stays.
@@ -121,4 +127,5 @@ def exact_duplicates(
         n.alias("group_size"),
         (F.col("at") == keeper["at"]).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        *(F.col("kept")[c].alias(c) for c in keep),
     )

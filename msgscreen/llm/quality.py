@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bytes_of, stored
 
@@ -57,17 +58,19 @@ def features(text: bytes) -> list[float]:
 
 
 def with_features(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id, x`` (the features as 8-byte floats); a null text counts as empty."""
+    """``id, x`` (the features as 8-byte floats) and ``kept``, a struct of the columns ``keep``; a null text counts as empty."""
     width = len(FEATURES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [np.array(features(t), np.float64).tobytes() for t in bytes_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), batch.column(2)], ["id", "x", "kept"])
 
     assert width == 18
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "id long, x binary")
+    kept = F.struct(*(F.col(c) for c in keep) if keep else [F.lit(0).alias("_")]).alias("kept")
+    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), kept)
+    shape = T.StructType([T.StructField("id", T.LongType()), T.StructField("x", T.BinaryType()), picked.schema["kept"]])
+    return picked.mapInArrow(run, shape)
 
 
 @dataclass
@@ -207,16 +210,17 @@ def quality_scores(
     label_col: str = "quality",
     threshold: float = 0.3,
     max_train_rows: int = 50_000,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``id, held_out, score, predicted`` per row of ``docs``; labels of held-out ids are never read.
+    """``id, held_out, score, predicted`` and the columns ``keep`` per row of ``docs``; labels of held-out ids are never read.
 
     Null and blank texts get the score of all-zero features; null ids are scored
     and take no part in training. Rows that repeat stay and score alike; of several
     labels of one id the mean, rounded up from a half, counts; null labels don't.
-    Without any label all scores are one half. Other columns aren't read. An empty
-    table gives an empty result.
+    Without any label all scores are one half. Of the other columns only ``keep``
+    are read. An empty table gives an empty result.
     """
-    scored = stored(with_features(docs, id_col, text_col), "quality-features")
+    scored = stored(with_features(docs, id_col, text_col, keep), "quality-features")
     marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("label"))
     marks = marks.where(~is_held_out(F.col("id"))).groupBy("id").agg((F.avg("label") >= 0.5).cast("double").alias("label"))
     model = train(scored.join(marks, "id").groupBy("id", "x").agg(F.max("label").alias("label")), max_train_rows)
@@ -224,11 +228,13 @@ def quality_scores(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array([np.frombuffer(b, np.float64) for b in batch.column(1).to_pylist()]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x)), batch.column(2)], ["id", "score", "kept"])
 
-    return scored.mapInArrow(run, "id long, score double").select(
+    shape = T.StructType([T.StructField("id", T.LongType()), T.StructField("score", T.DoubleType()), scored.schema["kept"]])
+    return scored.mapInArrow(run, shape).select(
         "id",
         is_held_out(F.col("id")).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
+        *(F.col("kept")[c].alias(c) for c in keep),
     )

@@ -8,6 +8,7 @@ import pytest
 from test_text_ops import PATTERNS
 
 import corpus_pipeline
+from msgscreen.llm import quality
 
 OPAQUE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 
@@ -67,3 +68,15 @@ def test_secrets_of_null_and_repeated_ids_are_masked_row_by_row(spark, documents
     assert counted(got) == collections.Counter(masked_by_hand(docs.collect()))
     masked = [r for r in got if r.doc_id in (None, -3) and "[SECRET]" in (r.text or "")]
     assert len(masked) == 3 and all(r.n_chars == len(r.text) for r in masked)
+
+
+def test_rows_with_null_and_repeated_ids_are_decided_one_by_one(spark, documents):
+    docs = spark.read.parquet(f"{documents}/documents.parquet")
+    scores = quality.quality_scores(docs, spark.read.parquet(f"{documents}/labels.parquet"), keep=("text",)).collect()
+    good = corpus_pipeline.good_quality(spark, docs, documents).collect()
+    assert counted(good) == collections.Counter((r.id, r.text) for r in scores if r.predicted)
+    assert any(r.doc_id is None for r in good) and not any("$#@" in (r.text or "") for r in good if r.doc_id == -4)
+    for stage in (corpus_pipeline.exact_copies, corpus_pipeline.near_copies):
+        kept = stage(spark, docs, documents).collect()
+        assert max(counted(kept).values()) == 1 and any(r.doc_id is None for r in kept)
+        assert len({r.text.lower() for r in kept if r.doc_id in (-1, -2)}) == len([r for r in kept if r.doc_id in (-1, -2)])
