@@ -3,8 +3,11 @@
 Urls with a rule verdict are the labels. Paths become templates: segments with digits
 turn into wildcards, then, level by level, a position with many rarely repeated
 values becomes one, and sibling branches with the same subtree shapes and the same
-smoothed share of blocked urls merge. A template is rejected when that share,
-smoothed towards its host's and the host's towards the whole table's, is high.
+share of blocked urls merge. A branch without labels keeps its own name and takes the
+labels of all siblings with its subtree shapes. A template is rejected when its share
+of blocked urls, smoothed towards its parent's, and so on up to the host, is high.
+Towards the host, urls without a label count at a fixed prior, so that rules which can
+only block (or only allow) do not speak for what they don't cover.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ class Tree:
     many_children: int = 20  # a position with more values than this ...
     rows_per_child: int = 5  # ... and fewer rows for each becomes a wildcard
     purity_steps: int = 5  # branches merge if their blocked shares fall into the same of so many steps
-    host_weight: float = 4.0
-    global_weight: float = 4.0
+    node_weight: float = 4.0  # rows at which a node's own labels weigh as much as its parent's share
+    prior: float = 0.25  # blocked share of what no label speaks for
     reject_at: float = 0.5
 
 
@@ -49,16 +52,20 @@ def rule_for(rules: Sequence[tuple[str, str, str]]) -> Column:
     return out
 
 
-def smoothed(blocked, labelled, prior, weight: float) -> Column:
-    return (blocked + prior * F.lit(weight)) / (labelled + F.lit(weight))
+def smoothed(blocked, labelled, prior, weight) -> Column:
+    weight = weight if isinstance(weight, Column) else F.lit(weight)
+    return (blocked + prior * weight) / (labelled + weight)
 
 
 def templates(paths: DataFrame, tree: Tree) -> DataFrame:
-    """``host, shape`` of distinct (host, shape, n, labelled, blocked) rows, with ``template``: the generalised path."""
+    """``host, shape`` of distinct (host, shape, n, labelled, blocked, share) rows, with ``template``: the generalised path.
+
+    ``share`` comes in as the host's share of blocked urls and goes out as that of the last node of the template.
+    """
     seg = lambda k: F.coalesce(F.get("segs", F.lit(k)), F.lit(""))
     nodes = paths.withColumn("segs", F.split(F.regexp_replace("shape", "^/", ""), "/"))
     nodes = nodes.select(
-        "host", "shape", "n", "labelled", "blocked",
+        "host", "shape", "n", "labelled", "blocked", "share",
         *(seg(k).alias(f"s{k}") for k in range(tree.levels)),
         F.when(F.size("segs") > tree.levels, F.lit("/**")).otherwise(F.lit("")).alias("tail"),
         F.lit("").alias("prefix"),
@@ -72,21 +79,34 @@ def templates(paths: DataFrame, tree: Tree) -> DataFrame:
             F.count_distinct(rest).alias("shapes"),
             F.min(rest).alias("least"),
             F.max(rest).alias("most"),
+            F.max("share").alias("above"),  # one value a prefix
         )
         # A branch's likeness: how its subtree looks, and in which step its blocked share falls.
         share = F.when(F.col("bl") > 0, F.floor(F.least(F.col("bb") / F.col("bl"), F.lit(0.999)) * tree.purity_steps)).otherwise(-1)
-        like = F.concat_ws("|", "shapes", "least", "most", share.cast("int"))
-        branches = branches.select("host", "prefix", F.col(f"s{k}").alias("branch"), "bn", like.alias("like"))
-        sizes = branches.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("children"), F.sum("bn").alias("rows"))
-        merged = branches.groupBy("host", "prefix", "like").agg(F.min("branch").alias("name"), F.count(F.lit(1)).alias("alike"))
-        named = branches.join(merged, ["host", "prefix", "like"]).join(sizes, ["host", "prefix"])
+        looks = F.concat_ws("|", "shapes", "least", "most")
+        like = F.concat_ws("|", looks, share.cast("int"))
+        branches = branches.select(
+            "host", "prefix", F.col(f"s{k}").alias("branch"), "bn", "bl", "bb", "above", looks.alias("looks"), like.alias("like")
+        )
+        labels = lambda of: (F.sum("bl").alias(f"{of}_l"), F.sum("bb").alias(f"{of}_b"))
+        sizes = branches.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("children"), F.sum("bn").alias("rows"), *labels("all"))
+        merged = branches.groupBy("host", "prefix", "like").agg(
+            F.min("branch").alias("name"), F.count(F.lit(1)).alias("alike"), *labels("own")
+        )
+        kin = branches.groupBy("host", "prefix", "looks").agg(*labels("kin"))
+        named = branches.drop("bl", "bb").join(merged, ["host", "prefix", "like"]).join(kin, ["host", "prefix", "looks"])
+        named = named.join(sizes, ["host", "prefix"])
         wild = (F.col("children") > tree.many_children) & (F.col("rows") < F.col("children") * tree.rows_per_child)
         name = F.when(wild, F.lit("*")).when(F.col("alike") > 1, F.concat("name", F.lit("+"))).otherwise(F.col("branch"))
-        named = stored(named.select("host", "prefix", F.col("branch").alias(f"s{k}"), name.alias("to")), f"url-level{k}")
-        nodes = nodes.join(named, ["host", "prefix", f"s{k}"])
+        # The labels of the node: its own, or else those of all siblings that look like it.
+        spoken = lambda x: F.when(wild, F.col(f"all_{x}")).when(F.col("own_l") > 0, F.col(f"own_{x}")).otherwise(F.col(f"kin_{x}"))
+        below = smoothed(spoken("b"), spoken("l"), F.col("above"), tree.node_weight)
+        named = named.select("host", "prefix", F.col("branch").alias(f"s{k}"), name.alias("to"), below.alias("share"))
+        named = stored(named, f"url-level{k}")
+        nodes = nodes.drop("share").join(named, ["host", "prefix", f"s{k}"])
         nodes = nodes.withColumn("prefix", F.concat("prefix", F.lit("/"), "to")).drop("to")
         nodes = stored(nodes, f"url-nodes{k}")
-    return nodes.select("host", "shape", "n", "labelled", "blocked", F.concat("prefix", "tail").alias("template"))
+    return nodes.select("host", "shape", "n", "labelled", "blocked", "share", F.concat("prefix", "tail").alias("template"))
 
 
 def judge_urls(
@@ -95,8 +115,8 @@ def judge_urls(
     """``id, host, path, rule, verdict, template, purity`` per row; ``rules`` are (allow or block, host, path).
 
     A null url and one without ``://`` have empty host and path. Null and repeated
-    ids stay as they are. Without any labelled url the purity is 0 and all pages
-    pass. Only the two named columns are read. An empty table gives an empty result.
+    ids stay as they are. On a host without any labelled url the purity is 0 and all
+    pages pass. Only the two named columns are read. An empty table gives an empty result.
 
     All counting is on distinct (host, shape) pairs, summed before the shuffle, so a
     host with a third of all pages is one row per shape and task; the join back has
@@ -112,13 +132,15 @@ def judge_urls(
         F.count_if(F.col("r.verdict") == "block").alias("blocked"),
     )
     sums = stored(sums, "url-shapes")
-    tree_rows = templates(sums, tree)
-    overall = sums.agg((F.sum("blocked") / F.greatest(F.sum("labelled"), F.lit(1))).alias("p"))
-    by_host = sums.groupBy("host").agg(F.sum("blocked").alias("hb"), F.sum("labelled").alias("hl"))
-    by_host = by_host.select("host", smoothed(F.col("hb"), F.col("hl"), F.coalesce(overall.scalar(), F.lit(0.0)), tree.global_weight).alias("prior"))
-    by_template = tree_rows.groupBy("host", "template").agg(F.sum("blocked").alias("tb"), F.sum("labelled").alias("tl"))
-    by_template = by_template.join(by_host, "host").select(
-        "host", "template", smoothed(F.col("tb"), F.col("tl"), F.col("prior"), tree.host_weight).alias("purity")
+    by_host = sums.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("blocked").alias("hb"), F.sum("labelled").alias("hl"))
+    host_share = F.when(F.col("hl") > 0, smoothed(F.col("hb"), F.col("hl"), F.lit(tree.prior), F.col("hn") - F.col("hl") + tree.node_weight))
+    by_host = by_host.select("host", F.coalesce(host_share, F.lit(0.0)).alias("share"))
+    tree_rows = templates(sums.join(by_host, "host"), tree)
+    by_template = tree_rows.groupBy("host", "template").agg(
+        F.sum("blocked").alias("tb"), F.sum("labelled").alias("tl"), F.max("share").alias("above")
+    )
+    by_template = by_template.select(
+        "host", "template", smoothed(F.col("tb"), F.col("tl"), F.col("above"), tree.node_weight).alias("purity")
     )
     verdicts = tree_rows.select("host", "shape", "template").join(by_template, ["host", "template"])
     verdicts = stored(verdicts.select("host", "shape", "template", "purity"), "url-verdicts")

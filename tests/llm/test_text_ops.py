@@ -105,6 +105,21 @@ def test_url_tree_merges_and_generalises(spark):
     assert {got[100 + i].template for i in range(60)} == {"/*//"}
 
 
+def test_urls_without_a_rule_follow_the_tree(spark):
+    urls = [f"http://h.net/{a}/{i}" for a in ("es", "fr", "en") for i in range(4)]
+    urls += [f"http://h.net/about/{w}/{i}" for w in "ab" for i in range(20)]  # another subtree than the blocked ones
+    urls += [f"http://o.org/{a}/{i}" for a in ("es", "fr", "en") for i in range(4)]
+    urls += [f"http://example.com/{a}/{i}" for a in ("en", "de") for i in range(4)]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = {urls[r.id]: r for r in url_filter.judge_urls(frame, queries.URL_RULES).collect()}
+    verdict = lambda start: {r.verdict for u, r in rows.items() if u.startswith(start)}
+    assert verdict("http://h.net/en/") == {"block"} and verdict("http://h.net/about/") == {"allow"}
+    assert verdict("http://o.org/") == {"allow"} and {r.purity for u, r in rows.items() if "o.org" in u} == {0.0}
+    blocked = [f"http://x.net/es/{i}" for i in range(300)] + [f"http://y{i}.org/en/{i}" for i in range(50)]
+    frame = spark.createDataFrame(list(enumerate(blocked)), "page_id long, url string")
+    assert {r.verdict for r in url_filter.judge_urls(frame, queries.URL_RULES).collect() if r.host.endswith(".org")} == {"allow"}
+
+
 def test_quality_on_held_out_labels(spark):
     sf_dir = "/root/testdata/sf0.01"
     rows = {r.doc_id: r for r in queries.op4_quality(spark, sf_dir).collect()}
