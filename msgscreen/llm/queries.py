@@ -79,7 +79,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_templates.drop_recurring_lines(table(spark, sf_dir, "documents"))
+    found = line_templates.drop_recurring_lines(table(spark, sf_dir, "documents"), min_docs=2)
     return found.select(
         F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.length("text").cast("long").alias("chars_left"), F.sha2("text", 256).alias("text_sha256")
     )

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from msgscreen.llm import common, embeddings, exact_dedup, line_templates, simhash
+from msgscreen.llm import common, embeddings, exact_dedup, line_templates, queries, simhash
 
 DOCS = "doc_id long, text string, id string, fp string, at string, digest string"
 
@@ -190,6 +190,15 @@ def test_lines_that_recur_go_from_all_but_the_first(spark, words):
     assert line_templates.drop_recurring_lines(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_a_passage_of_two_documents_goes_from_the_second(spark, words, tmp_path):
+    rng = random.Random(9)
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage = prose(60)
+    docs_of(spark, [f"{prose(30)}\n{passage}", f"{passage}\n{prose(20)}", prose(60)]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.n_dropped for r in queries.op8_lines(spark, str(tmp_path)).collect()}
+    assert got == {0: 0, 1: 1, 2: 0}
+
+
 def test_lines_with_null_and_repeated_ids(spark):
     line = "this line stands in many documents"
     rows = [(1, line), (1, line), (2, line), (None, line), (None, None)]
