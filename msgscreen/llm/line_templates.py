@@ -25,10 +25,12 @@ HASHES = [f"h{i}" for i in range(FIELDS)]
 
 def parsed_lines(rows: DataFrame, depth: int, min_tokens: int) -> DataFrame:
     """``id, twin, pos, leaf, line, h0..`` per line of ``min_tokens`` tokens or more; ``rows``: ``id, twin, text``."""
-    masked = F.regexp_replace("text", r"[^\s]*[0-9][^\s]*", "<*>")
-    lines = rows.select("id", "twin", F.posexplode(F.split(masked, "\n")).alias("pos", "line"))
-    tokens = F.array_remove(F.split("line", r"\s+"), "")
-    lines = lines.select("id", "twin", "pos", tokens.alias("t")).where(F.size("t") >= min_tokens)
+    lines = rows.select("id", "twin", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    tokens = lambda line: F.array_remove(F.split(line, r"\s+"), "")
+    masked = F.regexp_replace("line", r"[^\s]*[0-9][^\s]*", "<*>")
+    lines = lines.select("id", "twin", "pos", "line", tokens(masked).alias("t")).where(F.size("t") >= min_tokens)
+    short = F.size("t") < depth
+    lines = lines.select("id", "twin", "pos", F.when(short, tokens("line")).otherwise(F.col("t")).alias("t"))
     lines = lines.withColumn("n", F.size("t"))
 
     def content(i: int) -> Column:
@@ -61,15 +63,15 @@ def drop_recurring_lines(
     text_col: str = "text",
     min_docs: int = 3,
     depth: int = 4,
-    min_tokens: int = 4,
+    min_tokens: int = 1,
     dominant: float = 0.8,
     alike: float = 0.7,
 ) -> DataFrame:
     """``id, text, n_lines, n_dropped``: each row's text without recurring lines.
 
     A template recurs if ``min_docs`` documents hold it; its lines stay in the
-    document with the smallest id. Lines of fewer than ``min_tokens`` tokens always
-    stay. Null texts are empty; rows with a null id keep all lines and count for
+    document with the smallest id. Lines of fewer than ``min_tokens`` tokens (by
+    default blank ones) always stay. Null texts are empty; rows with a null id keep all lines and count for
     none; rows that repeat an id count as one document. Other columns aren't read.
     An empty table gives an empty result.
 

@@ -199,6 +199,16 @@ def test_a_passage_of_two_documents_goes_from_the_second(spark, words, tmp_path)
     assert got == {0: 0, 1: 1, 2: 0}
 
 
+def test_short_lines_count_as_literal_templates(spark, words):
+    rng = random.Random(10)
+    prose = " ".join(rng.choice(words) for _ in range(30))
+    texts = [f"{n}{prose}\nAll rights reserved.\n\nLes.\nPage {i}" for i, n in enumerate("abcd")]
+    got = {r.id: r for r in line_templates.drop_recurring_lines(docs_of(spark, texts), min_tokens=1, alike=1.0).collect()}
+    assert [got[i].n_dropped for i in range(4)] == [0, 2, 2, 2]
+    assert got[3].text.endswith("\n\nPage 3")
+    assert [r.n_dropped for r in line_templates.drop_recurring_lines(docs_of(spark, ["Les."] * 3)).orderBy("id").collect()] == [0, 1, 1]
+
+
 def test_lines_with_null_and_repeated_ids(spark):
     line = "this line stands in many documents"
     rows = [(1, line), (1, line), (2, line), (None, line), (None, None)]
