@@ -1,16 +1,19 @@
 """Line dedup by a log-template tree.
 
 Lines are parsed to a fixed depth: first by token count, then by their leading tokens,
-with fields that hold digits replaced by a wildcard. In a leaf that several documents
-share, lines are compared by position: the tokens are cut into a few consecutive
-fields, a field with one dominant content is literal, any other a wildcard. Lines
-that agree with enough literal fields follow the leaf's template, all others are
-templates of their own. Templates that recur across documents are dropped from all
-documents but the first that holds them.
+with fields that hold digits replaced by a wildcard; lines with fewer tokens than the
+tree is deep are literal. In a leaf that several documents share, lines are compared by
+position: the tokens are cut into a few consecutive fields, and lines that agree in
+enough of them follow one template, in which the other fields are wildcards. A leaf
+holds any number of templates, and a line follows each that it agrees with; without
+any it is a template of its own. Templates that recur across documents are dropped
+from all documents but the first that holds them.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +27,7 @@ HASHES = [f"h{i}" for i in range(FIELDS)]
 
 
 def parsed_lines(rows: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """``id, twin, pos, leaf, line, h0..`` per line of ``min_tokens`` tokens or more; ``rows``: ``id, twin, text``."""
+    """``id, twin, pos, leaf, line, n, h0..`` per line of ``min_tokens`` tokens or more; ``rows``: ``id, twin, text``."""
     lines = rows.select("id", "twin", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     tokens = lambda line: F.array_remove(F.split(line, r"\s+"), "")
     masked = F.regexp_replace("line", r"[^\s]*[0-9][^\s]*", "<*>")
@@ -38,23 +41,53 @@ def parsed_lines(rows: DataFrame, depth: int, min_tokens: int) -> DataFrame:
         return F.expr(f"case when {hi} > {lo} then xxhash64(slice(t, {lo} + 1, {hi} - {lo})) end").alias(HASHES[i])
 
     leaf = F.xxhash64("n", F.slice("t", 1, depth))
-    return lines.select("id", "twin", "pos", leaf.alias("leaf"), F.xxhash64("t").alias("line"), *map(content, range(FIELDS)))
+    return lines.select("id", "twin", "pos", leaf.alias("leaf"), F.xxhash64("t").alias("line"), "n", *map(content, range(FIELDS)))
 
 
-def template_followers(by_line: DataFrame, min_docs: int, dominant: float, alike: float) -> DataFrame:
-    """``leaf, line`` of the lines that agree with the template of their leaf."""
+def template_keys(depth: int, alike: float) -> Column:
+    """One hash per template that a line of a leaf may follow, from its ``leaf, n, h0..``.
+
+    Lines that agree in at least a share ``alike`` of their fields agree in some
+    choice of exactly so many: one key per choice of the wildcards. Fields inside the
+    leading tokens are the same in the whole leaf and never wildcards.
+    """
+    need = lambda fields: math.ceil(fields * alike - 1e-9)
+    keys, number = [], itertools.count()
+
+    def fields_of(n: int) -> tuple[int, list[int]]:
+        """Number of fields of a line of ``n`` tokens, and those that may differ within its leaf."""
+        spans = [(n * i // FIELDS, n * (i + 1) // FIELDS) for i in range(FIELDS)]
+        return sum(hi > lo for lo, hi in spans), [i for i, (lo, hi) in enumerate(spans) if hi > lo and hi > depth]
+
+    by_choice: dict[tuple[int, ...], list[int]] = {}
+    last = max(FIELDS, depth * FIELDS) + FIELDS  # from here on no field lies within the leading tokens
+    for n in range(1, last + 1):
+        fields, free = fields_of(n)
+        for choice in itertools.combinations(free, min(fields - need(fields), len(free))):
+            if choice:
+                by_choice.setdefault(choice, []).append(n)
+    for choice, sizes in by_choice.items():
+        rest = [F.col(h) for i, h in enumerate(HASHES) if i not in choice]
+        key = F.xxhash64(F.lit(next(number)), "leaf", *rest)
+        keys.append(F.when(F.least("n", F.lit(last)).isin(sizes), key))
+    return F.array_compact(F.array(*keys)) if keys else F.expr("cast(array() as array<bigint>)")
+
+
+def recurring_templates(by_line: DataFrame, lines: DataFrame, min_docs: int, depth: int, alike: float) -> DataFrame:
+    """``leaf, line, first`` of the lines that follow a template held by ``min_docs`` documents; ``first`` holds it first."""
     leaves = by_line.groupBy("leaf").agg(F.sum("docs").alias("n"), F.count(F.lit(1)).alias("kinds"))
     shared = by_line.join(leaves.where(f"n >= {min_docs} and kinds > 1").select("leaf"), "leaf", "left_semi")
-    at = shared.select("leaf", "line", "docs", F.posexplode(F.array(*HASHES)).alias("pos", "content")).where("content is not null")
-    votes = at.groupBy("leaf", "pos", "content").agg(F.sum("docs").alias("v"))
-    tops = votes.groupBy("leaf", "pos").agg(F.max(F.struct("v", "content")).alias("top"), F.sum("v").alias("all"))
-    tops = tops.select("leaf", "pos", F.col("top.content").alias("top"), (F.col("top.v") >= F.col("all") * dominant).alias("literal"))
-    fit = at.join(tops, ["leaf", "pos"]).groupBy("leaf", "line").agg(
-        F.count(F.lit(1)).alias("fields"),
-        F.count_if("literal").alias("literals"),
-        F.count_if(F.col("literal") & (F.col("content") == F.col("top"))).alias("agree"),
-    )
-    return fit.where((F.col("literals") >= F.col("fields") * alike) & (F.col("agree") == F.col("literals"))).select("leaf", "line")
+    at = shared.select("leaf", "line", "docs", "first", F.explode(template_keys(depth, alike)).alias("key"))
+    at = stored(at, "lines-keys")
+    # A template with one kind of line is that line; of the others, those with a frequent line recur without counting.
+    wide = at.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max("docs").alias("most"), F.min("first").alias("first"))
+    wide = stored(wide.where("kinds > 1").select("key", "most", "first"), "lines-templates")
+    rare = at.join(wide.where(f"most < {min_docs}").select("key"), "key").select("leaf", "line", "key")
+    # Lines of one template may stand in the same document, which counts once.
+    held = lines.select("leaf", "line", "id").join(rare, ["leaf", "line"]).groupBy("key", "id").agg(F.lit(1).alias("one"))
+    counted = held.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where(f"docs >= {min_docs}").select("key")
+    recurring = wide.where(f"most >= {min_docs}").select("key", "first").unionByName(wide.join(counted, "key", "left_semi").select("key", "first"))
+    return at.join(recurring.withColumnRenamed("first", "earliest"), "key").groupBy("leaf", "line").agg(F.min("earliest").alias("first"))
 
 
 def drop_recurring_lines(
@@ -64,14 +97,14 @@ def drop_recurring_lines(
     min_docs: int = 3,
     depth: int = 4,
     min_tokens: int = 1,
-    dominant: float = 0.8,
     alike: float = 0.7,
 ) -> DataFrame:
     """``id, text, n_lines, n_dropped``: each row's text without recurring lines.
 
     A template recurs if ``min_docs`` documents hold it; its lines stay in the
-    document with the smallest id. Lines of fewer than ``min_tokens`` tokens (by
-    default blank ones) always stay. Null texts are empty; rows with a null id keep all lines and count for
+    document with the smallest id, unless that is not the first for another template
+    of theirs. Lines of fewer than ``min_tokens`` tokens (by default blank ones)
+    always stay. Null texts are empty; rows with a null id keep all lines and count for
     none; rows that repeat an id count as one document. Other columns aren't read.
     An empty table gives an empty result.
 
@@ -81,17 +114,13 @@ def drop_recurring_lines(
     text = text_or_empty(F.col(text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("twin"), text.alias("text"))
     lines = stored(parsed_lines(rows.where("id is not null"), depth, min_tokens), "lines")
-    held = lines.groupBy("leaf", "line", *HASHES, "id").agg(F.lit(1).alias("one"))
-    by_line = held.groupBy("leaf", "line", *HASHES).agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("first"))
+    held = lines.groupBy("leaf", "line", "n", *HASHES, "id").agg(F.lit(1).alias("one"))
+    by_line = held.groupBy("leaf", "line", "n", *HASHES).agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("first"))
     by_line = stored(by_line, "lines-distinct")
-    followers = stored(template_followers(by_line, min_docs, dominant, alike), "lines-followers")
-    own = by_line.join(followers, ["leaf", "line"], "left_anti").where(f"docs >= {min_docs}").select("leaf", "line", "first")
-    # Lines of one template may stand in the same document, which counts once.
-    in_docs = lines.select("leaf", "line", "id").join(followers, ["leaf", "line"]).groupBy("leaf", "id").agg(F.lit(1).alias("one"))
-    recurring = in_docs.groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("first"))
-    shared = followers.join(recurring.where(f"docs >= {min_docs}").select("leaf", "first"), "leaf")
-    dropped = stored(own.unionByName(shared.select("leaf", "line", "first")), "lines-dropped")
-    gone = lines.select("id", "twin", "pos", "leaf", "line").join(dropped, ["leaf", "line"]).where("id <> first")
+    own = by_line.where(f"docs >= {min_docs}").select("leaf", "line", "first")
+    found = own.unionByName(recurring_templates(by_line, lines, min_docs, depth, alike))
+    dropped = stored(found.groupBy("leaf", "line").agg(F.min("first").alias("first")), "lines-dropped")
+    gone = lines.select("id", "twin", "pos", "leaf", "line").join(dropped, ["leaf", "line"]).where("id > first")
     gone = gone.groupBy("id", "twin").agg(F.collect_set("pos").alias("gone"))
     found = rows.join(gone, ["id", "twin"], "left").select("id", "text", "gone")
 

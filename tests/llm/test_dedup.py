@@ -209,6 +209,20 @@ def test_short_lines_count_as_literal_templates(spark, words):
     assert [r.n_dropped for r in line_templates.drop_recurring_lines(docs_of(spark, ["Les."] * 3)).orderBy("id").collect()] == [0, 1, 1]
 
 
+def test_several_templates_of_one_leaf(spark, words):
+    rng = random.Random(11)
+    word = lambda: rng.choice(words)
+    lines = [f"the system was shut down on monday evening by operator {word()}{i} for the usual reason".replace(str(i), "xyz"[i]) for i in range(3)]
+    lines += [f"the system was shut up and left to itself without {'uvw'[i]}{word()} as nobody was there" for i in range(3)]
+    assert len({len(x.split()) for x in lines}) == 1
+    got = line_templates.drop_recurring_lines(docs_of(spark, lines)).orderBy("id").collect()
+    assert [r.n_dropped for r in got] == [0, 1, 1, 0, 1, 1]
+    hot = ["the system was shut for good and all of us went home in the rain"] * 30
+    assert len(hot[0].split()) == len(lines[0].split())
+    got = line_templates.drop_recurring_lines(docs_of(spark, hot + lines[:3])).orderBy("id").collect()
+    assert [r.n_dropped for r in got] == [0] + [1] * 29 + [0, 1, 1]
+
+
 def test_lines_with_null_and_repeated_ids(spark):
     line = "this line stands in many documents"
     rows = [(1, line), (1, line), (2, line), (None, line), (None, None)]
