@@ -76,7 +76,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best-fit packing", packed_sequences),
 ]
 
-# No SQL: the classifier and the tokenizer have no SQL form. tests/llm holds the brute-force versions.
+# No SQL: the classifier and the tokenizer have no SQL form. tests/llm/test_pipeline.py has the filtering stages in plain Python.
 ORACLE_SQL = None
 
 

@@ -1,10 +1,11 @@
-"""The pipeline on rows with null and repeated ids."""
+"""Every stage of the pipeline against plain Python, null and repeated ids included."""
 
 import collections
 import random
 import re
 
 import pytest
+from test_dedup import exact_by_hand, plain_fingerprint, smallest_reachable
 from test_text_ops import PATTERNS
 
 import corpus_pipeline
@@ -13,6 +14,20 @@ from msgscreen.llm import quality
 OPAQUE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 
 
+def named(row):
+    return (row.doc_id is None, row.doc_id or 0)
+
+
+def near_by_hand(rows):
+    """Per group of near copies the smallest id and the texts that may stay for it."""
+    prints = [plain_fingerprint(r.text or "") for r in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 2]
+    groups = collections.defaultdict(list)
+    for i, root in smallest_reachable(range(len(rows)), links).items():
+        groups[root].append(rows[i])
+    return [(least.doc_id, {r.text for r in g if r.doc_id == least.doc_id}) for g in groups.values() for least in [min(g, key=named)]]
+
+
 def masked_by_hand(rows):
     """``doc_id, text`` with base spans and opaque values of fewer than three sources masked."""
     spans, sources = [], collections.defaultdict(set)
@@ -62,6 +77,53 @@ def documents(spark, small_dir, words, tmp_path_factory):
     return folder
 
 
+def test_every_stage_is_plain_python(spark, documents):
+    docs = spark.read.parquet(f"{documents}/documents.parquet")
+    scores = quality.quality_scores(docs, spark.read.parquet(f"{documents}/labels.parquet"), keep=("text",))
+    good = {(r.id, r.text) for r in scores.collect() if r.predicted}
+    stages = [stage for _, stage in corpus_pipeline.STAGES]
+
+    rows = docs.collect()
+    docs = corpus_pipeline.stored(stages[0](spark, docs, documents), "test-quality")
+    got = docs.collect()
+    assert counted(got) == collections.Counter({k: n for k, n in counted(rows).items() if k in good})
+    assert any(r.doc_id is None for r in got) and max(counted(got).values()) > 1
+
+    rows = got
+    docs = corpus_pipeline.stored(stages[1](spark, docs, documents), "test-exact")
+    got = docs.collect()
+    want = collections.Counter((i, digest) for i, _, _, kept, digest in exact_by_hand_any(rows) if kept)
+    assert collections.Counter((r.doc_id, digest_of(r.text)) for r in got) == want
+
+    rows = got
+    docs = corpus_pipeline.stored(stages[2](spark, docs, documents), "test-near")
+    got = docs.collect()
+    want = near_by_hand(rows)
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(i for i, _ in want)
+    assert all(any(r.doc_id == i and r.text in texts for i, texts in want) for r in got)
+    assert not counted(got) - counted(rows)
+
+    rows = got
+    got = stages[3](spark, docs, documents).collect()
+    assert counted(got) == collections.Counter(masked_by_hand(rows))
+    final = corpus_pipeline.run(spark, documents).where("piece = 0").collect()
+    assert collections.Counter(r.doc_id for r in final) == collections.Counter(r.doc_id for r in got)
+
+
+def digest_of(text):
+    return exact_by_hand([(0, text)])[0][4]
+
+
+def exact_by_hand_any(rows):
+    """``exact_by_hand`` with null ids below all others and one row kept of those that share the largest id."""
+    low, seen = -(1 << 62), set()
+    for i, keep, n, kept, digest in exact_by_hand([(low if r.doc_id is None else r.doc_id, r.text) for r in rows]):
+        kept = kept and digest not in seen
+        if kept:
+            seen.add(digest)
+        yield (None if i == low else i), keep, n, kept, digest
+
+
 def test_secrets_of_null_and_repeated_ids_are_masked_row_by_row(spark, documents):
     docs = spark.read.parquet(f"{documents}/documents.parquet")
     got = corpus_pipeline.masked_secrets(spark, docs, documents).collect()
