@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, exact_dedup, line_templates, packing, quality, secrets, simhash, url_filter, warc
+from . import bpe, embeddings, exact_dedup, line_templates, packing, quality, secrets, simhash, url_filter, warc
 from . import sentencepiece_sampling as sampling
 from .common import table
 
@@ -94,6 +94,18 @@ def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = tokenizer_file("byte_bpe_50k.json")
+    ids = bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return bpe.decoded(ids, vocabulary).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        digest(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
+        digest(F.col("text")).alias("decoded_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
     import corpus_pipeline
@@ -112,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lines": op8_lines,
     "op9_packing": op9_packing,
     "op10_exact": op10_exact,
+    "op12_bpe": op12_bpe,
     "pipeline": pipeline,
 }
 
