@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, exact_dedup, line_templates, packing, quality, secrets, simhash, url_filter, warc
+from . import bpe, embeddings, exact_dedup, line_templates, packing, quality, secrets, simhash, structure_repair, url_filter, warc
 from . import sentencepiece_sampling as sampling
 from .common import table
 
@@ -106,6 +106,20 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    reports = structure_repair.conversation_reports(structure_repair.repaired(structure_repair.damaged(conversations)))
+    ids = conversations.select(F.col("conv_id").cast("long").alias("id")).distinct()
+    found = ids.join(reports, ids["id"].eqNullSafe(reports["conv_id"]), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return found.select(
+        F.col("id").alias("conv_id"),
+        *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
     import corpus_pipeline
@@ -125,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_exact": op10_exact,
     "op12_bpe": op12_bpe,
+    "op13_repair": op13_repair,
     "pipeline": pipeline,
 }
 
