@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, exact_dedup, line_templates, packing, quality, secrets, simhash, structure_repair, url_filter, warc
+from . import bpe, embeddings, exact_dedup, line_templates, packing, prefix_trie, quality, secrets, simhash, structure_repair, url_filter, warc
 from . import sentencepiece_sampling as sampling
 from .common import table
 
@@ -94,6 +94,10 @@ def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = tokenizer_file("byte_bpe_50k.json")
     ids = bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
@@ -138,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lines": op8_lines,
     "op9_packing": op9_packing,
     "op10_exact": op10_exact,
+    "op11_trie": op11_trie,
     "op12_bpe": op12_bpe,
     "op13_repair": op13_repair,
     "pipeline": pipeline,
