@@ -28,12 +28,12 @@ HASHES = [f"h{i}" for i in range(FIELDS)]
 
 def parsed_lines(rows: DataFrame, depth: int, min_tokens: int) -> DataFrame:
     """``id, twin, pos, leaf, line, n, h0..`` per line of ``min_tokens`` tokens or more; ``rows``: ``id, twin, text``."""
-    lines = rows.select("id", "twin", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    tokens = lambda line: F.array_remove(F.split(line, r"\s+"), "")
-    masked = F.regexp_replace("line", r"[^\s]*[0-9][^\s]*", "<*>")
-    lines = lines.select("id", "twin", "pos", "line", tokens(masked).alias("t")).where(F.size("t") >= min_tokens)
-    short = F.size("t") < depth
-    lines = lines.select("id", "twin", "pos", F.when(short, tokens("line")).otherwise(F.col("t")).alias("t"))
+    # Tokens are cut before lines become rows, so that they are cut once, and each is tested by itself:
+    # a pattern that looks for digits across a line would try every place of a long token.
+    tokens = F.transform(F.split("text", "\n"), lambda line: F.array_remove(F.split(line, r"\s+"), ""))
+    lines = rows.select("id", "twin", F.posexplode(tokens).alias("pos", "own")).where(F.size("own") >= min_tokens)
+    masked = F.transform("own", lambda x: F.when(x.rlike("[0-9]"), "<*>").otherwise(x))
+    lines = lines.select("id", "twin", "pos", F.when(F.size("own") < depth, F.col("own")).otherwise(masked).alias("t"))
     lines = lines.withColumn("n", F.size("t"))
 
     def content(i: int) -> Column:
