@@ -49,7 +49,10 @@ class Ids:
         """Little-endian 32-bit ids."""
         if any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return self.plain.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        try:
+            return self.plain.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        except ValueError:  # its pattern needs a stack as deep as a run of blanks is long
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def pieces_of(docs: DataFrame, vocabulary: str, ranks: str, end_id: int, capacity: int, id_col: str, text_col: str) -> DataFrame:
