@@ -6,8 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
-from ..sources.storage import shared_dir
+from ..sources.storage import release, scratch, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,18 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_place(docs: DataFrame, purpose: str = "content") -> DataFrame:
+    """``docs`` and ``at``, the file and row where each row lies: a unique key that takes no copy.
+
+    Tables that aren't files are stored first.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at")
+    try:
+        return docs.select(*docs.columns, place)
+    except AnalysisException:
+        return stored(docs, purpose).select(*docs.columns, place)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -63,28 +76,34 @@ def components(edges: DataFrame, purpose: str) -> DataFrame:
     the side that may be skewed meets a side with unique keys, so that Spark can
     split it. Only nodes with an edge are returned; loops give no edge.
     """
-    links = stored(edges.where("a <> b").select("a", "b").distinct(), f"{purpose}-edges")
+    spark = edges.sparkSession
+    with scratch() as begun:
+        links = stored(edges.where("a <> b").select("a", "b").distinct(), f"{purpose}-edges")
     nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("place", F.col("node"))
     for step in range(64):
         if links.isEmpty():
             return nodes.select("node", F.col("place").alias("component"))
-        both = links.select(F.explode(F.expr("array(struct(a as u, b as v), struct(b as u, a as v))")).alias("e"))
-        near = both.select("e.*").groupBy("u").agg(F.min("v").alias("v"))
-        near = near.select("u", F.least("u", "v").alias("p"))
-        far = near.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-        move = stored(near.join(far, "p").select("u", F.col("pp").alias("p")), f"{purpose}-move{step}")
-        to_a = move.select(F.col("u").alias("a"), F.col("p").alias("pa"))
-        to_b = move.select(F.col("u").alias("b"), F.col("p").alias("pb"))
-        drawn = links.join(to_a, "a").join(to_b, "b").where("pa <> pb")
-        links = stored(
-            drawn.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(),
-            f"{purpose}-links{step}",
-        )
-        there = move.select(F.col("u").alias("place"), F.col("p").alias("to"))
-        nodes = stored(
-            nodes.join(there, "place", "left").select("node", F.coalesce("to", "place").alias("place")),
-            f"{purpose}-nodes{step}",
-        )
+        with scratch() as round_:
+            both = links.select(F.explode(F.expr("array(struct(a as u, b as v), struct(b as u, a as v))")).alias("e"))
+            near = both.select("e.*").groupBy("u").agg(F.min("v").alias("v"))
+            near = near.select("u", F.least("u", "v").alias("p"))
+            far = near.select(F.col("u").alias("p"), F.col("p").alias("pp"))
+            move = stored(near.join(far, "p").select("u", F.col("pp").alias("p")), f"{purpose}-move{step}")
+            to_a = move.select(F.col("u").alias("a"), F.col("p").alias("pa"))
+            to_b = move.select(F.col("u").alias("b"), F.col("p").alias("pb"))
+            drawn = links.join(to_a, "a").join(to_b, "b").where("pa <> pb")
+            links = stored(
+                drawn.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(),
+                f"{purpose}-links{step}",
+            )
+            there = move.select(F.col("u").alias("place"), F.col("p").alias("to"))
+            nodes = stored(
+                nodes.join(there, "place", "left").select("node", F.coalesce("to", "place").alias("place")),
+                f"{purpose}-nodes{step}",
+            )
+        # The tables of the round before have been read for the last time.
+        release(spark, begun)
+        begun = round_
     raise RuntimeError("components did not settle in 64 rounds")
 
 

@@ -80,8 +80,9 @@ def exact_duplicates(
     digest: Callable[[Column], Column] = sha256,
     files_per_batch: int | None = None,
     keep: tuple[str, ...] = (),
+    places: bool = False,
 ) -> DataFrame:
-    """``id, keep_id, group_size, kept, text_sha256`` and the columns ``keep`` per row.
+    """``id, keep_id, group_size, kept, text_sha256`` and the columns ``keep`` per row; with ``places`` also ``at``.
 
     Texts are equal when identical after lower-casing A-Z.
 
@@ -100,8 +101,9 @@ def exact_duplicates(
     keyed.write.parquet(arrivals)
     keyed = spark.read.schema(keyed.schema).parquet(arrivals)
     if keyed.isEmpty():
-        none = keyed.selectExpr("id", "id as keep_id", "0L as group_size", "true as kept", "lower(hex(sha)) as text_sha256", "kept as own")
-        return none.select("id", "keep_id", "group_size", "kept", "text_sha256", *(F.col("own")[c].alias(c) for c in keep))
+        none = keyed.selectExpr("id", "id as keep_id", "0L as group_size", "true as kept", "lower(hex(sha)) as text_sha256", "kept as own", "at")
+        also = ["at"] if places else []
+        return none.select("id", "keep_id", "group_size", "kept", "text_sha256", *(F.col("own")[c].alias(c) for c in keep), *also)
     state = stored(keyed_state(arrivals, keyed.schema, spark, files_per_batch), "dedup-entries")
 
     # Hits: bring the bytes of these rows only, and compare each with those of the row that stays.
@@ -128,4 +130,5 @@ def exact_duplicates(
         (F.col("at") == keeper["at"]).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
         *(F.col("kept")[c].alias(c) for c in keep),
+        *(["at"] if places else []),
     )

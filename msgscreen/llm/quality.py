@@ -202,6 +202,12 @@ def is_held_out(id_col: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
+def training_labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """``id, label``, one row per id outside the held-out fold."""
+    marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("label"))
+    return marks.where(~is_held_out(F.col("id"))).groupBy("id").agg((F.avg("label") >= 0.5).cast("double").alias("label"))
+
+
 def quality_scores(
     docs: DataFrame,
     labels: DataFrame,
@@ -221,8 +227,7 @@ def quality_scores(
     are read. An empty table gives an empty result.
     """
     scored = stored(with_features(docs, id_col, text_col, keep), "quality-features")
-    marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("label"))
-    marks = marks.where(~is_held_out(F.col("id"))).groupBy("id").agg((F.avg("label") >= 0.5).cast("double").alias("label"))
+    marks = training_labels(labels, id_col, label_col)
     model = train(scored.join(marks, "id").groupBy("id", "x").agg(F.max("label").alias("label")), max_train_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,3 +243,34 @@ def quality_scores(
         (F.col("score") >= threshold).cast("int").alias("predicted"),
         *(F.col("kept")[c].alias(c) for c in keep),
     )
+
+
+def quality_model(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train_rows: int = 50_000
+) -> Gam:
+    """The model of ``quality_scores``, fitted without features of any but the chosen documents.
+
+    The hash sample is drawn from the labelled ids of the table first, so at most
+    ``max_train_rows`` ids are broadcast and no text is shuffled.
+    """
+    marks = training_labels(labels, id_col, label_col).where("label is not null")
+    present = docs.select(F.col(id_col).cast("long").alias("id")).join(marks, "id").groupBy("id").agg(F.max("label").alias("label"))
+    chosen = stored(present.orderBy(F.xxhash64("id"), "id").limit(max_train_rows), "quality-sample")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    examples = with_features(texts, "id", "text", ("label",)).select("id", "x", "kept.label")
+    return train(examples.groupBy("id", "x").agg(F.max("label").alias("label")), max_train_rows)
+
+
+def rows_of_quality(docs: DataFrame, model: Gam, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows that the model does not reject, as they are: one pass, in which texts are neither stored nor shuffled."""
+    columns = tuple(docs.columns)
+    scored = with_features(docs.withColumn("_row", F.lit(None).cast("long")), "_row", text_col, columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([np.frombuffer(b, np.float64) for b in batch.column(1).to_pylist()]).reshape(-1, len(FEATURES))
+            good = pa.array(model.score(x) >= threshold)
+            yield pa.RecordBatch.from_arrays([batch.column(2).filter(good)], ["kept"])
+
+    found = scored.mapInArrow(run, T.StructType([scored.schema["kept"]]))
+    return found.select(*(F.col("kept").getField(c).alias(c) for c in columns))

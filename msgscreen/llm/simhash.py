@@ -15,8 +15,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bytes_of, components, forest, stored
 
@@ -43,14 +44,19 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """``id, fp`` (signed 64-bit) of every row; a null text counts as empty."""
+    return fingerprints(docs, F.col(id_col).cast("long"), text_col, width)
+
+
+def fingerprints(docs: DataFrame, row: Column, text_col: str, width: int) -> DataFrame:
+    """``id, fp`` per row, ``id`` being whatever ``row`` says."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([fingerprint(t, width) for t in bytes_of(batch.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], ["id", "fp"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "id long, fp long")
+    picked = docs.select(row.alias("id"), F.col(text_col).cast("string").alias("text"))
+    return picked.mapInArrow(run, T.StructType([picked.schema["id"], T.StructField("fp", T.LongType())]))
 
 
 def neighbour_offsets(radius: int) -> list[int]:
@@ -177,3 +183,20 @@ def simhash_groups(
         component.alias("component_id"),
         F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"),
     )
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
+    """``at`` of every row of ``docs`` (see ``with_place``) that is a near copy of another one, which stays.
+
+    Rows are grouped by fingerprints alone, so null and repeated ids are rows like
+    any other. Of each group the row with the smallest id stays, one without an id
+    only where there is no other; equal ids go by place.
+    """
+    prints = stored(fingerprints(docs, F.struct(F.col(id_col).cast("long").alias("id"), "at"), text_col, width), "simhash-prints")
+    nodes = stored(prints.select("fp").distinct(), "simhash-nodes")
+    grouped = components(close_pairs(nodes.select(F.col("fp").alias("node"), "fp"), radius), "simhash")
+    component = F.coalesce("component", "fp").alias("component")
+    rows = prints.join(grouped.withColumnRenamed("node", "fp"), "fp", "left").select("id.id", "id.at", component)
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "at"))
+    stays = rows.groupBy("component").agg(first.alias("first")).select("first.at")
+    return rows.select("at").join(stays, "at", "left_anti")
