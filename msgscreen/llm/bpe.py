@@ -14,8 +14,8 @@ import json
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -65,9 +65,20 @@ class Vocabulary:
         by_length = sorted(self.special, key=len, reverse=True)
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, by_length)) + ")") if by_length else None
 
-    def decoded(self, ids: list[int]) -> str:
+        # All tokens' bytes in a row, by id, with a place beyond the last for what is no token.
+        known = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 2)]
+        self.lengths = np.array([len(b) for b in known])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.letters = np.frombuffer(b"".join(known), np.uint8)
+
+    def decoded(self, ids) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters, ids outside the vocabulary nothing."""
-        return b"".join([self.bytes_of.get(i, b"") for i in ids]).decode("utf-8", "replace")
+        ids = np.asarray(ids, np.int64)
+        ids = np.where((ids >= 0) & (ids < len(self.lengths)), ids, len(self.lengths) - 1)
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        shift = np.repeat(self.starts[ids] - (ends - lengths), lengths)
+        return self.letters[shift + np.arange(len(shift))].tobytes().decode("utf-8", "replace")
 
 
 class PairTree:
@@ -119,42 +130,51 @@ def merged(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -
     if not found:
         return symbols
     tree = PairTree(leaves)
-    node = tree.node
+    node, leaf, put = tree.node, tree.size, tree.put
     symbols = list(symbols)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     here = (1 << PLACE_BITS) - 1
     while (least := node[1]) != NO_PAIR:
         place = least & here
         gone = after[place]
-        symbols[place] = merges[symbols[place], symbols[gone]][1]
+        symbol = symbols[place] = merges[symbols[place], symbols[gone]][1]
         symbols[gone] = -1
         beyond = after[place] = after[gone]
-        if gone < n - 1:
-            tree.put(gone, NO_PAIR)
+        if gone < n - 1 and node[leaf + gone] != NO_PAIR:
+            put(gone, NO_PAIR)
+        value = NO_PAIR
         if beyond < n:
             before[beyond] = place
-            merge = merges.get((symbols[place], symbols[beyond]))
-            tree.put(place, merge[0] << PLACE_BITS | place if merge else NO_PAIR)
-        else:
-            tree.put(place, NO_PAIR)
+            merge = merges.get((symbol, symbols[beyond]))
+            if merge:
+                value = merge[0] << PLACE_BITS | place
+        put(place, value)
         left = before[place]
         if left >= 0:
-            merge = merges.get((symbols[left], symbols[place]))
-            tree.put(left, merge[0] << PLACE_BITS | left if merge else NO_PAIR)
+            merge = merges.get((symbols[left], symbol))
+            value = merge[0] << PLACE_BITS | left if merge else NO_PAIR
+            if node[leaf + left] != value:
+                put(left, value)
     return [s for s in symbols if s >= 0]
 
 
 class Encoder:
-    """Texts to ids; remembers short words in two generations of at most ``words``, so that frequent ones stay."""
+    """Texts to ids; remembers short words in two generations of at most ``words``, so that frequent ones stay.
+
+    Ids are kept and joined as packed 32-bit numbers, as Arrow wants them.
+    """
 
-    def __init__(self, vocabulary: Vocabulary, words: int = 250_000, short: int = 64):
+    def __init__(self, vocabulary: Vocabulary, words: int = 400_000, short: int = 64):
         self.vocabulary, self.words, self.short = vocabulary, words, short
-        self.known: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.split: Callable[[str], list[str]] = regex.compile(SPLIT).findall
 
-    def word(self, word: str) -> list[int]:
-        ids = self.older.get(word) or merged([self.vocabulary.first[b] for b in word.encode()], self.vocabulary.merges)
+    def word(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            first = self.vocabulary.first
+            ids = array("i", merged([first[b] for b in word.encode()], self.vocabulary.merges)).tobytes()
         if len(word) <= self.short:
             if len(self.known) >= self.words:
                 self.older = dict(self.known)
@@ -162,21 +182,19 @@ class Encoder:
             self.known[word] = ids
         return ids
 
-    def plain(self, text: str) -> list[int]:
-        known, word = self.known, self.word
-        return list(chain.from_iterable([known.get(w) or word(w) for w in self.split(text)]))
+    def plain(self, text: str) -> bytes:
+        known, word = self.known.get, self.word
+        return b"".join([known(w) or word(w) for w in self.split(text)])
 
-    def ids(self, text: str) -> list[int]:
+    def packed(self, text: str) -> bytes:
         special = self.vocabulary.special
         if not any(s in text for s in special):
             return self.plain(text)
-        out: list[int] = []
-        for part in self.vocabulary.special_split.split(text):
-            if part in special:
-                out.append(special[part])
-            elif part:
-                out.extend(self.plain(part))
-        return out
+        parts = self.vocabulary.special_split.split(text)
+        return b"".join([array("i", [special[p]]).tobytes() if p in special else self.plain(p) for p in parts])
+
+    def ids(self, text: str) -> list[int]:
+        return array("i", self.packed(text)).tolist()
 
 
 @lru_cache(maxsize=1)
@@ -208,7 +226,9 @@ def encoded(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: s
         encoder = encoder_for(vocabulary)
         for whole in batches:
             for batch in small_batches(whole):
-                ids = pa.array([encoder.ids(t) if t else [] for t in batch.column(0).to_pylist()], pa.list_(pa.int32()))
+                packed = [encoder.packed(t) if t else b"" for t in batch.column(0).to_pylist()]
+                places = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
+                ids = pa.ListArray.from_arrays(places, np.frombuffer(b"".join(packed), np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column(1), ids], ["kept", "ids"])
 
     rows = docs.select(F.col(text_col).cast("string").alias("text"), struct_of(docs, kept).alias("kept"))
@@ -230,7 +250,8 @@ def decoded(tokens: DataFrame, vocabulary: str, ids_col: str = "ids", text_col:
         words = encoder_for(vocabulary).vocabulary
         for whole in batches:
             for batch in small_batches(whole):
-                texts = pa.array([words.decoded(ids or []) for ids in batch.column(0).to_pylist()], pa.string())
+                rows = batch.column(0)
+                texts = pa.array([words.decoded(ids.values.fill_null(-1).to_numpy()) if ids.is_valid else "" for ids in rows], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(1), texts], ["kept", "text"])
 
     kept = tokens.columns
