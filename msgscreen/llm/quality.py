@@ -263,14 +263,16 @@ def quality_model(
 
 def rows_of_quality(docs: DataFrame, model: Gam, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows that the model does not reject, as they are: one pass, in which texts are neither stored nor shuffled."""
-    columns = tuple(docs.columns)
-    scored = with_features(docs.withColumn("_row", F.lit(None).cast("long")), "_row", text_col, columns)
+    columns = docs.columns
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("kept"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([np.frombuffer(b, np.float64) for b in batch.column(1).to_pylist()]).reshape(-1, len(FEATURES))
-            good = pa.array(model.score(x) >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column(2).filter(good)], ["kept"])
-
-    found = scored.mapInArrow(run, T.StructType([scored.schema["kept"]]))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                batch = whole.slice(lo, 1024)
+                x = np.array([features(t) for t in bytes_of(batch.column(0))], np.float64).reshape(-1, len(FEATURES))
+                good = pa.array(model.score(x) >= threshold)
+                yield pa.RecordBatch.from_arrays([batch.column(1).filter(good)], ["kept"])
+
+    found = rows.mapInArrow(run, T.StructType([rows.schema["kept"]]))
     return found.select(*(F.col("kept").getField(c).alias(c) for c in columns))
