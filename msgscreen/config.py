@@ -24,8 +24,9 @@ class ScreenConfig:
         Accepted for compatibility of configuration; spans are cut at
         ``span_score_threshold``.
     lexicon_in_row
-        Look toxicity words up inside each row, without a shuffle, instead of by
-        a join. Streams need it; for tables it suits small lexicons only.
+        Whether toxicity words are looked up inside each row, without a shuffle, or
+        by a join. By default the size of the lexicon decides; True refuses a large
+        one, False always joins.
     """
 
     injection_threshold: float = fv.INJECTION_THRESHOLD
@@ -38,7 +39,7 @@ class ScreenConfig:
     recognizers: tuple[str, ...] = ()
     injection_rules: tuple[tuple[str, str, float], ...] = fv.INJECTION_RULES
     extra_secret_rules: tuple[tuple[str, str, float], ...] = ()
-    lexicon_in_row: bool = False
+    lexicon_in_row: bool | None = None
 
     def __post_init__(self):
         if self.mode not in ("compat", "strict"):

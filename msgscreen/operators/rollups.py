@@ -6,8 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def metric_columns() -> list[Column]:
-    """Batch metrics of a scan, usable in ``agg`` and in ``DataFrame.observe``."""
+def metric_columns(scanned: DataFrame | None = None) -> list[Column]:
+    """Batch metrics of a scan, usable in ``agg`` and in ``DataFrame.observe``.
+
+    Given the table, rows on which a score model failed count as failed as well.
+    """
+    errors = ["pii_scanner_error"]
+    if scanned is not None and "scan_error" in scanned.columns:
+        errors.append("scan_error")
     counted = {
         "n_allowed": "allowed",
         "n_blocked": "not allowed",
@@ -16,7 +22,7 @@ def metric_columns() -> list[Column]:
         "n_pii": "array_contains(violations.type, 'pii')",
         "n_injection": "array_contains(violations.type, 'injection')",
         "n_toxicity": "array_contains(violations.type, 'toxicity')",
-        "n_failed": "pii_scanner_error is not null",
+        "n_failed": " or ".join(f"{e} is not null" for e in errors),
     }
     return [
         F.expr("count(1) as n_messages"),
@@ -26,7 +32,7 @@ def metric_columns() -> list[Column]:
 
 
 def scan_metrics(scanned: DataFrame) -> DataFrame:
-    return scanned.agg(*metric_columns())
+    return scanned.agg(*metric_columns(scanned))
 
 
 def session_rollup(scanned: DataFrame, *by: str) -> DataFrame:
@@ -35,7 +41,7 @@ def session_rollup(scanned: DataFrame, *by: str) -> DataFrame:
     The violation array is counted in place, so no row is multiplied.
     """
     keys = by or ("session_id",)
-    return scanned.groupBy(*keys).agg(*metric_columns())
+    return scanned.groupBy(*keys).agg(*metric_columns(scanned))
 
 
 def violation_rollup(scanned: DataFrame, by: str) -> DataFrame:

@@ -6,6 +6,9 @@ own and the toxicity lexicon is learned from labelled documents.
 
 from __future__ import annotations
 
+import zlib
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,38 +66,88 @@ def learn_lexicon(
     )
 
 
+# A lexicon up to this size may stand in the plan and be looked up in each row; a larger one is joined.
+IN_ROW_WORDS = 4096
+IN_ROW_WORD_CHARS = 200
+
+
+@dataclass(frozen=True)
+class SmallLexicon:
+    """A lexicon of checked size as literals of the plan.
+
+    Two tables of 65,536 places, by the low and the high half of a word's checksum,
+    tell in constant time that nearly all other words are not in it; only the words
+    that pass are looked for in the list.
+    """
+
+    words: tuple[str, ...]
+    weights: tuple[float, ...]
+
+    @classmethod
+    def of(cls, lexicon: DataFrame) -> SmallLexicon | None:
+        """The lexicon if it is small enough; reads one row more than that at most."""
+        known = lexicon.where("word is not null and weight is not null").select("word", F.col("weight").cast("double"))
+        rows = known.limit(IN_ROW_WORDS + 1).collect()
+        # Nothing but runs of letters is ever looked up.
+        if len(rows) > IN_ROW_WORDS or any(len(r.word) > IN_ROW_WORD_CHARS or " " in r.word for r in rows):
+            return None
+        best: dict[str, float] = {}
+        for r in rows:
+            best[r.word] = max(r.weight, best.get(r.word, r.weight))
+        return cls(tuple(best), tuple(best.values()))
+
+    def heaviest(self, found: Column) -> Column:
+        """The largest weight of the words of an array, 0 when none is known."""
+        if not self.words:
+            return F.lit(0.0)
+        sums = [zlib.crc32(w.encode()) for w in self.words]
+        tables = []
+        for places in ({s & 0xFFFF for s in sums}, {s >> 16 for s in sums}):
+            table = bytearray(1 << 16)
+            for at in places:
+                table[at] = 1
+            tables.append(F.lit(bytes(table)))
+        # Both lists fold to literals when the plan is optimised.
+        words = F.split(F.lit(" ".join(self.words)), " ")
+        weights = F.split(F.lit(" ".join(map(repr, self.weights))), " ").cast("array<double>")
+
+        def may_be(word: Column) -> Column:
+            low, high = (F.crc32(word.cast("binary")) % 65536 + 1).cast("int"), F.shiftright(F.crc32(word.cast("binary")), 16).cast("int") + 1
+            return (F.substring(tables[0], low, 1) == F.lit(b"\x01")) & (F.substring(tables[1], high, 1) == F.lit(b"\x01"))
+
+        weight = lambda word: F.get(weights, (F.array_position(words, word) - 1).cast("int"))
+        return F.coalesce(F.array_max(F.transform(F.filter(found, may_be), weight)), F.lit(0.0))
+
+
 def with_toxicity_score(
-    df: DataFrame, text: str, lexicon: DataFrame | None, out: str = "toxicity_score", in_row: bool = False
+    df: DataFrame, text: str, lexicon: DataFrame | None, out: str = "toxicity_score", in_row: bool | None = None
 ) -> DataFrame:
     """Add the weight of the heaviest lexicon word in the text, 0 when there is none.
 
-    Words meet the lexicon, of any size, in a join; only hits go on, one weight per
-    distinct text after combining, and meet the rows by a hash of the text. With
-    ``in_row`` the lexicon becomes one map value instead and no row is shuffled: for
-    streams and for lexicons that the caller knows to be small, as every row's cost
-    then grows with the lexicon.
+    The lexicon should be a stored table: its size is checked when the plan is made.
+    Up to ``IN_ROW_WORDS`` words it is looked up inside each row, and no row is
+    shuffled. Beyond that, words meet the lexicon in a join; only hits go on, one
+    weight per distinct text after combining, and meet the rows by a hash of the
+    text. Rows without a text (over-long messages) can't score and take no part in it.
+    ``in_row`` False asks for the join at any size; True refuses a larger lexicon.
     """
     if lexicon is None:
         return df.withColumn(out, F.lit(0.0))
-    if in_row:
-        return _scored_in_row(df, text, lexicon, out)
+    if in_row is not False:
+        small = SmallLexicon.of(lexicon)
+        if small is not None:
+            return df.withColumn(out, small.heaviest(words(F.col(text))))
+        if in_row:
+            raise ValueError(f"the lexicon has more than {IN_ROW_WORDS} words, too many for each row")
     if df.isStreaming:
-        raise ValueError("a stream can't be joined with its own words: choose the in-row lexicon")
-    keyed = df.withColumn("_text_key", text_key(F.col(text)))
+        raise ValueError("a stream can't be joined with its own words: start it with per_batch, or use a small lexicon")
+    scored_rows = df.where(F.col(text).isNotNull())
+    keyed = scored_rows.withColumn("_text_key", text_key(F.col(text)))
     found = keyed.select("_text_key", F.explode(F.array_distinct(words(F.col(text)))).alias("word"))
     best = found.join(lexicon.select("word", "weight"), "word").groupBy("_text_key").agg(F.max("weight").alias("_best"))
-    scored = keyed.join(best, "_text_key", "left").withColumn(out, F.coalesce("_best", F.lit(0.0)))
-    return scored.drop("_text_key", "_best")
-
-
-def _scored_in_row(df: DataFrame, text: str, lexicon: DataFrame, out: str) -> DataFrame:
-    as_map = lexicon.agg(F.map_from_entries(F.collect_list(F.struct("word", "weight"))).alias("l")).scalar()
-    # A subquery may not stand inside a higher-order function, a column may. Words are matched by hashing first.
-    # Testing the number of words keeps the word split out of the lambda, where it would run once per entry.
-    ready = df.withColumns({"_words": words(F.col(text)), "_lexicon": as_map})
-    best = "array_max(transform(array_intersect(_words, map_keys(_lexicon)), w -> _lexicon[w]))"
-    score = F.expr(f"case when size(_words) > 0 then coalesce({best}, 0D) else 0D end")
-    return ready.withColumn(out, score).drop("_words", "_lexicon")
+    scored = keyed.join(best, "_text_key", "left").withColumn(out, F.coalesce(F.col("_best").cast("double"), F.lit(0.0)))
+    unscored = df.where(F.col(text).isNull()).withColumn(out, F.lit(0.0))
+    return scored.select(*df.columns, out).unionByName(unscored)
 
 
 def over_threshold(score: str, threshold: float) -> Column:

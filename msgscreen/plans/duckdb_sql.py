@@ -364,8 +364,10 @@ _STATEMENTS: dict[str, str] = {
  cast(length(scan_text) as int) as scanned_chars from gated""",
     "truncate_model_input": "select msg_id, model_text from gated",
     "length_label": f"select msg_id, {length_label('length(message)')} as length_label from msgs",
-    "confidence_label": f"""select c_custkey, score, {confidence_label('score')} as confidence_label
- from (select c_custkey, cast(c_custkey % 101 as double) / cast(100 as double) as score from customer)""",
+    "confidence_label": f"""
+select msg_id, seq, confidence, {confidence_label('confidence')} as confidence_label from (
+ select msg_id, cast(unnest(range(len(types))) as int) as seq, unnest({CONFIDENCES}) as confidence from wide)
+""",
     "pii_email": listed(SUPPLEMENT[0][1], "value"),
     "pii_phone": listed(SUPPLEMENT[1][1], "value"),
     "pii_ssn": listed(SUPPLEMENT[2][1], "value"),
@@ -455,6 +457,7 @@ select msg_id, {ROUTE} as route, case when not allowed then {PROMPT}
  from wide_plug where pii_error is not null""",
     "plugin_redaction": "select msg_id, allowed, anonymized_prompt, pii_error as pii_scanner_error from wide_plug",
     "stream_scan": flat("wide", f"msg_id, {ROUTE} as route"),
+    "stream_scan_join": flat("wide", f"msg_id, {ROUTE} as route"),
 }
 
 

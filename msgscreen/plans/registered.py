@@ -43,8 +43,21 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.learn_lexicon(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
+_stored_lexicons: dict[tuple[str, str], str] = {}
+
+
+def stored_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexicon of a folder, learned once per application and read from the shared folder from then on."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored_lexicons:
+        path = shared_dir(spark, "lexicon")
+        lexicon(spark, sf_dir).write.parquet(path)
+        _stored_lexicons[key] = path
+    return spark.read.schema("word string, toxic_docs long, clean_docs long, weight double").parquet(_stored_lexicons[key])
+
+
 def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sc.scan_wide(messages(spark, sf_dir), lexicon=lexicon(spark, sf_dir))
+    return sc.scan_wide(messages(spark, sf_dir), lexicon=stored_lexicon(spark, sf_dir))
 
 
 def _listed(df: DataFrame, array, name: str) -> DataFrame:
@@ -86,10 +99,9 @@ def length_label(spark, sf_dir):
 
 
 def confidence_label(spark, sf_dir):
-    score = (F.col("c_custkey") % 101) / F.lit(100.0)
-    return table(spark, sf_dir, "customer").select(
-        "c_custkey", score.alias("score"), tx.confidence_label(score).alias("confidence_label")
-    )
+    """The label of every violation's confidence."""
+    found = violations(spark, sf_dir)
+    return found.select("msg_id", "seq", "confidence", tx.confidence_label(F.col("confidence")).alias("confidence_label"))
 
 
 # --- personal data ----------------------------------------------------------
@@ -235,7 +247,7 @@ def toxicity_lexicon(spark, sf_dir):
 
 def toxicity_score(spark, sf_dir):
     gated = sc.gate(messages(spark, sf_dir))
-    return scores.with_toxicity_score(gated, "scan_text", lexicon(spark, sf_dir)).select("msg_id", "toxicity_score")
+    return scores.with_toxicity_score(gated, "scan_text", stored_lexicon(spark, sf_dir)).select("msg_id", "toxicity_score")
 
 
 def toxicity_ml(spark, sf_dir):
@@ -251,7 +263,7 @@ def toxicity_ml_scores(spark, sf_dir):
 def threshold_apply(spark, sf_dir):
     """Looser cut-offs than the defaults, so that every rule weight is told apart."""
     config = ScreenConfig(injection_threshold=0.9, toxicity_threshold=0.95)
-    return sc.scan_wide(messages(spark, sf_dir), config, lexicon(spark, sf_dir)).select(
+    return sc.scan_wide(messages(spark, sf_dir), config, stored_lexicon(spark, sf_dir)).select(
         "msg_id", "injection_score", "toxicity_score", "has_injection", "has_toxicity"
     )
 
@@ -320,7 +332,7 @@ def violation_rollup(spark, sf_dir):
 
 # --- whole jobs -------------------------------------------------------------
 def scan(spark, sf_dir):
-    responses = sc.scan(messages(spark, sf_dir), lexicon=lexicon(spark, sf_dir))
+    responses = sc.scan(messages(spark, sf_dir), lexicon=stored_lexicon(spark, sf_dir))
     return sc.flatten(responses, "msg_id", "source", "session_id")
 
 
@@ -339,7 +351,7 @@ def sink_roundtrip(spark, sf_dir):
 
 
 def scan_dedup(spark, sf_dir):
-    responses = sc.scan_distinct(messages(spark, sf_dir), lexicon=lexicon(spark, sf_dir))
+    responses = sc.scan_distinct(messages(spark, sf_dir), lexicon=stored_lexicon(spark, sf_dir))
     return sc.flatten(responses, "msg_id", "source", "session_id")
 
 
@@ -348,7 +360,7 @@ def scan_strict(spark, sf_dir):
 
 
 def route_messages(spark, sf_dir):
-    responses = sc.scan(messages(spark, sf_dir), lexicon=lexicon(spark, sf_dir))
+    responses = sc.scan(messages(spark, sf_dir), lexicon=stored_lexicon(spark, sf_dir))
     return routing.route(responses).select("msg_id", "route", "outgoing_prompt")
 
 
@@ -390,8 +402,17 @@ def plugin_redaction(spark, sf_dir):
 
 def stream_scan(spark, sf_dir):
     """The scan as a stream over all three tables, read back from its sink."""
+    return _streamed(spark, sf_dir, ScreenConfig(), per_batch=False)
+
+
+def stream_scan_join(spark, sf_dir):
+    """The same batch by batch, the lexicon joined as one of any size would be."""
+    return _streamed(spark, sf_dir, ScreenConfig(lexicon_in_row=False), per_batch=True)
+
+
+def _streamed(spark, sf_dir, config, per_batch):
     work = shared_dir(spark, "stream-scan")
-    lexicon(spark, sf_dir).write.parquet(f"{work}/lexicon")
+    learned = stored_lexicon(spark, sf_dir)
 
     def source(name):
         return stream_files(spark, sf_dir, table(spark, sf_dir, name).schema, pathGlobFilter=f"{name}.parquet")
@@ -401,12 +422,14 @@ def stream_scan(spark, sf_dir):
         .unionByName(conversations_as_messages(source("conversations")))
         .unionByName(derived_messages(source("customer")))
     )
-    learned = spark.read.parquet(f"{work}/lexicon")
+    partitions = spark.conf.get("msgscreen.partitions", None)
     query = start_scan(
         arriving,
-        lambda m: sc.scan(m, ScreenConfig(lexicon_in_row=True), learned),
+        lambda m: sc.scan(m, config, learned),
         f"{work}/out",
         f"{work}/checkpoint",
+        tasks=partitions and int(partitions),
+        per_batch=per_batch,
     )
     query.awaitTermination()
     return sc.flatten(spark.read.parquet(f"{work}/out"), "msg_id", "route")
@@ -473,4 +496,5 @@ QUERIES = {
     "quarantine": quarantine,
     "plugin_redaction": plugin_redaction,
     "stream_scan": stream_scan,
+    "stream_scan_join": stream_scan_join,
 }

@@ -20,6 +20,8 @@ from msgscreen.functions import fixed_values as fv
 from msgscreen.operators import handoff as ho
 from msgscreen.operators.dedup import per_distinct_text
 from msgscreen.operators.rollups import metric_columns
+from msgscreen.operators import rollups
+from msgscreen.operators.plugins import takes_batches
 from msgscreen.plans.registered import _ip_model
 from msgscreen.plans.scan import RESPONSE_COLUMNS
 from msgscreen.sources.storage import as_json, shared_dir, write_responses, write_routes
@@ -280,3 +282,47 @@ def test_a_type_outside_the_standard_list_keeps_its_values(messages, mode):
         ("[LOCATION_0]", "Paris"), ("[LOCATION_1]", "Tokyo"), ("[EMAIL_ADDRESS_0]", "a@b.co")
     }
     assert not rows["1"].allowed and "does not fit" in rows["1"].pii_scanner_error
+
+
+def _counting_model(log, batches=True):
+    """A loader that notes each load; the model fails on whole batches that hold a bad text."""
+
+    def load():
+        import os
+
+        with open(log, "a") as f:
+            f.write(f"{os.getpid()}\n")
+
+        def one(text):
+            if "boom" in text:
+                raise RuntimeError("model fell over")
+            return 0.9 if "bad" in text else 0.1
+
+        return (lambda texts: [one(t) for t in texts]) if batches else one
+
+    return takes_batches(load) if batches else load
+
+
+def test_batch_models_fail_row_by_row_and_load_once_a_process(spark, tmp_path):
+    log = str(tmp_path / "loads")
+    rows = [(str(i), "boom" if i % 50 == 0 else "bad" if i % 7 == 0 else "fine") for i in range(600)]
+    df = spark.createDataFrame(rows, "msg_id string, message string").repartition(40)
+    by_batch = {r.msg_id: (r.scan_error, r.allowed) for r in scan(df, toxicity_model=_counting_model(log)).collect()}
+    alone = {r.msg_id: (r.scan_error, r.allowed) for r in scan(df, toxicity_model=_counting_model(str(tmp_path / "other"), False)).collect()}
+    assert by_batch == alone and by_batch["0"] == ("RuntimeError: model fell over", False) and by_batch["7"] == (None, False)
+    loads = open(log).read().split()
+    assert len(loads) == len(set(loads)) < 40
+
+
+def test_wrong_number_of_batch_results_falls_back_to_rows(messages):
+    @takes_batches
+    def load():
+        return lambda texts: [0.2] * (len(texts) if len(texts) == 1 else 1)
+
+    rows = scan(messages("a", "b", "c").coalesce(1), injection_model=load).collect()
+    assert [r.scan_error for r in rows] == [None] * 3
+
+
+def test_failed_counts_include_failed_score_models(messages):
+    df = scan_wide(messages("boom", "fine", "300.1.1.1"), span_model=_ip_model(), toxicity_model=_scorer())
+    assert rollups.scan_metrics(df).first().n_failed == 2

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,24 +101,65 @@ def test_toxicity_score(spark, messages):
     assert [r.toxicity_score for r in df.collect()] == [1.0, 0.6, 0.0, 0.0]
 
 
-def test_large_lexicon_is_joined_and_agrees_with_the_in_row_form(spark, messages):
-    lexicon = spark.range(100_000).selectExpr(
+def large_lexicon(spark):
+    return spark.range(100_000).selectExpr(
         "translate(cast(id as string), '0123456789', 'abcdefghij') as word", "(id % 100) / 100D as weight"
     )
+
+
+def test_large_lexicon_is_joined_and_agrees_with_the_in_row_form(spark, messages):
+    lexicon = large_lexicon(spark)
     # a copy, words of weight 0.45 and 0.99, no word of the lexicon, a blank and a null text
     df = messages("x EF, jj zz", "x EF, jj zz", "ef", "zz yy", " ", None)
     joined = scores.with_toxicity_score(df, "message", lexicon)
+    assert "Join" in plan_of(joined)
     assert [r.toxicity_score for r in joined.orderBy("msg_id").collect()] == [0.99, 0.99, 0.45, 0.0, 0.0, 0.0]
-    in_row = scores.with_toxicity_score(df, "message", lexicon.where("length(word) < 3"), in_row=True)
+    in_row = scores.with_toxicity_score(df, "message", lexicon.where("length(word) < 3"))
     assert in_row.orderBy("msg_id").collect() == joined.orderBy("msg_id").select(in_row.columns).collect()
+    with pytest.raises(ValueError, match="too many"):
+        scores.with_toxicity_score(df, "message", lexicon, in_row=True)
 
 
-def test_a_stream_needs_the_in_row_lexicon(spark):
-    lexicon = spark.createDataFrame([("trash", 1.0)], "word string, weight double")
-    stream = spark.readStream.format("rate").load().selectExpr("cast(value as string) as message")
-    with pytest.raises(ValueError, match="in-row"):
-        scores.with_toxicity_score(stream, "message", lexicon)
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
 
+def test_small_lexicon_shuffles_nothing_and_is_folded(spark, messages):
+    lexicon = spark.createDataFrame([("trash", 0.5), ("trash", 1.0), ("meh", 0.6), (None, 1.0), ("x", None)], "word string, weight double")
+    plan = plan_of(scores.with_toxicity_score(messages("you TRASH, meh"), "message", lexicon))
+    assert "Exchange" not in plan and "split(" not in plan.split("Scan")[0].replace("regexp_extract_all", "")
+    df = scores.with_toxicity_score(messages("you TRASH, meh", "x", "nothing"), "message", lexicon)
+    assert [r.toxicity_score for r in df.collect()] == [1.0, 0.0, 0.0]
+    assert scores.with_toxicity_score(messages("trash"), "message", lexicon.limit(0)).first().toxicity_score == 0.0
+
+
+def test_words_that_share_a_checksum_place_are_told_apart(spark, messages):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdef") for _ in range(rng.randint(1, 6))) for _ in range(6000)]
+    weights = {w: (i % 97) / 100 for i, w in enumerate(words[:3000])}
+    lexicon = spark.createDataFrame(list(weights.items()), "word string, weight double")
+    texts = [" ".join(rng.sample(words, 5)) for _ in range(400)]
+    got = scores.with_toxicity_score(messages(*texts), "message", lexicon, in_row=True).collect()
+    assert [r.toxicity_score for r in got] == [max([weights.get(w, 0.0) for w in t.split()]) for t in texts]
+
+
+def test_overlong_rows_stay_out_of_the_lexicon_join(spark):
+    """No key of the join may hold more than its share: rows without a text have none."""
+    rows = [(str(i), "z" * 50 if i % 3 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "msg_id string, message string")
+    joined = scores.with_toxicity_score(df, "message", large_lexicon(spark), in_row=False)
+    assert joined.count() == 300
+    logical = joined._jdf.queryExecution().optimizedPlan().toString()
+    left = logical.split("Join LeftOuter")[1]
+    assert "Union" in logical and "isnotnull(message" in left
+
+
+def test_a_stream_takes_a_small_lexicon_or_goes_by_batches(spark):
+    stream = spark.readStream.format("rate").load().selectExpr("cast(value as string) as message")
+    with pytest.raises(ValueError, match="per_batch"):
+        scores.with_toxicity_score(stream, "message", large_lexicon(spark))
+    small = spark.createDataFrame([("trash", 1.0)], "word string, weight double")
+    assert scores.with_toxicity_score(stream, "message", small).isStreaming
 
 
 def test_thresholds_are_inclusive(spark):
