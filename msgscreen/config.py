@@ -6,6 +6,7 @@ import os
 from dataclasses import dataclass
 
 from .functions import fixed_values as fv
+from .operators.secret_rules import DEFAULT_RULES, SecretRule
 
 
 @dataclass(frozen=True)
@@ -23,6 +24,8 @@ class ScreenConfig:
     pii_threshold
         Accepted for compatibility of configuration; spans are cut at
         ``span_score_threshold``.
+    secret_rules
+        Credential rules beside the published patterns; an empty tuple switches them off.
     lexicon_in_row
         Whether toxicity words are looked up inside each row, without a shuffle, or
         by a join. By default the size of the lexicon decides; True refuses a large
@@ -39,6 +42,7 @@ class ScreenConfig:
     recognizers: tuple[str, ...] = ()
     injection_rules: tuple[tuple[str, str, float], ...] = fv.INJECTION_RULES
     extra_secret_rules: tuple[tuple[str, str, float], ...] = ()
+    secret_rules: tuple[SecretRule, ...] = DEFAULT_RULES
     lexicon_in_row: bool | None = None
 
     def __post_init__(self):

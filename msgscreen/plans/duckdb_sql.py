@@ -10,8 +10,9 @@ from __future__ import annotations
 import re
 
 from ..functions import fixed_values as fv
+from ..operators.secret_rules import DEFAULT_RULES
 from ..operators.spans import RECOGNIZERS, STANDARD_RECOGNIZERS
-from ..sources.messages import DERIVED_MESSAGE_SQL
+from ..sources.messages import CREDENTIAL_MESSAGE_SQL, DERIVED_MESSAGE_SQL
 
 
 def q(text: str) -> str:
@@ -40,6 +41,12 @@ select concat('cust-', cast(c_custkey as varchar)), 'customer', concat('cust', c
 from customer
 """
 
+CREDENTIAL_MSGS = f"""
+select concat('part-', cast(p_partkey as varchar)) as msg_id, 'part' as source, concat('part', cast(p_partkey % 10 as varchar)) as session_id,
+ {CREDENTIAL_MESSAGE_SQL.format(S='varchar')} as message
+from part
+"""
+
 GATED = f"""
 select *, substr(scan_text, 1, {fv.MODEL_INPUT_CHARS}) as model_text from (
  select *, cast(length(message) as int) as char_count,
@@ -64,6 +71,22 @@ SECRET_LIST = "list_filter([{}], lambda x: x is not null)".format(
     ", ".join(f"case when {hit('txt', p)} then {q(t)} end" for t, p in fv.SECRET_PATTERNS)
 )
 
+ENTROPY = (
+    "round(coalesce(-list_sum(list_transform(list_distinct(string_split(v, '')), lambda c: "
+    "(length(v) - length(replace(v, c, ''))) / length(v) * log2((length(v) - length(replace(v, c, ''))) / length(v)))), 0), 6)"
+)
+
+
+def rule_values(text: str, rule) -> str:
+    """Values of a credential rule: its pattern over the whole text, then the tests."""
+    tests = [f"regexp_matches(v, {q(n)})" for n in rule.needs] + [f"{ENTROPY} >= {rule.min_entropy}"]
+    return f"list_filter({found(text, rule.pattern, rule.group)}, lambda v: {' and '.join(tests)})"
+
+
+RULE_RISK = "greatest({}, cast(0 as double))".format(
+    ", ".join(f"case when len({rule_values('scan_text', r)}) > 0 then cast({r.risk} as double) else cast(0 as double) end" for r in DEFAULT_RULES)
+)
+
 INJECTION = "case {} else cast(0 as double) end".format(
     " ".join(
         f"when {hit('scan_text', p)} then cast({w} as double)"
@@ -216,8 +239,10 @@ left join (select msg_id, cast(count(*) as int) as n from {p}_ents group by msg_
 
 
 def wide(out: str, toxicity: bool, error: str = "cast(null as varchar)",
-         injection_cut: float = fv.INJECTION_THRESHOLD, toxicity_cut: float = fv.TOXICITY_THRESHOLD) -> str:
+         injection_cut: float = fv.INJECTION_THRESHOLD, toxicity_cut: float = fv.TOXICITY_THRESHOLD,
+         gated: str = "gated", rules: bool = True) -> str:
     """Scores, flags and verdict per non-blank message; ``out`` names the redaction result."""
+    rule_risk = "rule_risk" if rules else "cast(0 as double)"
     tox = "coalesce(x.score, cast(0 as double))" if toxicity else "cast(0 as double)"
     join_tox = "left join tox x on x.msg_id = g.msg_id" if toxicity else ""
     return f"""
@@ -235,11 +260,12 @@ from (
    select *, injection_score >= cast({injection_cut} as double) as has_injection,
     toxicity_score >= cast({toxicity_cut} as double) as has_toxicity,
     pii_error is null and coalesce(n_entities, 0) > 0 as has_pii,
-    len(secret_list) > 0 as has_secrets, cast(1 as double) as risk
+    len(secret_list) > 0 or {rule_risk} > 0 as has_secrets,
+    case when len(secret_list) > 0 then greatest({rule_risk}, cast(1 as double)) else {rule_risk} end as risk
    from (
     select g.*, o.sanitized, o.n_entities, {error} as pii_error, {tox} as toxicity_score,
-     {INJECTION} as injection_score, {SECRET_LIST.replace('txt', 'scan_text')} as secret_list
-    from gated g left join {out} o on o.msg_id = g.msg_id {join_tox}
+     {INJECTION} as injection_score, {SECRET_LIST.replace('txt', 'scan_text')} as secret_list, {RULE_RISK} as rule_risk
+    from {gated} g left join {out} o on o.msg_id = g.msg_id {join_tox}
     where regexp_matches(g.message, '\\S')))))
 """
 
@@ -256,7 +282,10 @@ ALL_TYPES = tuple(dict.fromkeys(RECOGNIZERS[n].type for n in ALL_NAMES))
 
 PARTS: dict[str, str] = {
     "msgs": MSGS,
+    "credential_msgs": CREDENTIAL_MSGS,
     "gated": GATED,
+    "credential_gated": GATED.replace("from msgs", "from credential_msgs"),
+    "credential_short": "select msg_id, scan_text as txt from credential_gated",
     "whole": "select msg_id, message as txt from msgs",
     "short": "select msg_id, scan_text as txt from gated",
     "lexicon": LEXICON,
@@ -273,6 +302,9 @@ left join (select msg_id, count(*) as n from strict_num group by msg_id) c on c.
     "good": f"select msg_id, case when {FIRST_BAD_IP} is null then scan_text end as txt from gated",
     **anonymize_parts("plug", "good", ("IP_ADDRESS",),
                       span_part("good", "IP_ADDRESS", fv.IP_LIKE_PATTERN, 0, "cast(0.6 as double)")),
+    **anonymize_parts("credential", "credential_short"),
+    "wide_credential": wide("credential_out", False, gated="credential_gated"),
+    "wide_unruled": wide("credential_out", False, gated="credential_gated", rules=False),
     "wide": wide("scan_out", True),
     "wide_bare": wide("scan_out", False),
     "wide_cut": wide("scan_out", True, injection_cut=0.9, toxicity_cut=0.95),
@@ -349,6 +381,14 @@ def secret_matches(n: int) -> str:
     return listed(found("txt", fv.SECRET_PATTERNS[n][1], 0, True), "matched")
 
 
+def rule_rows(source: str) -> str:
+    rows = " union all ".join(
+        f"select msg_id, {q(r.name)} as rule, unnest(range(len(l))) as seq, unnest(l) as v from (select msg_id, {rule_values('message', r)} as l from {source})"
+        for r in DEFAULT_RULES
+    )
+    return f"select msg_id, rule, cast(seq as int) as seq, v as value, {ENTROPY} as entropy from ({rows})"
+
+
 SECRET_ROWS = " union all ".join(
     f"select msg_id, {n} as pattern_no, {q(t)} as type from whole where {hit('txt', p)}"
     for n, (t, p) in enumerate(fv.SECRET_PATTERNS)
@@ -416,6 +456,9 @@ from (select msg_id, {SECRET_LIST} as l,
  case when {hit('txt', chr(92) + 'bref ' + chr(92) + 'd{7}' + chr(92) + 'b')} then cast(0.6 as double)
   else cast(0 as double) end as r from whole)
 """,
+    "secret_rules": rule_rows("(select msg_id, message from msgs union all select msg_id, message from credential_msgs)"),
+    "scan_credentials": """select msg_id, r.allowed as allowed, u.allowed as allowed_without_rules
+ from wide_credential r join wide_unruled u using (msg_id)""",
     "injection_score": f"select msg_id, {INJECTION} as injection_score from gated",
     "toxicity_ml": """select doc_id, cast(concat('0x', substr(md5(cast(doc_id as varchar)), 1, 2)) as int) % 5 = 0 as held_out,
  true as in_range from documents""",

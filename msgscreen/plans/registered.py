@@ -13,11 +13,12 @@ from ..functions import fixed_values as fv
 from ..functions import text as tx
 from ..operators import anonymize as an
 from ..operators import handoff as ho
-from ..operators import pii, rollups, routing, scores, secrets, spans
+from ..operators import pii, rollups, routing, scores, secret_rules, secrets, spans
 from ..operators.toxicity_ml import score_documents
 from ..sources.messages import (
     conversations_as_messages,
     corpus,
+    credential_messages,
     derived_messages,
     documents_as_messages,
     table,
@@ -235,6 +236,23 @@ def secret_verdict(spark, sf_dir):
     )
 
 
+def with_credentials(spark, sf_dir):
+    """All messages and those that hold further kinds of credentials."""
+    return messages(spark, sf_dir).unionByName(credential_messages(table(spark, sf_dir, "part")))
+
+
+def secret_rule_findings(spark, sf_dir):
+    found = secret_rules.rule_findings(with_credentials(spark, sf_dir), "message", secret_rules.DEFAULT_RULES, "msg_id")
+    return found.select("msg_id", "rule", "seq", "value", "entropy")
+
+
+def scan_credentials(spark, sf_dir):
+    """Verdicts on the messages with further credentials, and what they are without the rules."""
+    df = credential_messages(table(spark, sf_dir, "part"))
+    verdict = lambda config, name: sc.scan(df, config).select("msg_id", F.col("allowed").alias(name))
+    return verdict(ScreenConfig(), "allowed").join(verdict(ScreenConfig(secret_rules=()), "allowed_without_rules"), "msg_id")
+
+
 # --- scores -----------------------------------------------------------------
 def injection_score(spark, sf_dir):
     gated = sc.gate(messages(spark, sf_dir))
@@ -472,6 +490,8 @@ QUERIES = {
     "secret_findings": secret_findings,
     "secret_summary": secret_summary,
     "secret_verdict": secret_verdict,
+    "secret_rules": secret_rule_findings,
+    "scan_credentials": scan_credentials,
     "injection_score": injection_score,
     "toxicity_lexicon": toxicity_lexicon,
     "toxicity_score": toxicity_score,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import ScreenConfig
 from ..functions.text import model_input, token_count
-from ..operators import handoff, plugins, routing, scores, secrets, verdict
+from ..operators import handoff, plugins, routing, scores, secret_rules, secrets, verdict
 from ..operators.anonymize import anonymize
 
 RESPONSE_COLUMNS = (
@@ -56,10 +56,11 @@ def detect(
     ``span_model`` one of ``text -> [(type, start, end, score)]``. Without them
     no row leaves the JVM.
     """
-    found = scores.with_toxicity_score(df, "scan_text", lexicon, in_row=config.lexicon_in_row).withColumns(
+    found = scores.with_toxicity_score(df, "scan_text", lexicon, in_row=config.lexicon_in_row)
+    found = secret_rules.with_rule_risk(found, "scan_text", config.secret_rules, "_rule_risk").withColumns(
         {
             "_secret_types": secrets.secret_types("scan_text"),
-            "_extra_risk": secrets.extra_risk("scan_text", config.extra_secret_rules),
+            "_extra_risk": F.greatest("_rule_risk", secrets.extra_risk("scan_text", config.extra_secret_rules)),
             "injection_score": scores.injection_score("scan_text", config.injection_rules),
         }
     )

@@ -107,6 +107,35 @@ def derived_messages(customer: DataFrame) -> DataFrame:
     )
 
 
+# Messages with credentials that only the rules beside the published patterns know, as plain SQL for both engines.
+CREDENTIAL_MESSAGE_SQL = """
+case p_partkey % 13
+ when 0 then concat('db at postgresql+psycopg://app:pw', md5(cast(p_partkey as {S})), '@db.example.org:5432/x and postgres://u:aaaa@h/')
+ when 1 then concat('Here''s my key: sk-', substr(md5(cast(p_partkey as {S})), 1, 12), '. Can you use it?')
+ when 2 then concat('sk-learning', 'sk-proj-', md5(cast(p_partkey as {S})), ' and sk-proj-xxxxxxxxxxxxxxxxxxxx, sk-proj-', md5(concat('p', cast(p_partkey as {S}))))
+ when 3 then concat('xoxb-', cast(p_partkey as {S}), '-', md5(cast(p_partkey as {S})), ' xoxb-aaaaaaaaaaaa')
+ when 4 then concat('AccountName=a;AccountKey=', md5(cast(p_partkey as {S})), md5(concat('k', cast(p_partkey as {S}))), '==;')
+ when 5 then concat('(glpat-', md5(cast(p_partkey as {S})), ') github_pat_', md5(cast(p_partkey as {S})))
+ when 6 then concat('npm_', md5(cast(p_partkey as {S})), 'Ab and hf_', md5(cast(p_partkey as {S})), 'Cd')
+ when 7 then concat('SG.', md5(cast(p_partkey as {S})), '.', md5(concat('s', cast(p_partkey as {S}))))
+ when 8 then concat('eyJ', md5(cast(p_partkey as {S})), '.eyJ', md5(concat('e', cast(p_partkey as {S}))), '.', md5(concat('f', cast(p_partkey as {S}))))
+ when 9 then '-----BEGIN RSA PRIVATE KEY----- and -----BEGIN PUBLIC KEY-----'
+ when 10 then concat('sk_live_', md5(cast(p_partkey as {S})), ' mongodb://u:', p_brand, '@h redis://:', substr(md5(cast(p_partkey as {S})), 1, 8), '@cache')
+ when 11 then concat('task-abcdef1234 desk-9876abcd rk-zzzzzzz9 sk-learnings pk-', substr(md5(cast(p_partkey as {S})), 1, 16))
+ else p_name end
+"""
+
+
+def credential_messages(part: DataFrame) -> DataFrame:
+    return as_messages(
+        part,
+        F.concat(F.lit("part-"), F.col("p_partkey").cast("string")),
+        F.expr(CREDENTIAL_MESSAGE_SQL.format(S="string").replace("''", "\\'")),
+        F.lit("part"),
+        F.concat(F.lit("part"), (F.col("p_partkey") % 10).cast("string")),
+    )
+
+
 def corpus(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
     """Documents, conversations and derived messages, whole tables and whole texts.
 
