@@ -115,6 +115,33 @@ join lexicon on w = word group by msg_id
 """
 
 
+HELD_OUT = "cast(concat('0x', substr(md5(cast(doc_id as varchar)), 1, 2)) as int) % 5 = 0"
+
+# Naive Bayes by counting: per class the documents that hold a word, with one added to each count, over words
+# whose shares in the two classes differ by three deviations.
+BAYES_WORDS = f"""
+select word, ln(c1 + 1) - ln(t1 + v) as w1, ln(c0 + 1) - ln(t0 + v) as w0 from (
+ select word, c1, c0, sum(c1) over () as t1, sum(c0) over () as t0, count(*) over () as v from (
+  select word, cast(sum(toxic) as double) as c1, cast(sum(1 - toxic) as double) as c0 from (
+   select toxic, unnest(list_distinct(regexp_extract_all(lower(text), {q(fv.WORD_PATTERN)}))) as word
+   from documents join labels using (doc_id) where not ({HELD_OUT}))
+  group by word having count(*) >= 5),
+  (select cast(sum(toxic) as double) as n1, cast(sum(1 - toxic) as double) as n0
+   from documents join labels using (doc_id) where not ({HELD_OUT}))
+ where abs(ln((c1 + 1) / (n1 + 2)) - ln((c0 + 1) / (n0 + 2))) / sqrt(1 / (c1 + 1) + 1 / (c0 + 1)) >= 3)
+"""
+BAYES = f"""
+select g.msg_id, case when g.model_text is null then cast(0 as double)
+ else 1 / (1 + exp(p0 + coalesce(s0, 0) - p1 - coalesce(s1, 0))) end as score
+from gated g
+left join (select msg_id, sum(w1) as s1, sum(w0) as s0 from (
+  select msg_id, unnest(list_distinct(regexp_extract_all(lower(model_text), {q(fv.WORD_PATTERN)}))) as w from gated)
+ join bayes_words on w = word group by msg_id) x on x.msg_id = g.msg_id,
+(select ln(sum(toxic) + 1) - ln(count(*) + 2) as p1, ln(sum(1 - toxic) + 1) - ln(count(*) + 2) as p0
+ from documents join labels using (doc_id) where not ({HELD_OUT}))
+"""
+
+
 def length_label(chars: str) -> str:
     cases = " ".join(f"when {chars} < {b} then {q(label)}" for b, label in fv.LENGTH_LABELS)
     return f"case {cases} else {q(fv.LENGTH_LABEL_REST)} end"
@@ -240,11 +267,11 @@ left join (select msg_id, cast(count(*) as int) as n from {p}_ents group by msg_
 
 def wide(out: str, toxicity: bool, error: str = "cast(null as varchar)",
          injection_cut: float = fv.INJECTION_THRESHOLD, toxicity_cut: float = fv.TOXICITY_THRESHOLD,
-         gated: str = "gated", rules: bool = True) -> str:
+         gated: str = "gated", rules: bool = True, scores: str = "tox") -> str:
     """Scores, flags and verdict per non-blank message; ``out`` names the redaction result."""
     rule_risk = "rule_risk" if rules else "cast(0 as double)"
     tox = "coalesce(x.score, cast(0 as double))" if toxicity else "cast(0 as double)"
-    join_tox = "left join tox x on x.msg_id = g.msg_id" if toxicity else ""
+    join_tox = f"left join {scores} x on x.msg_id = g.msg_id" if toxicity else ""
     return f"""
 select *, blocking[1] as primary_type,
  case blocking[1] when 'token_limit' then cast({fv.TOKEN_LIMIT_CONFIDENCE} as double) when 'secrets' then risk
@@ -290,6 +317,8 @@ PARTS: dict[str, str] = {
     "short": "select msg_id, scan_text as txt from gated",
     "lexicon": LEXICON,
     "tox": TOX,
+    "bayes_words": BAYES_WORDS,
+    "bayes": BAYES,
     **anonymize_parts("plain", "whole"),
     **anonymize_parts("ip", "whole", ("IP_ADDRESS",), spans("whole", ("ip",))),
     **anonymize_parts("every", "whole", ALL_TYPES, spans("whole", ALL_NAMES)),
@@ -307,6 +336,7 @@ left join (select msg_id, count(*) as n from strict_num group by msg_id) c on c.
     "wide_unruled": wide("credential_out", False, gated="credential_gated", rules=False),
     "wide": wide("scan_out", True),
     "wide_bare": wide("scan_out", False),
+    "wide_bayes": wide("scan_out", True, scores="bayes"),
     "wide_cut": wide("scan_out", True, injection_cut=0.9, toxicity_cut=0.95),
     "wide_strict": wide("strict_out", False),
     "wide_plug": wide("plug_out", False, PLUGIN_ERROR),
@@ -461,7 +491,7 @@ from (select msg_id, {SECRET_LIST} as l,
  from wide_credential r join wide_unruled u using (msg_id)""",
     "injection_score": f"select msg_id, {INJECTION} as injection_score from gated",
     "toxicity_ml": """select doc_id, cast(concat('0x', substr(md5(cast(doc_id as varchar)), 1, 2)) as int) % 5 = 0 as held_out,
- true as in_range from documents""",
+ true as in_range, true as tells_apart from documents""",
     "toxicity_lexicon": "select word, toxic_docs, clean_docs, weight from lexicon",
     "toxicity_score": """select g.msg_id, coalesce(score, cast(0 as double)) as toxicity_score
  from gated g left join tox t on t.msg_id = g.msg_id""",
@@ -491,6 +521,9 @@ from (select source, unnest(types) as type from wide) group by rollup (source, t
     "scan_response": flat("wide_bare", "msg_id"),
     "sink_roundtrip": flat("wide_bare", "msg_id"),
     "scan_dedup": flat("wide", "msg_id, source, session_id"),
+    "scan_reuse": flat("wide", "msg_id, source, session_id"),
+    "scan_with_model": """select msg_id, round(toxicity_score, 6) as toxicity_score, has_toxicity, allowed,
+ array_to_string(types, ',') as violation_types from wide_bayes""",
     "scan_strict": flat("wide_strict", "msg_id"),
     "route_messages": f"""
 select msg_id, {ROUTE} as route, case when not allowed then {PROMPT}
@@ -500,6 +533,7 @@ select msg_id, {ROUTE} as route, case when not allowed then {PROMPT}
  from wide_plug where pii_error is not null""",
     "plugin_redaction": "select msg_id, allowed, anonymized_prompt, pii_error as pii_scanner_error from wide_plug",
     "stream_scan": flat("wide", f"msg_id, {ROUTE} as route"),
+    "stream_reuse": flat("wide", f"msg_id, {ROUTE} as route"),
     "stream_scan_join": flat("wide", f"msg_id, {ROUTE} as route"),
 }
 

@@ -14,7 +14,8 @@ from ..functions import text as tx
 from ..operators import anonymize as an
 from ..operators import handoff as ho
 from ..operators import pii, rollups, routing, scores, secret_rules, secrets, spans
-from ..operators.toxicity_ml import score_documents
+from ..operators import toxicity_ml as ml
+from ..operators.reuse import VerdictStore, scan_reusing
 from ..sources.messages import (
     conversations_as_messages,
     corpus,
@@ -269,13 +270,43 @@ def toxicity_score(spark, sf_dir):
 
 
 def toxicity_ml(spark, sf_dir):
-    """Held-out flags and whether every score is a probability; the scores themselves have no SQL."""
+    """Held-out flags, score range, and whether toxic documents score higher than clean ones, which no constant does.
+
+    All labelled documents count here, as small tables hold none out; a test has the held-out ranking.
+    """
     scored = toxicity_ml_scores(spark, sf_dir)
-    return scored.select("doc_id", "held_out", F.col("toxicity_score").between(0.0, 1.0).alias("in_range"))
+    held = scored.join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+    apart = held.agg((F.avg(F.when(F.col("toxic") == 1, F.col("toxicity_score"))) - F.avg(F.when(F.col("toxic") == 0, F.col("toxicity_score")))).alias("d"))
+    return scored.select(
+        "doc_id",
+        "held_out",
+        F.col("toxicity_score").between(0.0, 1.0).alias("in_range"),
+        (F.coalesce(apart.select("d").scalar(), F.lit(0.0)) > 0.1).alias("tells_apart"),
+    )
 
 
 def toxicity_ml_scores(spark, sf_dir):
-    return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return ml.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+_stored_models: dict[tuple[str, str], str] = {}
+
+
+def stored_model(spark, sf_dir):
+    """The naive Bayes model of a folder's labelled documents that are not held out: fitted once, saved, loaded."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored_models:
+        path = shared_dir(spark, "toxicity-model")
+        labels = table(spark, sf_dir, "labels").where(~ml.is_held_out())
+        ml.save(ml.train_bayes(table(spark, sf_dir, "documents").select("doc_id", "text"), labels), path)
+        _stored_models[key] = path
+    return ml.load(_stored_models[key])
+
+
+def scan_with_model(spark, sf_dir):
+    """Scores and verdicts of a scan whose toxicity score is that of the saved model."""
+    found = sc.scan_wide(messages(spark, sf_dir), toxicity_pipeline=stored_model(spark, sf_dir))
+    return found.select("msg_id", F.round("toxicity_score", 6).alias("toxicity_score"), "has_toxicity", "allowed", F.array_join("violations.type", ",").alias("violation_types"))
 
 
 def threshold_apply(spark, sf_dir):
@@ -373,6 +404,14 @@ def scan_dedup(spark, sf_dir):
     return sc.flatten(responses, "msg_id", "source", "session_id")
 
 
+def scan_reuse(spark, sf_dir):
+    """All messages after half of them: the second run scans only texts the first one didn't."""
+    store, df, lexicon_ = VerdictStore(spark, shared_dir(spark, "verdicts")), messages(spark, sf_dir), stored_lexicon(spark, sf_dir)
+    half = df.where(F.pmod(F.xxhash64("msg_id"), F.lit(2)) == 0)
+    scan_reusing(half, store, lexicon=lexicon_)
+    return sc.flatten(scan_reusing(df, store, lexicon=lexicon_), "msg_id", "source", "session_id")
+
+
 def scan_strict(spark, sf_dir):
     return sc.flatten(sc.scan(messages(spark, sf_dir), STRICT), "msg_id")
 
@@ -428,12 +467,19 @@ def stream_scan_join(spark, sf_dir):
     return _streamed(spark, sf_dir, ScreenConfig(lexicon_in_row=False), per_batch=True)
 
 
-def _streamed(spark, sf_dir, config, per_batch):
+def stream_reuse(spark, sf_dir):
+    """A file a batch, with verdicts kept in a store over the batches."""
+    store = VerdictStore(spark, shared_dir(spark, "verdicts"))
+    reusing = lambda batch, config, learned: scan_reusing(batch, store, config, learned)
+    return _streamed(spark, sf_dir, ScreenConfig(), per_batch=True, scan=reusing, files=1)
+
+
+def _streamed(spark, sf_dir, config, per_batch, scan=sc.scan, files=1000):
     work = shared_dir(spark, "stream-scan")
     learned = stored_lexicon(spark, sf_dir)
 
     def source(name):
-        return stream_files(spark, sf_dir, table(spark, sf_dir, name).schema, pathGlobFilter=f"{name}.parquet")
+        return stream_files(spark, sf_dir, table(spark, sf_dir, name).schema, max_files_per_batch=files, pathGlobFilter=f"{name}.parquet")
 
     arriving = (
         documents_as_messages(source("documents"))
@@ -443,7 +489,7 @@ def _streamed(spark, sf_dir, config, per_batch):
     partitions = spark.conf.get("msgscreen.partitions", None)
     query = start_scan(
         arriving,
-        lambda m: sc.scan(m, config, learned),
+        lambda m: scan(m, config, learned),
         f"{work}/out",
         f"{work}/checkpoint",
         tasks=partitions and int(partitions),
@@ -511,10 +557,13 @@ QUERIES = {
     "scan_response": scan_response,
     "sink_roundtrip": sink_roundtrip,
     "scan_dedup": scan_dedup,
+    "scan_reuse": scan_reuse,
+    "scan_with_model": scan_with_model,
     "scan_strict": scan_strict,
     "route_messages": route_messages,
     "quarantine": quarantine,
     "plugin_redaction": plugin_redaction,
     "stream_scan": stream_scan,
     "stream_scan_join": stream_scan_join,
+    "stream_reuse": stream_reuse,
 }

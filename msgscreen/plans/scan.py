@@ -9,14 +9,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ScreenConfig
 from ..functions.text import model_input, token_count
-from ..operators import handoff, plugins, routing, scores, secret_rules, secrets, verdict
+from ..operators import handoff, plugins, routing, scores, secret_rules, secrets, toxicity_ml, verdict
 from ..operators.anonymize import anonymize
 
+def error_columns(models: dict) -> list[str]:
+    """Only Python models can fail."""
+    return ["scan_error"] if set(models) - {"toxicity_pipeline"} else []
+
+
 RESPONSE_COLUMNS = (
     "allowed",
     "token_count",
@@ -48,13 +54,16 @@ def detect(
     injection_model: Callable | None = None,
     toxicity_model: Callable | None = None,
     span_model: Callable | None = None,
+    toxicity_pipeline: PipelineModel | None = None,
 ) -> DataFrame:
     """Run all scanners over gated messages; adds findings and scores, one row each.
 
     ``lexicon`` is a table of ``word, weight`` (see ``learn_lexicon``).
-    ``injection_model`` and ``toxicity_model`` are loaders of ``text -> score``,
-    ``span_model`` one of ``text -> [(type, start, end, score)]``. Without them
-    no row leaves the JVM.
+    ``toxicity_pipeline`` is a fitted Spark ML model (see ``toxicity_ml``) that scores
+    the model text on the JVM. ``injection_model`` and ``toxicity_model`` are loaders of
+    ``text -> score``, ``span_model`` one of ``text -> [(type, start, end, score)]``, or
+    of their batch forms. Without these three no row leaves the JVM. The toxicity score
+    is the highest of all that are given.
     """
     found = scores.with_toxicity_score(df, "scan_text", lexicon, in_row=config.lexicon_in_row)
     found = secret_rules.with_rule_risk(found, "scan_text", config.secret_rules, "_rule_risk").withColumns(
@@ -64,6 +73,9 @@ def detect(
             "injection_score": scores.injection_score("scan_text", config.injection_rules),
         }
     )
+    if toxicity_pipeline is not None:
+        found = toxicity_ml.with_model_score(found, "model_text", toxicity_pipeline, "_learned")
+        found = found.withColumn("toxicity_score", F.expr("greatest(toxicity_score, coalesce(_learned, 0D))"))
     scan_errors = []
     for name, model in (("injection", injection_model), ("toxicity", toxicity_model)):
         if model is not None:
@@ -135,7 +147,7 @@ def scan(df: DataFrame, config: ScreenConfig = ScreenConfig(), lexicon: DataFram
     ``df`` holds ``message`` and any key columns, as a table or a stream.
     """
     keys = [c for c in df.columns if c != "message"]
-    extra = ["scan_error"] if models else []
+    extra = error_columns(models)
     return scan_wide(df, config, lexicon, **models).select(*keys, *RESPONSE_COLUMNS, *extra)
 
 
@@ -148,7 +160,7 @@ def scan_distinct(df: DataFrame, config: ScreenConfig = ScreenConfig(), lexicon:
     from ..operators.dedup import per_distinct_text
 
     keys = [c for c in df.columns if c != "message"]
-    extra = ["scan_error"] if models else []
+    extra = error_columns(models)
 
     def work(texts: DataFrame) -> DataFrame:
         return decide(detect(gate(texts, config), config, lexicon, **models), config).select(
