@@ -6,7 +6,6 @@ own and the toxicity lexicon is learned from labelled documents.
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions.patterns import matches
 from ..functions.text import words
+from ..functions.wordset import ChecksumFilter
 from .dedup import text_key
 
 
@@ -75,9 +75,8 @@ IN_ROW_WORD_CHARS = 200
 class SmallLexicon:
     """A lexicon of checked size as literals of the plan.
 
-    Two tables of 65,536 places, by the low and the high half of a word's checksum,
-    tell in constant time that nearly all other words are not in it; only the words
-    that pass are looked for in the list.
+    A filter tells in constant time that nearly all other words are not in it; only the
+    words that pass are looked for in the list.
     """
 
     words: tuple[str, ...]
@@ -100,21 +99,11 @@ class SmallLexicon:
         """The largest weight of the words of an array, 0 when none is known."""
         if not self.words:
             return F.lit(0.0)
-        sums = [zlib.crc32(w.encode()) for w in self.words]
-        tables = []
-        for places in ({s & 0xFFFF for s in sums}, {s >> 16 for s in sums}):
-            table = bytearray(1 << 16)
-            for at in places:
-                table[at] = 1
-            tables.append(F.lit(bytes(table)))
         # Both lists fold to literals when the plan is optimised.
         words = F.split(F.lit(" ".join(self.words)), " ")
         weights = F.split(F.lit(" ".join(map(repr, self.weights))), " ").cast("array<double>")
 
-        def may_be(word: Column) -> Column:
-            low, high = (F.crc32(word.cast("binary")) % 65536 + 1).cast("int"), F.shiftright(F.crc32(word.cast("binary")), 16).cast("int") + 1
-            return (F.substring(tables[0], low, 1) == F.lit(b"\x01")) & (F.substring(tables[1], high, 1) == F.lit(b"\x01"))
-
+        may_be = ChecksumFilter.of_words(self.words).may_hold
         weight = lambda word: F.get(weights, (F.array_position(words, word) - 1).cast("int"))
         return F.coalesce(F.array_max(F.transform(F.filter(found, may_be), weight)), F.lit(0.0))
 
@@ -143,7 +132,8 @@ def with_toxicity_score(
         raise ValueError("a stream can't be joined with its own words: start it with per_batch, or use a small lexicon")
     scored_rows = df.where(F.col(text).isNotNull())
     keyed = scored_rows.withColumn("_text_key", text_key(F.col(text)))
-    found = keyed.select("_text_key", F.explode(F.array_distinct(words(F.col(text)))).alias("word"))
+    may_be = ChecksumFilter.of_column(lexicon, "word").may_hold
+    found = keyed.select("_text_key", F.explode(F.array_distinct(F.filter(words(F.col(text)), may_be))).alias("word"))
     best = found.join(lexicon.select("word", "weight"), "word").groupBy("_text_key").agg(F.max("weight").alias("_best"))
     scored = keyed.join(best, "_text_key", "left").withColumn(out, F.coalesce(F.col("_best").cast("double"), F.lit(0.0)))
     unscored = df.where(F.col(text).isNull()).withColumn(out, F.lit(0.0))

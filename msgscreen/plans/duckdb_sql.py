@@ -12,7 +12,8 @@ import re
 from ..functions import fixed_values as fv
 from ..operators.secret_rules import DEFAULT_RULES
 from ..operators.spans import RECOGNIZERS, STANDARD_RECOGNIZERS
-from ..sources.messages import CREDENTIAL_MESSAGE_SQL, DERIVED_MESSAGE_SQL
+from ..operators.gazetteer import WORD as PHRASE_WORD
+from ..sources.messages import CREDENTIAL_MESSAGE_SQL, DERIVED_MESSAGE_SQL, EVENT_MESSAGE_SQL
 
 
 def q(text: str) -> str:
@@ -28,6 +29,8 @@ def found(text: str, pattern: str, group: int = 0, ignore_case: bool = False) ->
     return f"coalesce(regexp_extract_all({text}, {q(flag + pattern)}, {group}), [])"
 
 
+VAULT_SECRET = "a secret of the caller"  # that of the registered query
+
 MSGS = f"""
 select concat('doc-', cast(doc_id as varchar)) as msg_id, source, cast(null as varchar) as session_id, text as message
 from documents
@@ -307,9 +310,73 @@ PLUGIN_ERROR = f"case when {FIRST_BAD_IP} is not null then {PLUGIN_ERROR} end"
 ALL_NAMES = STANDARD_RECOGNIZERS + ("ip",)
 ALL_TYPES = tuple(dict.fromkeys(RECOGNIZERS[n].type for n in ALL_NAMES))
 
+# Runs of one to three words (all phrases of the table are that short), the leftmost and then the longest one kept.
+PHRASES = """
+select words, min(type) as type from (
+ select array_to_string(list_transform(regexp_extract_all(p_name, '[\\p{L}\\p{N}]+'), lambda w: lower(w)), ' ') as words, 'PRODUCT' as type from part
+ union all
+ select array_to_string(list_transform(regexp_extract_all(string_split(p_name, ' ')[-1], '[\\p{L}\\p{N}]+'), lambda w: lower(w)), ' '), 'THING' from part)
+where words <> '' group by words
+"""
+PHRASE_HITS = f"""
+select msg_id, s, e, type, substr(message, cast(s as bigint) + 1, cast(e - s as bigint)) as value from (
+ select msg_id, message, x.s as s, x.e as e, type from (
+  select msg_id, message, unnest(list_concat(
+   list_transform(range(1, len(w) + 1), lambda i: {{'words': lower(w[i]), 's': st[i], 'e': st[i] + length(w[i])}}),
+   list_concat(
+    list_transform(list_filter(range(1, len(w)), lambda i: regexp_full_match(g[i + 1], '\\s+')),
+     lambda i: {{'words': concat(lower(w[i]), ' ', lower(w[i + 1])), 's': st[i], 'e': st[i + 1] + length(w[i + 1])}}),
+    list_transform(list_filter(range(1, len(w) - 1), lambda i: regexp_full_match(g[i + 1], '\\s+') and regexp_full_match(g[i + 2], '\\s+')),
+     lambda i: {{'words': concat(lower(w[i]), ' ', lower(w[i + 1]), ' ', lower(w[i + 2])), 's': st[i], 'e': st[i + 2] + length(w[i + 2])}}))
+  )) as x from (
+   select msg_id, message, w, g, list_transform(range(1, len(w) + 1),
+     lambda i: list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(w[1:i - 1], lambda y: length(y))), 0)) as st
+   from (select msg_id, message, regexp_extract_all(message, {q(PHRASE_WORD)}) as w, regexp_split_to_array(message, {q(PHRASE_WORD)}) as g
+    from (select msg_id, message from msgs union all select msg_id, message from credential_msgs)
+    where regexp_matches(lower(message), (select string_agg(words, '|') from phrases)))
+   where len(w) > 0))
+ join phrases p on p.words = x.words)
+"""
+
+EVENT_MSGS = f"""
+select concat('event-', cast(event_id as varchar)) as msg_id, 'events' as source, concat('user', cast(user_id as varchar)) as session_id,
+ {EVENT_MESSAGE_SQL.format(S='varchar')} as message, ts
+from events
+"""
+
+# Held-out documents with the score of the naive Bayes model over their whole texts, in hundredths.
+CURVE_BINS = f"""
+select bin, count(*) as n, cast(sum(toxic) as bigint) as n_positive from (
+ select toxic, cast(floor(round(1 / (1 + exp(p0 + coalesce(s0, 0) - p1 - coalesce(s1, 0))), 6) * 100) as int) as bin
+ from documents join labels using (doc_id)
+ left join (select doc_id as d, sum(w1) as s1, sum(w0) as s0 from (
+   select doc_id, unnest(list_distinct(regexp_extract_all(lower(text), {q(fv.WORD_PATTERN)}))) as w from documents)
+  join bayes_words on w = word group by doc_id) x on x.d = doc_id,
+ (select ln(sum(toxic) + 1) - ln(count(*) + 2) as p1, ln(sum(1 - toxic) + 1) - ln(count(*) + 2) as p0
+  from documents join labels using (doc_id) where not ({HELD_OUT}))
+ where {HELD_OUT})
+group by bin
+"""
+# Isotonic regression by its formula: the largest over starts of the least over ends of the pooled share.
+CURVE_POOLED = """
+select bin, max(least_share) as calibrated from (
+ select c.bin, a.bin as lo, min((select sum(n_positive) / cast(sum(n) as double) from curve_bins m where m.bin between a.bin and b.bin)) as least_share
+ from curve_bins c join curve_bins a on a.bin <= c.bin join curve_bins b on b.bin >= c.bin group by c.bin, a.bin)
+group by bin
+"""
+
 PARTS: dict[str, str] = {
     "msgs": MSGS,
+    "phrases": PHRASES,
+    "phrase_hits": PHRASE_HITS,
     "credential_msgs": CREDENTIAL_MSGS,
+    "event_msgs": EVENT_MSGS,
+    "event_gated": GATED.replace("from msgs", "from event_msgs"),
+    "event_short": "select msg_id, scan_text as txt from event_gated",
+    **anonymize_parts("event", "event_short"),
+    "wide_event": wide("event_out", False, gated="event_gated"),
+    "curve_bins": CURVE_BINS,
+    "curve_pooled": CURVE_POOLED,
     "gated": GATED,
     "credential_gated": GATED.replace("from msgs", "from credential_msgs"),
     "credential_short": "select msg_id, scan_text as txt from credential_gated",
@@ -324,6 +391,11 @@ PARTS: dict[str, str] = {
     **anonymize_parts("every", "whole", ALL_TYPES, spans("whole", ALL_NAMES)),
     **anonymize_parts("scan", "short"),
     **redaction_parts("strict", "short", spans("short", ALL_NAMES)),
+    **redaction_parts("keyed", "whole", spans("whole", ALL_NAMES)),
+    "keyed_num": f"""
+select *, concat('[', t, '_', cast(row_number() over (partition by msg_id, t order by s) - 1 as varchar), ':',
+ substr(sha256(concat('{len(VAULT_SECRET)}:{VAULT_SECRET}:', msg_id)), 1, 12), ']') as token from keyed_kept
+""",
     "strict_out": """
 select r.msg_id, red as sanitized, coalesce(n, 0) as n_entities from strict_red r
 left join (select msg_id, count(*) as n from strict_num group by msg_id) c on c.msg_id = r.msg_id
@@ -458,6 +530,12 @@ select msg_id, cast(row_number() over (partition by msg_id order by type_no) - 1
     "pii_redact_fallback": "select msg_id, sanitized as sanitized_text from plain_out",
     "pii_entity_dedup": "select msg_id, seq, type, value, token, source from ip_ents",
     "pii_entities": "select msg_id, seq, type, value, token, source from plain_ents",
+    "pii_gazetteer": """
+select msg_id, cast(k.s as int) as span_start, cast(k.e as int) as span_end, k.type as type, k.value as value from (
+ select msg_id, unnest(list_reduce(l, lambda a, x: case when x[1].s < a[-1].e then a else list_concat(a, x) end)) as k
+ from (select msg_id, list([{'s': s, 'e': e, 'type': type, 'value': value}] order by s, e desc) as l from phrase_hits group by msg_id))
+""",
+    "restore": """select msg_id, red as reply, txt as restored from keyed_red""",
     "anonymize": f"""
 select msg_id, sanitized as sanitized_text, n_entities, len(l) > 0 as secrets_detected, len(l) = 0 as secrets_valid,
  case when len(l) > 0 then cast(1 as double) else cast(0 as double) end as secrets_risk_score,
@@ -513,6 +591,30 @@ from (select msg_id, unnest(list_prepend(source, types)) as type from wide)
  case when len(types) = 0 then {q(fv.RISK_SAFE)} end as risk_level from wide""",
     "scan_metrics": f"select {metric_list()} from wide",
     "session_rollup": f"select source, session_id, {metric_list()} from wide group by source, session_id",
+    "session_risk": f"""
+select msg_id, turn, turn_risk, max(turn_risk) over so_far as running_max, cast(sum(b) over so_far as bigint) as blocked_so_far,
+ streak, streak >= 2 or sum(b) over so_far >= 3 as escalated from (
+ select *, cast(case when b = 0 then 0 else row_number() over (partition by session_id, island order by turn, msg_id)
+   - case when island > 0 then 1 else 0 end end as bigint) as streak from (
+  select *, sum(1 - b) over (partition by session_id order by turn, msg_id rows unbounded preceding) as island from (
+   select msg_id, session_id, cast(string_split(msg_id, '-')[-1] as int) as turn, case when allowed then 0 else 1 end as b,
+    coalesce(list_max(list_transform(list_zip(types, {CONFIDENCES}), lambda x: case when x[1] = 'pii' then cast(0.5 as double) else cast(1 as double) end * x[2])), cast(0 as double)) as turn_risk
+   from wide where source = 'conversations')))
+window so_far as (partition by session_id order by turn, msg_id rows unbounded preceding)
+""",
+    "session_gaps": """
+select session_id, min(ts) as session_start, max(ts) + interval 6 hours as session_end, count(*) as n_messages,
+ cast(sum(case when allowed then 0 else 1 end) as bigint) as n_blocked from (
+ select *, sum(fresh) over (partition by session_id order by ts, msg_id rows unbounded preceding) as nr from (
+  select *, case when ts - lag(ts) over (partition by session_id order by ts, msg_id) <= interval 6 hours then 0 else 1 end as fresh from wide_event))
+group by session_id, nr
+""",
+    "threshold_curve": """
+select cast(bin as double) / 100 as threshold, n, n_positive, cast(flagged as bigint) as flagged, cast(tp as bigint) as true_positives,
+ round(tp / flagged, 9) as precision, round(tp / total, 9) as recall, round(2 * tp / (flagged + total), 9) as f1, round(calibrated, 9) as calibrated
+from (select *, sum(n) over w as flagged, cast(sum(n_positive) over w as double) as tp, nullif(sum(n_positive) over (), 0) as total
+ from curve_bins window w as (order by bin desc rows unbounded preceding)) join curve_pooled using (bin)
+""",
     "violation_rollup": """
 select source, type, cast(grouping_id(source, type) as bigint) as level, cast(count(*) as bigint) as n_violations
 from (select source, unnest(types) as type from wide) group by rollup (source, type)

@@ -13,7 +13,8 @@ from ..functions import fixed_values as fv
 from ..functions import text as tx
 from ..operators import anonymize as an
 from ..operators import handoff as ho
-from ..operators import pii, rollups, routing, scores, secret_rules, secrets, spans
+from ..operators import calibration, gazetteer, pii, rollups, routing, scores, secret_rules, secrets, sessions, spans
+from ..operators import restore as rs
 from ..operators import toxicity_ml as ml
 from ..operators.reuse import VerdictStore, scan_reusing
 from ..sources.messages import (
@@ -22,6 +23,7 @@ from ..sources.messages import (
     credential_messages,
     derived_messages,
     documents_as_messages,
+    event_messages,
     table,
 )
 from ..sources.storage import shared_dir, write_responses
@@ -201,6 +203,33 @@ def anonymize_strict(spark, sf_dir):
     return out.select("msg_id", "sanitized_text", F.size("entities").alias("n_entities"))
 
 
+def stored_phrases(spark, sf_dir):
+    """A dictionary of product names and of the last words of some, which longer ones must win over."""
+    part = table(spark, sf_dir, "part")
+    names = part.select(F.col("p_name").alias("phrase"), F.lit("PRODUCT").alias("type"))
+    last = part.select(F.element_at(F.split("p_name", " "), -1).alias("phrase"), F.lit("THING").alias("type"))
+    path = shared_dir(spark, "phrases")
+    gazetteer.dictionary(names.unionByName(last)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def pii_gazetteer(spark, sf_dir):
+    found = gazetteer.find_phrases(with_credentials(spark, sf_dir), stored_phrases(spark, sf_dir))
+    return found.select("msg_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "type", "value")
+
+
+VAULT_SECRET = "a secret of the caller"
+
+
+def restore(spark, sf_dir):
+    """Every message redacted under keyed tokens, sent back as a reply, and restored from the vault."""
+    path = shared_dir(spark, "protected")
+    rs.protect(messages(spark, sf_dir).select("msg_id", "message"), VAULT_SECRET, config=STRICT).drop("message").write.parquet(path)
+    protected = spark.read.parquet(path)
+    replies = protected.select("msg_id", F.col("protected_text").alias("reply"))
+    return rs.restore(replies, rs.vault_rows(protected, "msg_id")).select("msg_id", "reply", "restored")
+
+
 # --- credentials ------------------------------------------------------------
 def _secret(pattern_no: int):
     def query(spark, sf_dir):
@@ -317,6 +346,14 @@ def threshold_apply(spark, sf_dir):
     )
 
 
+def threshold_curve(spark, sf_dir):
+    """What each cut-off of the saved model's score would do to the documents it never saw."""
+    documents = table(spark, sf_dir, "documents").where(ml.is_held_out()).select("doc_id", "text")
+    scored = ml.with_model_score(documents, "text", stored_model(spark, sf_dir), "score").join(table(spark, sf_dir, "labels"), "doc_id")
+    curve = calibration.threshold_curve(scored.withColumn("score", F.round("score", 6)), "score", "toxic")
+    return curve.select("threshold", "n", "n_positive", "flagged", "true_positives", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1", "calibrated")))
+
+
 # --- verdict ----------------------------------------------------------------
 def violations(spark, sf_dir):
     rows = scanned(spark, sf_dir).select("msg_id", F.posexplode_outer("violations").alias("seq", "v"))
@@ -379,6 +416,20 @@ def violation_rollup(spark, sf_dir):
     return rollups.violation_rollup(scanned(spark, sf_dir), "source")
 
 
+def session_risk(spark, sf_dir):
+    """The risk that each conversation has gathered by each of its turns."""
+    turns = conversations_as_messages(table(spark, sf_dir, "conversations"))
+    turns = turns.withColumn("turn", F.element_at(F.split("msg_id", "-"), -1).cast("int"))
+    found = sc.scan_wide(turns, lexicon=stored_lexicon(spark, sf_dir))
+    return sessions.running_risk(found, "turn").drop("session_id")
+
+
+def session_gaps(spark, sf_dir):
+    """Messages of the event log by senders, six quiet hours apart."""
+    found = sc.scan(event_messages(table(spark, sf_dir, "events")))
+    return sessions.gap_sessions(found, "session_id", "ts", "6 hours")
+
+
 # --- whole jobs -------------------------------------------------------------
 def scan(spark, sf_dir):
     responses = sc.scan(messages(spark, sf_dir), lexicon=stored_lexicon(spark, sf_dir))
@@ -523,6 +574,8 @@ QUERIES = {
     "pii_redact_fallback": pii_redact_fallback,
     "pii_entity_dedup": pii_entity_dedup,
     "pii_entities": pii_entities,
+    "pii_gazetteer": pii_gazetteer,
+    "restore": restore,
     "anonymize": anonymize,
     "anonymize_strict": anonymize_strict,
     "sec_api_key_assign": _secret(0),
@@ -553,6 +606,9 @@ QUERIES = {
     "scan_metrics": scan_metrics,
     "session_rollup": session_rollup,
     "violation_rollup": violation_rollup,
+    "session_risk": session_risk,
+    "session_gaps": session_gaps,
+    "threshold_curve": threshold_curve,
     "scan": scan,
     "scan_response": scan_response,
     "sink_roundtrip": sink_roundtrip,

@@ -136,6 +136,24 @@ def credential_messages(part: DataFrame) -> DataFrame:
     )
 
 
+# Messages of the event log, with the time they came; plain SQL for both engines.
+EVENT_MESSAGE_SQL = """
+concat(event_type, ' ', props, case when event_type = 'error' and event_id % 3 = 0 then concat(' password: hunter', cast(event_id as {S})) else '' end,
+ case when event_id % 5 = 0 then concat(' from u', cast(user_id as {S}), '@example.com') else '' end)
+"""
+
+
+def event_messages(events: DataFrame) -> DataFrame:
+    """As other messages, with ``ts``."""
+    return events.select(
+        F.concat(F.lit("event-"), F.col("event_id").cast("string")).alias("msg_id"),
+        F.lit("events").alias("source"),
+        F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("session_id"),
+        F.expr(EVENT_MESSAGE_SQL.format(S="string")).alias("message"),
+        F.col("ts").cast("timestamp").alias("ts"),
+    )
+
+
 def corpus(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
     """Documents, conversations and derived messages, whole tables and whole texts.
 
