@@ -1,13 +1,15 @@
 """URL filter: rules first, else a path-template tree per host. DataFrame functions only.
 
-Urls with a rule verdict are the labels. Paths become templates: segments with digits
-turn into wildcards, then, level by level, a position with many rarely repeated
-values becomes one, and sibling branches with the same subtree shapes and the same
-share of blocked urls merge. A branch without labels keeps its own name and takes the
-labels of all siblings with its subtree shapes. A template is rejected when its share
-of blocked urls, smoothed towards its parent's, and so on up to the host, is high.
-Towards the host, urls without a label count at a fixed prior, so that rules which can
-only block (or only allow) do not speak for what they don't cover.
+Urls with a rule verdict are the labels. Paths become templates: digits turn into
+wildcards, then, from one branching to the next, a position whose values keep being
+new becomes one, and sibling branches with the same subtree shapes and the same share
+of blocked urls merge. Segments that all paths below a node share are passed over at
+once, so the rounds are as many as the branchings along a path, however deep it is.
+A branch without labels keeps its own name and takes the labels of all siblings with
+its subtree shapes. A template is rejected when its share of blocked urls, smoothed
+towards its parent's, and so on up to the host, is high. Towards the host, urls without
+a label count at a fixed prior, so that rules which can only block (or only allow) do
+not speak for what they don't cover.
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ from .common import ascii_lower, stored
 class Tree:
     """Settings of the template tree."""
 
-    levels: int = 3  # segments kept apart; deeper ones form one wildcard tail
-    many_children: int = 20  # a position with more values than this ...
-    rows_per_child: int = 5  # ... and fewer rows for each becomes a wildcard
+    # A position becomes a wildcard where so large a share of its rows have a value of their own: the chance that
+    # the next row brings a new one. It keeps to that share however many rows come, and falls to none for a fixed
+    # set of values. A few rows prove nothing, so some count as if they had no value of their own.
+    open_share: float = 0.2
+    doubt_rows: float = 20.0
     purity_steps: int = 5  # branches merge if their blocked shares fall into the same of so many steps
     node_weight: float = 4.0  # rows at which a node's own labels weigh as much as its parent's share
     prior: float = 0.25  # blocked share of what no label speaks for
@@ -62,51 +66,63 @@ def templates(paths: DataFrame, tree: Tree) -> DataFrame:
 
     ``share`` comes in as the host's share of blocked urls and goes out as that of the last node of the template.
     """
-    seg = lambda k: F.coalesce(F.get("segs", F.lit(k)), F.lit(""))
-    nodes = paths.withColumn("segs", F.split(F.regexp_replace("shape", "^/", ""), "/"))
-    nodes = nodes.select(
-        "host", "shape", "n", "labelled", "blocked", "share",
-        *(seg(k).alias(f"s{k}") for k in range(tree.levels)),
-        F.when(F.size("segs") > tree.levels, F.lit("/**")).otherwise(F.lit("")).alias("tail"),
-        F.lit("").alias("prefix"),
-    )
-    for k in range(tree.levels):
-        rest = F.concat_ws("/", *(f"s{i}" for i in range(k + 1, tree.levels)), "tail")
-        branches = nodes.groupBy("host", "prefix", f"s{k}").agg(
+    columns = ["host", "shape", "n", "labelled", "blocked", "share"]
+    joined = lambda segments: F.expr(f"array_join(transform({segments}, s -> concat('/', s)), '')")
+    open_nodes = paths.select(*columns, F.split(F.regexp_replace("shape", "^/", ""), "/").alias("rest"), F.lit("").alias("prefix"))
+    settled = []
+    while True:
+        # The least and the greatest path below a node tell how far all of them agree.
+        groups = open_nodes.groupBy("host", "prefix").agg(F.min("rest").alias("lo"), F.max("rest").alias("hi"))
+        nodes = open_nodes.join(groups, ["host", "prefix"]).withColumn("alone", F.col("lo") == F.col("hi"))
+        agree = F.expr("cast(array_position(zip_with(lo, hi, (a, b) -> a <=> b), false) as int) - 1").alias("agree")
+        nodes = stored(nodes.select(*columns, "rest", "prefix", "alone", agree), f"url-nodes{len(settled)}")
+        settled.append(nodes.where("alone").select(*columns, F.concat("prefix", joined("rest")).alias("template")))
+        nodes = nodes.where("not alone")
+        if nodes.isEmpty():
+            break
+        # Branch '' holds the path that ends here; it neither merges nor becomes a wildcard.
+        nodes = nodes.select(
+            *columns,
+            F.concat("prefix", joined("slice(rest, 1, agree)")).alias("prefix"),
+            F.expr("case when agree < size(rest) then concat('/', rest[agree]) else '' end").alias("branch"),
+            F.expr("slice(rest, agree + 2, size(rest))").alias("rest"),
+        )
+        below = F.xxhash64("rest")
+        branches = nodes.groupBy("host", "prefix", "branch").agg(
             F.sum("n").alias("bn"),
             F.sum("labelled").alias("bl"),
             F.sum("blocked").alias("bb"),
-            F.count_distinct(rest).alias("shapes"),
-            F.min(rest).alias("least"),
-            F.max(rest).alias("most"),
+            F.count_distinct(below).alias("shapes"),
+            F.min(below).alias("least"),
+            F.max(below).alias("most"),
             F.max("share").alias("above"),  # one value a prefix
         )
         # A branch's likeness: how its subtree looks, and in which step its blocked share falls.
-        share = F.when(F.col("bl") > 0, F.floor(F.least(F.col("bb") / F.col("bl"), F.lit(0.999)) * tree.purity_steps)).otherwise(-1)
-        looks = F.concat_ws("|", "shapes", "least", "most")
-        like = F.concat_ws("|", looks, share.cast("int"))
-        branches = branches.select(
-            "host", "prefix", F.col(f"s{k}").alias("branch"), "bn", "bl", "bb", "above", looks.alias("looks"), like.alias("like")
-        )
+        step = F.when(F.col("bl") > 0, F.floor(F.least(F.col("bb") / F.col("bl"), F.lit(0.999)) * tree.purity_steps)).otherwise(-1)
+        looks = F.concat_ws("|", F.col("branch") == "", "shapes", "least", "most")
+        like = F.concat_ws("|", looks, step.cast("int"))
+        branches = branches.select("host", "prefix", "branch", "bn", "bl", "bb", "above", looks.alias("looks"), like.alias("like"))
         labels = lambda of: (F.sum("bl").alias(f"{of}_l"), F.sum("bb").alias(f"{of}_b"))
-        sizes = branches.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("children"), F.sum("bn").alias("rows"), *labels("all"))
+        own_value = F.sum(F.when((F.col("bn") == 1) & (F.col("branch") != ""), 1).otherwise(0)).alias("own_value")
+        sizes = branches.groupBy("host", "prefix").agg(own_value, F.sum("bn").alias("rows"), *labels("all"))
         merged = branches.groupBy("host", "prefix", "like").agg(
             F.min("branch").alias("name"), F.count(F.lit(1)).alias("alike"), *labels("own")
         )
         kin = branches.groupBy("host", "prefix", "looks").agg(*labels("kin"))
         named = branches.drop("bl", "bb").join(merged, ["host", "prefix", "like"]).join(kin, ["host", "prefix", "looks"])
         named = named.join(sizes, ["host", "prefix"])
-        wild = (F.col("children") > tree.many_children) & (F.col("rows") < F.col("children") * tree.rows_per_child)
-        name = F.when(wild, F.lit("*")).when(F.col("alike") > 1, F.concat("name", F.lit("+"))).otherwise(F.col("branch"))
+        wild = (F.col("own_value") >= tree.open_share * (F.col("rows") + tree.doubt_rows)) & (F.col("branch") != "")
+        name = F.when(wild, F.lit("/*")).when(F.col("alike") > 1, F.concat("name", F.lit("+"))).otherwise(F.col("branch"))
         # The labels of the node: its own, or else those of all siblings that look like it.
         spoken = lambda x: F.when(wild, F.col(f"all_{x}")).when(F.col("own_l") > 0, F.col(f"own_{x}")).otherwise(F.col(f"kin_{x}"))
-        below = smoothed(spoken("b"), spoken("l"), F.col("above"), tree.node_weight)
-        named = named.select("host", "prefix", F.col("branch").alias(f"s{k}"), name.alias("to"), below.alias("share"))
-        named = stored(named, f"url-level{k}")
-        nodes = nodes.drop("share").join(named, ["host", "prefix", f"s{k}"])
-        nodes = nodes.withColumn("prefix", F.concat("prefix", F.lit("/"), "to")).drop("to")
-        nodes = stored(nodes, f"url-nodes{k}")
-    return nodes.select("host", "shape", "n", "labelled", "blocked", "share", F.concat("prefix", "tail").alias("template"))
+        share = smoothed(spoken("b"), spoken("l"), F.col("above"), tree.node_weight)
+        named = named.select("host", "prefix", "branch", name.alias("to"), share.alias("share"))
+        moved = nodes.drop("share").join(named, ["host", "prefix", "branch"])
+        open_nodes = stored(moved.select(*columns, "rest", F.concat("prefix", "to").alias("prefix")), f"url-moved{len(settled)}")
+    found = settled[0]
+    for more in settled[1:]:
+        found = found.unionByName(more)
+    return found
 
 
 def judge_urls(
