@@ -3,7 +3,9 @@
 An archive starts with a skippable frame that holds a dictionary built from its own
 records; each record is then one Zstandard frame, so a record can be read alone.
 Files get names that no other attempt of a task uses; the table of written archives
-is stored by Spark, so files of failed attempts are never listed or read.
+is stored by Spark, so files of failed attempts are never listed or read, and
+``remove_unlisted`` deletes them. Record ids are derived from where a row lies in its
+table, so that rows without an id and rows that repeat one have ids of their own.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import shared_dir
-from .common import stored, text_or_empty
+from .common import stored, text_or_empty, with_place
 
 # Fixed values of the formats.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -38,22 +40,23 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_uri(key: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'page:{key}')}>"
+def record_uri(file: str, row: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{file}#{row}')}>"
 
 
 def header_value(text: str | None) -> str:
     return (text or "").replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if text and ("\r" in text or "\n" in text) else text or ""
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str) -> bytes:
-    """One WARC/1.1 record: a response with its payload, or a revisit with the response's HTTP header only."""
+def record(uri: str, page_id: int | None, url: str | None, payload: bytes, refers_to: tuple[int, str] | None, date: str) -> bytes:
+    """One WARC/1.1 record: a response with its payload, or a revisit of ``refers_to`` (page, record id) with the HTTP header only."""
+    revisit = refers_to is not None
     http = f"{HTTP_OK}\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {record_uri(page_id)}",
+        f"WARC-Record-ID: {uri}",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {header_value(url)}",
         f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}",
@@ -63,7 +66,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     if page_id is not None:
         head.append(f"X-Page-Key: {page_id}")
     if revisit:
-        head += [f"WARC-Profile: {IDENTICAL}", f"WARC-Refers-To: {record_uri(refers_to)}", f"X-Refers-To-Key: {refers_to}"]
+        head += [f"WARC-Profile: {IDENTICAL}", f"WARC-Refers-To: {refers_to[1]}", f"X-Refers-To-Key: {refers_to[0]}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -128,6 +131,7 @@ def write_archives(
     min_revisit_bytes: int = 0,
     level: int = 3,
     date: str = "1970-01-01T00:00:00Z",
+    raw_bytes: int = RAW_BYTES,
 ) -> DataFrame:
     """Write all rows as records; the stored table ``archive, records, bytes`` of what was written.
 
@@ -140,16 +144,18 @@ def write_archives(
     The shuffle is by payload digest; copies meet one row with the largest id, so
     Spark can split a hot payload.
     """
-    rows = pages.select(
-        F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), text_or_empty(F.col(html_col)).cast("binary").alias("payload")
+    rows = with_place(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")), "warc-pages").select(
+        F.col("id").cast("long").alias("id"), F.col("url").cast("string").alias("url"), text_or_empty(F.col("html")).cast("binary").alias("payload"), "at"
     )
     rows = rows.withColumn("key", F.unhex(F.sha2("payload", 256)))
     large = rows.where(F.length("payload") >= min_revisit_bytes)
-    several = large.groupBy("key").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    several = large.groupBy("key").agg(F.max(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     several = stored(several.drop("n"), "warc-copies")
+    revisits = "first.id is not null and not (id <=> first.id)"
     marked = rows.join(several, "key", "left").select(
-        "id", "url", "payload", "first", F.expr("first is not null and not (id <=> first)").alias("revisit")
+        "id", "url", "payload", "at.file", "at.row", F.expr(f"case when {revisits} then first.id end").alias("first"), "first.at.file", "first.at.row"
     )
+    marked = marked.toDF("id", "url", "payload", "file", "row", "first", "first_file", "first_row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, folder = place(directory)
@@ -158,7 +164,7 @@ def write_archives(
         def flush():
             name = f"{folder}/{uuid.uuid4().hex}.warc.zst"
             written = 0
-            with system.open_output_stream(name) as out:
+            with system.open_output_stream(name, compression=None) as out:
                 for part in archive_of(held, level):
                     out.write(part)
                     written += len(part)
@@ -166,10 +172,11 @@ def write_archives(
             held.clear()
 
         for batch in batches:
-            for page_id, url, payload, first, revisit in zip(*(c.to_pylist() for c in batch.columns)):
-                held.append(record(page_id, url, payload, first, revisit, date))
+            for page_id, url, payload, file, row, first, first_file, first_row in zip(*(c.to_pylist() for c in batch.columns)):
+                response = None if first is None else (first, record_uri(first_file, first_row))
+                held.append(record(record_uri(file, row), page_id, url, payload, response, date))
                 size += len(held[-1])
-                if size >= RAW_BYTES:
+                if size >= raw_bytes:
                     flush()
                     size = 0
         if held:
@@ -183,15 +190,19 @@ def write_archives(
     return stored(marked.mapInArrow(run, "archive string, records long, bytes long"), "warc-listing")
 
 
-def read_archives(listing: DataFrame, directory: str) -> DataFrame:
-    """Every record of the listed archives, checked: responses against their digest, lengths against their headers."""
+def read_archives(listing: DataFrame, directory: str, bytes_per_task: int = 32 << 20) -> DataFrame:
+    """Every record of the listed archives, checked: responses against their digest, lengths against their headers.
+
+    Archives are dealt out by range into tasks of about ``bytes_per_task``, though into
+    as many as there are cores where there are archives enough.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, _ = place(directory)
         for batch in batches:
             for name, count in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows = []
-                with system.open_input_stream(name) as stream:
+                with system.open_input_stream(name, compression=None) as stream:
                     for data in records_of(stream):
                         fields, http, payload = parsed(data)
                         size = int(http.rsplit(b"Content-Length: ", 1)[1])
@@ -210,12 +221,44 @@ def read_archives(listing: DataFrame, directory: str) -> DataFrame:
                     ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
                 )
 
-    # The listing is tiny and its archives are not: a given number of tasks, which Spark does not merge.
-    spread = listing.select("archive", "records").repartition(max(1, listing.count()), "archive")
+    total = listing.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    cores = listing.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(total.n, max(cores, -(-total.bytes // bytes_per_task))))
+    # A given number of tasks, which Spark does not merge.
+    spread = listing.select("archive", "records").repartitionByRange(tasks, "archive")
     return spread.mapInArrow(
         run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     )
 
 
+def remove_unlisted(directory: str, *listings: DataFrame) -> int:
+    """Delete archives of the folder that none of the listings names, left by failed attempts; returns their number.
+
+    Not while somebody writes there: unfinished archives aren't listed either. Files
+    are found, compared and deleted by Spark, by their names alone.
+    """
+    listed = listings[0].select("archive")
+    for more in listings[1:]:
+        listed = listed.unionByName(more.select("archive"))
+    name = lambda path: F.element_at(F.split(path, "/"), -1)
+    reader = listed.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst")
+    found = reader.load(directory).select(name("path").alias("name"))
+    orphans = found.join(listed.select(name("archive").alias("name")), "name", "left_anti")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, folder = place(directory)
+        for batch in batches:
+            gone = 0
+            for file in batch.column(0).to_pylist():
+                try:
+                    system.delete_file(f"{folder}/{file}")
+                    gone += 1
+                except FileNotFoundError:  # another attempt of this task was there first
+                    pass
+            yield pa.RecordBatch.from_arrays([pa.array([gone], pa.int64())], ["gone"])
+
+    return orphans.mapInArrow(run, "gone long").agg(F.coalesce(F.sum("gone"), F.lit(0)).alias("gone")).first().gone
+
+
 def archive_folder(spark) -> str:
     return shared_dir(spark, "warc")

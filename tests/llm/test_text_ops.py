@@ -266,6 +266,41 @@ def test_warc_round_trip(spark, tmp_path):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert warc.read_archives(warc.write_archives(pages.limit(0), str(tmp_path)), str(tmp_path)).count() == 0
 
+    # Record ids are unique, and every revisit names the record of a response with its payload.
+    heads = []
+    for (name,) in listing.select("archive").collect():
+        with open(name, "rb") as file:
+            heads += [warc.parsed(data)[0] for data in warc.records_of(file)]
+    ids = {h["WARC-Record-ID"]: h for h in heads}
+    assert len(ids) == len(heads) == len(rows)
+    for h in heads:
+        if h["WARC-Type"] == "revisit":
+            response = ids[h["WARC-Refers-To"]]
+            assert response["WARC-Type"] == "response" and response["X-Page-Key"] == h["X-Refers-To-Key"]
+            assert response["WARC-Payload-Digest"] == h["WARC-Payload-Digest"]
+
+
+def test_many_small_archives_are_read_by_bytes(spark, tmp_path):
+    pages = spark.range(4000).selectExpr("id as page_id", "concat('http://x/', id) as url", "repeat(cast(id as string), 20) as html").repartition(4)
+    listing = warc.write_archives(pages, str(tmp_path), raw_bytes=4000)
+    n, size = listing.agg(F.count("archive"), F.sum("bytes")).first()
+    assert n > 300
+    for per_task in (size, size // 20, 1):
+        found = warc.read_archives(listing, str(tmp_path), bytes_per_task=per_task)
+        # ranges are chosen from a sample, so that a few may fall together
+        assert found.rdd.getNumPartitions() == pytest.approx({size: 8, size // 20: 20, 1: n}[per_task], rel=0.3)
+    assert warc.read_archives(listing, str(tmp_path), bytes_per_task=size // 20).agg(F.count_distinct("page_id")).first()[0] == 4000
+
+
+def test_files_of_failed_attempts_are_removed(spark, tmp_path):
+    pages = spark.range(50).selectExpr("id as page_id", "'u' as url", "'x' as html")
+    first, second = warc.write_archives(pages, str(tmp_path)), warc.write_archives(pages, str(tmp_path))
+    (tmp_path / "left-behind.warc.zst").write_bytes(b"half an archive")
+    (tmp_path / "notes.txt").write_text("not ours")
+    assert warc.remove_unlisted(str(tmp_path), first, second) == 1
+    assert warc.read_archives(first, str(tmp_path)).count() == warc.read_archives(second, str(tmp_path)).count() == 50
+    assert (tmp_path / "notes.txt").exists() and warc.remove_unlisted(str(tmp_path), first) == second.count()
+
 
 @pytest.fixture(scope="module")
 def sampler():
