@@ -11,6 +11,7 @@ patterns, and Spark gives every piece its place by its rank within its length.
 from __future__ import annotations
 
 import base64
+import logging
 import struct
 import zlib
 from bisect import bisect_left, bisect_right, insort
@@ -25,6 +26,8 @@ from tokenizers import Tokenizer
 
 from .common import stored
 
+log = logging.getLogger(__name__)
+
 # How the tokenizer itself splits a text before its merges (a fixed value of the vocabulary).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BUCKETS = 4096  # parts of a length in which pieces are ranked, so that a length shared by many splits
@@ -162,9 +165,15 @@ def least_sequences(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def complete(counts: dict[int, int], capacity: int, width: int = 3, nodes: int = 1500) -> list[tuple[tuple[int, ...], int]]:
-    """Bin completion, branch and bound, within a number of nodes for improving on the incumbent."""
+def complete(counts: dict[int, int], capacity: int, width: int = 3, nodes: int | None = None) -> list[tuple[tuple[int, ...], int]]:
+    """Bin completion, branch and bound, within a number of nodes for improving on the incumbent.
+
+    A node uses up one length or more, so a descent takes as many nodes as there are
+    lengths at most; by default there are nodes for four descents. The log tells the
+    sequences, the lower bound and whether the search or best fit gave the result.
+    """
     counts = {k: v for k, v in counts.items() if v}
+    nodes = max(1500, 4 * len(counts)) if nodes is None else nodes
     incumbent = best_fit(counts, capacity)
     least = least_sequences(counts, capacity)
     best = [sum(n for _, n in incumbent), incumbent]
@@ -201,6 +210,8 @@ def complete(counts: dict[int, int], capacity: int, width: int = 3, nodes: int =
             if more_at_least <= spare():
                 nexts.append((after, (plan, pattern, n), more))
         stack.extend(reversed(nexts))
+    winner = "best fit" if best[1] is incumbent else "bin completion"
+    log.info("%d sequences by %s, lower bound %d, best fit %d", best[0], winner, least, sum(n for _, n in incumbent))
     return best[1]
 
 

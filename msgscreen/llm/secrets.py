@@ -21,8 +21,11 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"  # the same matches as [0-9a-f]+ of 32 or more: both take whole runs
 ASSIGN_VALUE, ACCESS_LENGTH = 8, 16
 KINDS = ("assign", "access", "hex", "opaque")  # in the order in which equal starts are listed
-# Ours: a run of 20 or more token characters; digits and both cases are asked for afterwards.
+# Ours: a run of 20 or more token characters. It is opaque with digits and letters of both cases, or, of one case only,
+# if it has no signs, three digits and ten different characters: upper-case hex, lower-case base 36.
 OPAQUE = r"[A-Za-z0-9+/_-]{20,}"
+ONE_CASE = r"^(?:[a-z0-9]+|[A-Z0-9]+)$"
+ONE_CASE_DIGITS, ONE_CASE_KINDS = 3, 10
 PIECE = "struct<rank:int,pos:int,gap:int,len:int,hash:binary>"
 SPAN = "struct<start:int,rank:int,end:int>"
 
@@ -57,7 +60,8 @@ def scan_secrets(
     """Per row ``id, base, added`` (sorted arrays of SPAN), ``n_example, n_live`` of its values, and the columns ``keep``.
 
     A value is an example when ``example_owners`` owners or ``example_repos``
-    repositories (named within their owner) hold it, else live. Null texts are
+    repositories (named within their owner) hold it, else live. Where one column stands
+    for both, as by default, the two counts are one and the first limit decides. Null texts are
     empty; null repositories and owners count as one unnamed one; null and repeated
     ids are kept as they are. Of the other columns only ``keep`` are read, inside
     one struct, so no name can clash. An empty table gives an empty result.
@@ -72,12 +76,17 @@ def scan_secrets(
         F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"),
         F.struct(*(F.col(c) for c in keep) if keep else [F.lit(0).alias("_")]).alias("kept"),
     )
-    mixed = "rlike(x.v, '[0-9]') and rlike(x.v, '[a-z]') and rlike(x.v, '[A-Z]')"
+    both_cases = "rlike(x.v, '[a-z]') and rlike(x.v, '[A-Z]')"
+    one_case = (
+        f"rlike(x.v, '{ONE_CASE}') and length(regexp_replace(x.v, '[^0-9]', '')) between {ONE_CASE_DIGITS} and length(x.v) - 1"
+        f" and size(array_distinct(split(x.v, ''))) >= {ONE_CASE_KINDS}"
+    )
+    opaque = f"rlike(x.v, '[0-9]') and (({both_cases}) or ({one_case}))"
     found = [
         pieces("text", ASSIGN, 0, 1, f"length(x.v) >= {ASSIGN_VALUE}"),
         pieces("text", ACCESS, 1, 0, f"length(x.v) >= {ACCESS_LENGTH}"),
         pieces("text", HEX, 2, 0, "true"),
-        pieces("text", OPAQUE, 3, 0, mixed),
+        pieces("text", OPAQUE, 3, 0, opaque),
     ]
     scanned = texts.select("id", "repo", "owner", "kept", F.expr(f"concat({', '.join(found)})").alias("pieces"))
     scanned = stored(scanned.withColumn("row_id", F.monotonically_increasing_id()), "secrets-scanned")

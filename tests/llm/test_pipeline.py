@@ -14,6 +14,12 @@ from msgscreen.llm import quality
 OPAQUE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 
 
+def opaque(token):
+    both = all(re.search(c, token) for c in ("[0-9]", "[a-z]", "[A-Z]"))
+    one = re.fullmatch("[a-z0-9]+|[A-Z0-9]+", token) and 3 <= sum(c.isdigit() for c in token) < len(token) and len(set(token)) >= 10
+    return bool(both or one)
+
+
 def named(row):
     return (row.doc_id is None, row.doc_id or 0)
 
@@ -34,7 +40,7 @@ def masked_by_hand(rows):
     for r in rows:
         text = r.text or ""
         base = [(m.start(), m.end(), m[m.lastindex or 0]) for _, p, ok in PATTERNS for m in p.finditer(text) if ok(m)]
-        own = [(m.start(), m.end(), m[0]) for m in OPAQUE.finditer(text) if all(re.search(c, m[0]) for c in ("[0-9]", "[a-z]", "[A-Z]"))]
+        own = [(m.start(), m.end(), m[0]) for m in OPAQUE.finditer(text) if opaque(m[0])]
         own = [o for o in own if not any(b[0] < o[1] and o[0] < b[1] for b in base)]
         spans.append((base, own))
         for *_, value in base + own:
