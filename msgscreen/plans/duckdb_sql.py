@@ -591,6 +591,17 @@ from (select msg_id, unnest(list_prepend(source, types)) as type from wide)
  case when len(types) = 0 then {q(fv.RISK_SAFE)} end as risk_level from wide""",
     "scan_metrics": f"select {metric_list()} from wide",
     "session_rollup": f"select source, session_id, {metric_list()} from wide group by source, session_id",
+    "metric_sketches": """
+select source, count(*) as n_messages, cast(sum(case when allowed then 0 else 1 end) as bigint) as n_blocked,
+ count(distinct message) as distinct_texts, count(distinct session_id) as distinct_sessions,
+ true as texts_within, true as sessions_within, true as p50_within, true as p95_within
+from wide group by source
+""",
+    "requeue": """
+select msg_id, cast(0 as int) as attempts, allowed, anonymized_prompt from wide_plug where pii_error is null
+union all
+select b.msg_id, cast(1 as int), b.allowed, b.anonymized_prompt from wide_bare b join wide_plug p using (msg_id) where p.pii_error is not null
+""",
     "session_risk": f"""
 select msg_id, turn, turn_risk, max(turn_risk) over so_far as running_max, cast(sum(b) over so_far as bigint) as blocked_so_far,
  streak, streak >= 2 or sum(b) over so_far >= 3 as escalated from (

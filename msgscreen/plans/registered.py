@@ -13,8 +13,9 @@ from ..functions import fixed_values as fv
 from ..functions import text as tx
 from ..operators import anonymize as an
 from ..operators import handoff as ho
-from ..operators import calibration, gazetteer, pii, rollups, routing, scores, secret_rules, secrets, sessions, spans
+from ..operators import calibration, gazetteer, pii, rollups, routing, scores, secret_rules, secrets, sessions, sketches, spans
 from ..operators import restore as rs
+from ..operators import requeue as rq
 from ..operators import toxicity_ml as ml
 from ..operators.reuse import VerdictStore, scan_reusing
 from ..sources.messages import (
@@ -26,6 +27,7 @@ from ..sources.messages import (
     event_messages,
     table,
 )
+from ..sources.ledger import BatchLedger
 from ..sources.storage import shared_dir, write_responses
 from ..streaming.stream import start_scan, stream_files
 from . import scan as sc
@@ -408,6 +410,38 @@ def scan_metrics(spark, sf_dir):
     return rollups.scan_metrics(scanned(spark, sf_dir))
 
 
+def metric_sketches(spark, sf_dir):
+    """Exact counts per source, and whether figures merged from three stored batches are within their stated errors."""
+    path = shared_dir(spark, "scanned")
+    rows = sc.scan(messages(spark, sf_dir), lexicon=stored_lexicon(spark, sf_dir))
+    rows.select("msg_id", "source", "session_id", "original_prompt", "token_count", "allowed").write.parquet(path)
+    rows = spark.read.parquet(path)
+    stored = shared_dir(spark, "sketches")
+    for batch in range(3):
+        part = rows.where(F.pmod(F.xxhash64("msg_id"), F.lit(3)) == batch)
+        sketches.batch_sketches(part, "source").write.mode("append").parquet(stored)
+    found = sketches.figures(sketches.merged(spark.read.parquet(stored), "source"), "source")
+    found = found.withColumnRenamed("source", "by").drop("n_messages", "n_blocked")
+    joined = rows.join(F.broadcast(found), rows["source"].eqNullSafe(found["by"]))  # a row a source
+    near = lambda estimate, exact: F.abs(estimate - exact) <= sketches.DISTINCT_ERROR * exact + 1
+
+    def rank_near(column, share):
+        n, e = F.count(F.lit(1)), sketches.RANK_ERROR
+        return (F.count_if(F.col("token_count") < F.col(column)) <= (share + e) * n) & (F.count_if(F.col("token_count") <= F.col(column)) >= (share - e) * n)
+
+    texts, talks = F.count_distinct("original_prompt"), F.count_distinct("session_id")
+    return joined.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_messages"),
+        F.count_if(~F.col("allowed")).alias("n_blocked"),
+        texts.alias("distinct_texts"),
+        talks.alias("distinct_sessions"),
+        near(F.first("distinct_texts"), texts).alias("texts_within"),
+        near(F.first("distinct_sessions"), talks).alias("sessions_within"),
+        rank_near("tokens_p50", 0.5).alias("p50_within"),
+        rank_near("tokens_p95", 0.95).alias("p95_within"),
+    )
+
+
 def session_rollup(spark, sf_dir):
     return rollups.session_rollup(scanned(spark, sf_dir), "source", "session_id")
 
@@ -502,6 +536,21 @@ def quarantine(spark, sf_dir):
     )
 
 
+def requeue(spark, sf_dir):
+    """Rows on which the caller's recogniser failed, scanned again without it; each batch counts once in its ledger."""
+    ledger = BatchLedger(spark, shared_dir(spark, "ledger"))
+    first = sc.scan(messages(spark, sf_dir).select("msg_id", "message"), span_model=_ip_model()).withColumn("attempts", F.lit(0))
+    path = shared_dir(spark, "first-scan")
+    first.write.parquet(path)
+    first = spark.read.parquet(path)
+    columns = ["msg_id", "attempts", "allowed", "anonymized_prompt", "pii_scanner_error"]
+    ledger.write("first", rq.settled(first).select(columns))
+    again = rq.rescan(rq.to_requeue(first, ("msg_id",)), sc.scan)
+    for _ in range(2):  # the second time changes nothing
+        ledger.write("again", rq.settled(again).select(columns))
+    return ledger.read(rq.settled(first).select(columns).schema).drop("pii_scanner_error")
+
+
 def plugin_redaction(spark, sf_dir):
     """Redaction with the caller's recogniser ahead of the supplement."""
     responses = sc.scan(messages(spark, sf_dir), span_model=_ip_model())
@@ -606,6 +655,8 @@ QUERIES = {
     "scan_metrics": scan_metrics,
     "session_rollup": session_rollup,
     "violation_rollup": violation_rollup,
+    "metric_sketches": metric_sketches,
+    "requeue": requeue,
     "session_risk": session_risk,
     "session_gaps": session_gaps,
     "threshold_curve": threshold_curve,
