@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import quoted
 from ..functions.wordset import ChecksumFilter
+from ..sources.storage import shared_dir
 
 WORD = r"[\p{L}\p{N}]+"
 BLANK = r"^\s+$"
@@ -58,8 +59,8 @@ def find_phrases(df: DataFrame, known: DataFrame, key: str = "msg_id", text: str
     """
     longest = known.agg(F.max("n")).first()[0] or 0
     may_hold = ChecksumFilter.of_column(known, "words").may_hold
-    cut = df.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_text"))
-    cut = cut.withColumns({"_words": F.expr(all_words("_text")), "_gaps": F.expr(all_gaps("_text"))})
+    texts = df.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_text"))
+    cut = texts.withColumns({"_words": F.expr(all_words("_text")), "_gaps": F.expr(all_gaps("_text"))})
     # The gap before word i is _gaps[i]; a run goes on where that is blank.
     ready = cut.where("size(_words) > 0").select(
         key, F.expr("transform(_words, w -> lower(w)) as _low"), F.expr(f"transform(_gaps, g -> rlike(g, {quoted(BLANK)})) as _tied")
@@ -74,7 +75,11 @@ def find_phrases(df: DataFrame, known: DataFrame, key: str = "msg_id", text: str
     hits = candidates.join(known.select("words", "type"), "words").select(key, F.struct("i", (-F.col("n")).alias("less"), "type").alias("h"))
     by_text = hits.groupBy(key).agg(F.collect_list("h").alias("hits")).select(key, F.expr(first_and_longest("hits")).alias("hits"))
     # Places in code points: between two hits only the words and gaps that lie there are measured.
-    found = by_text.join(cut, key)
+    # Hits are few beside texts: stored, their size lets the join leave the texts where they are. Texts are cut after it.
+    path = shared_dir(df.sparkSession, "phrase-hits")
+    by_text.write.parquet(path)
+    found = texts.join(df.sparkSession.read.schema(by_text.schema).parquet(path), key)
+    found = found.withColumns({"_words": F.expr(all_words("_text")), "_gaps": F.expr(all_gaps("_text"))})
     passed_by = lambda frm, to: f"length(array_join(slice(_words, {frm} + 1, {to} - {frm}), '')) + length(array_join(slice(_gaps, {frm} + 1, {to} - {frm}), ''))"
     spans = f"""aggregate(hits, named_struct('word', 0, 'at', 0, 'out', cast(array() as array<struct<start:int,end:int,type:string>>)),
       (s, x) -> named_struct('word', x.i, 'at', s.at + {passed_by('s.word', 'x.i')}, 'out', concat(s.out, array(named_struct(

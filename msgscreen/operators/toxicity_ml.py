@@ -66,16 +66,20 @@ def word_evidence(rows: DataFrame, min_docs: int, min_evidence: float) -> DataFr
     return counts.select("word", evidence.alias("evidence")).where(F.col("evidence") >= min_evidence)
 
 
-def train_bayes(documents: DataFrame, labels: DataFrame, min_docs: int = 5, min_evidence: float = 3.0, vocabulary: int = 1 << 16) -> PipelineModel:
+def train_bayes(
+    documents: DataFrame, labels: DataFrame, min_docs: int = 5, min_evidence: float = 3.0, vocabulary: int = 1 << 16, max_train_rows: int = 50_000
+) -> PipelineModel:
     """Naive Bayes on which words of the vocabulary a text holds.
 
     The vocabulary are the words of ``min_docs`` labelled documents or more that tell
     the classes apart by ``min_evidence`` standard deviations; the driver gets these, the
-    ``vocabulary`` strongest at most, and two weights for each. Documents without a
-    text or a label take no part. Without any such word the score is the share of class 1.
+    ``vocabulary`` strongest at most, and two weights for each. At most
+    ``max_train_rows`` labels, a hash sample of all, are broadcast, so no text is
+    shuffled. Documents without a text or a label take no part. Without any such word the score is the share of class 1.
     """
     labelled = labels.where("toxic is not null").select("doc_id", F.col("toxic").cast("double").alias("label"))
-    rows = documents.where("text is not null").join(labelled, "doc_id").select("text", "label")
+    chosen = F.broadcast(labelled.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_train_rows))
+    rows = documents.where("text is not null").join(chosen, "doc_id").select("text", "label")
     strongest = word_evidence(rows, min_docs, min_evidence).orderBy(F.desc("evidence"), "word").limit(vocabulary)
     known = [r.word for r in strongest.collect()] or ["\x00"]
     words, features, raw, p, chosen = MODEL_COLUMNS
