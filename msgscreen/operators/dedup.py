@@ -23,6 +23,7 @@ def per_distinct_text(
     text_col: str = "message",
     id_col: str = "msg_id",
     rows_per_salt: int = 500_000,
+    stored_results: bool = False,
 ) -> DataFrame:
     """Apply ``work`` to the distinct texts and join its columns back to all rows.
 
@@ -32,7 +33,8 @@ def per_distinct_text(
     the first shuffle, which also serves to find the hot texts. A hot text is
     spread over as many join keys as it has ``rows_per_salt`` copies, with its one
     result repeated for each. The small table of hot texts meets the rows by an
-    ordinary join, whose hot side Spark can split.
+    ordinary join, whose hot side Spark can split. Where ``work`` stores its results
+    (``stored_results``) the hot texts are read from there, and no text is shuffled again.
     """
     keyed = df.withColumn("_key", text_key(F.col(text_col)))
     distinct = keyed.groupBy("_key", text_col).agg(F.count(F.lit(1)).alias("_copies"))
@@ -43,9 +45,9 @@ def per_distinct_text(
         .otherwise(F.lit(1))
         .alias("_salts"),
     )
-    hot = salted.where(F.col("_salts") > 1).select(F.col("_key").alias("_hot_key"), F.col("_salts").alias("_hot_salts"))
-
     results = work(salted)
+    sized = results if stored_results else salted
+    hot = sized.where(F.col("_salts") > 1).select(F.col("_key").alias("_hot_key"), F.col("_salts").alias("_hot_salts"))
     one_per_salt = results.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
     rows = keyed.drop(text_col).join(hot, F.col("_key") == F.col("_hot_key"), "left")
     rows = rows.withColumn(

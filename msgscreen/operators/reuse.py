@@ -3,7 +3,8 @@
 A store is a folder of runs. Each run holds the responses of the texts it scanned
 first, with their digests, and a bitmap of those digests; a run counts from the moment
 a manifest names it, so one that stops halfway leaves nothing behind that is read.
-New texts meet the bitmaps first: those that can't be known skip the join with the
+Over-long messages are judged by their length alone and take no part. New texts meet
+the bitmaps first: those that can't be known skip the join with the
 stored verdicts. The others are known only if digest and text are equal and the
 verdict was made under the same version of rules, models and thresholds.
 """
@@ -17,7 +18,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..config import ScreenConfig
 from ..sources.storage import shared_dir
@@ -25,6 +25,7 @@ from .dedup import per_distinct_text
 
 BITS = 8 * 4096  # of one bitmap
 BROADCAST_BYTES = 16 << 20  # bitmaps beyond this size meet the texts in an ordinary join
+WHOLE = "pii_scanner_error is null and scan_error is null"  # a scan that failed is kept for its caller only
 
 
 class VerdictStore:
@@ -92,7 +93,7 @@ class VerdictStore:
         runs = self.runs()
         if not runs:
             return None
-        return self.spark.read.parquet(*(f"{self.path}/verdicts/{r}" for r in runs)).where(F.col("_version") == version)
+        return self.spark.read.parquet(*(f"{self.path}/verdicts/{r}" for r in runs)).where(F.col("_version") == version).where(WHOLE)
 
     def may_know(self, texts: DataFrame) -> DataFrame:
         """Add ``_known``: false for texts whose digest is surely not stored."""
@@ -109,14 +110,14 @@ class VerdictStore:
         return placed.join(bitmaps, "_bucket", "left").withColumn("_known", known).drop("_bucket", "_bit", "_bitmap")
 
     def add(self, responses: DataFrame, version: str) -> DataFrame:
-        """Store the responses of new texts as a run of their own and read them back."""
+        """Store the responses of new texts as a run of their own and read them back, failed ones included."""
         run = uuid.uuid4().hex
         return self._written(responses.withColumn("_version", F.lit(version)), run, lambda runs: [*runs, run])
 
     def _written(self, rows: DataFrame, run: str, change: Callable[[list[str]], list[str]]) -> DataFrame:
         rows.write.parquet(f"{self.path}/verdicts/{run}")
         stored = self.spark.read.schema(rows.schema).parquet(f"{self.path}/verdicts/{run}")
-        placed = stored.select(self._place().alias("at")).select(
+        placed = stored.where(WHOLE).select(self._place().alias("at")).select(
             F.bitmap_bucket_number("at").alias("_bucket"), F.bitmap_bit_position("at").alias("bit")
         )
         bitmaps = placed.groupBy("_bucket").agg(F.bitmap_construct_agg("bit").alias("_bitmap"))
@@ -130,7 +131,8 @@ class VerdictStore:
         if len(old) < 2:
             return
         run = uuid.uuid4().hex
-        rows = self.spark.read.parquet(*(f"{self.path}/verdicts/{r}" for r in old)).dropDuplicates(["_key", "original_prompt", "_version"])
+        rows = self.spark.read.parquet(*(f"{self.path}/verdicts/{r}" for r in old)).where(WHOLE).drop("_salts")
+        rows = rows.dropDuplicates(["_key", "original_prompt", "_version"])
         self._written(rows, run, lambda runs: [run, *(r for r in runs if r not in old)])
 
     def sweep(self) -> None:
@@ -156,37 +158,41 @@ def scan_reusing(
 ) -> DataFrame:
     """The responses of ``scan``, with every text scanned only if the store doesn't know it; new ones are stored.
 
-    Runs its jobs when it is called. Texts whose scan failed are returned but not
-    stored, so that the next run tries them again. A new version of ``models`` needs a
-    new ``models_version``.
+    Runs its jobs when it is called; the result reads the store's files and one scratch
+    table. Texts whose scan failed are returned but never reused, so that the next run
+    tries them again. A new version of ``models`` needs a new ``models_version``.
     """
-    from ..plans.scan import RESPONSE_COLUMNS, decide, detect, error_columns, gate
+    from ..plans.scan import RESPONSE_COLUMNS, decide, detect, error_columns, gate, scan, too_long
     from .routing import accepted
 
     keys = [c for c in df.columns if c != "message"]
     columns = [*RESPONSE_COLUMNS, *error_columns(models)]
     version = version_of(config, lexicon, models_version)
 
+    def looked_up(texts: DataFrame) -> DataFrame:
+        """The texts with their stored responses and ``_hit``. They lie by digest and text already, as the join asks."""
+        stored = store.verdicts(version).select(F.col("_key").alias("_stored_key"), *columns).dropDuplicates(["_stored_key", "original_prompt"])
+        same = (F.col("_key") == F.col("_stored_key")) & (F.col("message") == F.col("original_prompt"))
+        marked = store.may_know(texts)
+        met = marked.where("_known").join(stored, same, "left").withColumn("_hit", F.col("_stored_key").isNotNull())
+        other = marked.where("not _known").withColumn("_hit", F.lit(False))
+        looked = met.drop("_stored_key", "_known").unionByName(other.drop("_known"), allowMissingColumns=True)
+        # Of a hit, the response holds the text.
+        looked = looked.withColumn("message", F.expr("case when not _hit then message end"))
+        path = shared_dir(store.spark, "reuse-looked-up")
+        looked.write.parquet(path)
+        return store.spark.read.schema(looked.schema).parquet(path)
+
     def work(texts: DataFrame) -> DataFrame:
-        path = shared_dir(store.spark, "reuse-texts")
-        store.may_know(texts).write.parquet(path)
-        shape = T.StructType([*texts.schema.fields, T.StructField("_known", T.BooleanType())])
-        texts = store.spark.read.schema(shape).parquet(path)
-        possible, new = texts.where("_known").drop("_known"), texts.where("not _known").drop("_known")
-        verdicts = store.verdicts(version)
-        known = None
-        if verdicts is not None:
-            stored = verdicts.select(F.col("_key").alias("_stored_key"), *columns).dropDuplicates(["_stored_key", "original_prompt"])
-            same = (F.col("_key") == F.col("_stored_key")) & (F.col("message") == F.col("original_prompt"))
-            known = possible.join(stored, same).drop("_stored_key")
-            new = new.unionByName(possible.join(stored, same, "left_anti"))
-        fresh = decide(detect(gate(new, config), config, lexicon, **models), config).select("_key", "_salts", "message", *RESPONSE_COLUMNS, "scan_error")
-        path = shared_dir(store.spark, "reuse-fresh")
-        fresh.write.parquet(path)
-        fresh = store.spark.read.schema(fresh.schema).parquet(path)
-        whole = fresh.where("pii_scanner_error is null and scan_error is null")
-        store.add(whole.select("_key", *RESPONSE_COLUMNS, "scan_error"), version)
-        fresh = fresh.select("_key", "_salts", "message", *columns)
-        return fresh if known is None else known.select(fresh.columns).unionByName(fresh)
-
-    return per_distinct_text(accepted(df), work).select(*keys, *columns)
+        known, new = None, texts
+        if store.runs():
+            looked = looked_up(texts)
+            known, new = looked.where("_hit"), looked.where("not _hit").select("_key", "_salts", "message")
+        fresh = decide(detect(gate(new, config), config, lexicon, **models), config)
+        fresh = store.add(fresh.select("_key", "_salts", *RESPONSE_COLUMNS, "scan_error"), version)
+        results = fresh if known is None else known.select("_key", "_salts", *columns).unionByName(fresh.select("_key", "_salts", *columns))
+        return results.select("_key", "_salts", F.col("original_prompt").alias("message"), *columns)
+
+    rows, over = accepted(df), too_long(config)
+    reused = per_distinct_text(rows.where(f"not ({over})"), work, stored_results=True).select(*keys, *columns)
+    return reused.unionByName(scan(rows.where(over), config, lexicon, **models).select(*keys, *columns))

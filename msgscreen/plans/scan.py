@@ -35,15 +35,20 @@ RESPONSE_COLUMNS = (
 )
 
 
+def too_long(config: ScreenConfig, text: str = "message") -> str:
+    """Over-long messages are judged by their length alone."""
+    return f"length({text}) > {config.max_message_chars}"
+
+
 def gate(df: DataFrame, config: ScreenConfig = ScreenConfig(), text: str = "message") -> DataFrame:
     """Add ``char_count``, ``token_count``, ``too_long`` and the texts the scanners get."""
-    too_long = f"length({text}) > {config.max_message_chars}"
+    over = too_long(config, text)
     return df.select(
         *df.columns,
         F.length(text).alias("char_count"),
         token_count(F.col(text)).alias("token_count"),
-        F.expr(f"{too_long} as too_long"),
-        F.expr(f"case when not ({too_long}) then {text} end as scan_text"),
+        F.expr(f"{over} as too_long"),
+        F.expr(f"case when not ({over}) then {text} end as scan_text"),
     ).withColumn("model_text", model_input(F.col("scan_text"), config.model_input_chars))
 
 
@@ -152,7 +157,7 @@ def scan(df: DataFrame, config: ScreenConfig = ScreenConfig(), lexicon: DataFram
 
 
 def scan_distinct(df: DataFrame, config: ScreenConfig = ScreenConfig(), lexicon: DataFrame | None = None, **models) -> DataFrame:
-    """The same responses with every distinct text scanned once.
+    """The same responses with every distinct text scanned once; over-long ones, which no scanner sees, stay where they are.
 
     Costs two shuffles, so it pays for model plug-ins and heavily repeated
     traffic; the native scanners alone are cheaper than shuffling the texts.
@@ -167,8 +172,9 @@ def scan_distinct(df: DataFrame, config: ScreenConfig = ScreenConfig(), lexicon:
             "_key", "_salts", "message", *RESPONSE_COLUMNS, *extra
         )
 
-    out = per_distinct_text(routing.accepted(df), work)
-    return out.select(*keys, *RESPONSE_COLUMNS, *extra)
+    rows, over = routing.accepted(df), too_long(config)
+    out = per_distinct_text(rows.where(f"not ({over})"), work).select(*keys, *RESPONSE_COLUMNS, *extra)
+    return out.unionByName(scan(rows.where(over), config, lexicon, **models))
 
 
 def flatten(responses: DataFrame, *keys: str) -> DataFrame:

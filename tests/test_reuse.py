@@ -123,6 +123,14 @@ def test_wrong_number_of_buckets(spark, store):
         VerdictStore(spark, store.path, buckets=8)
 
 
+def test_over_long_messages_are_judged_but_not_kept(spark, store):
+    config = ScreenConfig(max_message_chars=30)
+    texts = texts_of(10) + ["x" * 31] * 5 + [f"{'word ' * 9}{i}" for i in range(5)]
+    for _ in range(2):
+        assert rows(scan_reusing(table(spark, texts), store, config)) == rows(scan(table(spark, texts), config))
+    assert [stored_in(store, r) for r in store.runs()] == [10, 0]
+
+
 def test_empty_input(spark, store):
     assert scan_reusing(table(spark, ["x"]).limit(0), store).count() == 0
 
