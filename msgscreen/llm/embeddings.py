@@ -9,10 +9,16 @@ pair right at the threshold is missed with a stated probability.
 To meet at all, a pair must collide on both lines of one of several line pairs. Each
 line pair is a grid of cells a few windows wide, sorted by Spark; a vector visits the
 neighbouring cells that its windows reach into.
+
+Collisions are counted twice. First on the projections alone, 32 bytes a vector and
+visit, to learn which vectors have a candidate in which tile; then those vectors, and
+no others, come to that tile as a whole, and their pairs are verified there. A pair
+belongs to the first grid that brings it together.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,11 +27,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import components, forest, matrix_of, stored
 
 UNIT = 16  # window half-width in quantisation steps; projections are compared as wrapped 8-bit numbers
 BLOCK = 1 << 20  # pairs looked at at once in a task
+TILE = ("width", "grid", "x", "y", "tile")
 
 
 def binomial_tail(n: int, p: float, k: int) -> float:
@@ -56,43 +64,48 @@ class Plan:
         return Plan(lines, grids, hits, window, (1 - (1 - p * p) ** grids) * binomial_tail(lines, p, hits))
 
 
-def projected(vectors: DataFrame, plan: Plan, seed: int) -> DataFrame:
-    """``node, weight, q`` (steps on the grids' lines), ``low`` (all lines, wrapped to a byte), ``v`` (unit vector, doubles).
+def projected(vectors: DataFrame, plan: Plan, seed: int, single: bool) -> DataFrame:
+    """``id, digest, width, q`` (steps on the grids' lines), ``low`` (all lines, wrapped to a byte), ``v`` (as given).
 
-    Vectors that are null, of length zero or hold null or non-finite components
-    are left out.
+    ``v`` holds 32-bit numbers if the column does (``single``), which loses nothing.
+    Rows without an id and vectors that are null, empty, zero or hold null or non-finite
+    components keep their id only. Equal vectors have equal digests (BLAKE2, 128 bits),
+    zeros of either sign being equal.
     """
+    number = np.float32 if single else np.float64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines = {}
         for batch in batches:
-            nodes, weights, raw = (batch.column(i).to_pylist() for i in range(3))
-            good = []
-            for node, weight, values in zip(nodes, weights, raw):
-                if values and None not in values:
-                    v = np.array(values, np.float64)
-                    top = np.abs(v).max()
-                    if np.isfinite(top) and top > 0:
-                        v = v / top
-                        good.append((node, weight, v / np.sqrt((v * v).sum())))
             out = []
-            for node, weight, v in good:
-                if len(v) not in lines:
-                    lines[len(v)] = np.random.default_rng([seed, len(v)]).standard_normal((len(v), plan.lines))
-                out.append((node, weight, v, np.floor(v @ lines[len(v)] * (UNIT / plan.window)).astype(np.int64)))
+            for id_, values in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                raw = np.array(values, number) + number(0) if id_ is not None and values and None not in values else np.zeros(1)
+                if not np.isfinite(raw).all() or not raw.any():
+                    out.append((id_, None, None, None, None, None))
+                    continue
+                n = len(raw)
+                if n not in lines:
+                    lines[n] = np.random.default_rng([seed, n]).standard_normal((n, plan.lines))
+                steps = np.floor(units(raw[None])[0] @ lines[n] * (UNIT / plan.window)).astype(np.int64)
+                held = raw.tobytes()
+                digest = hashlib.blake2b(held, digest_size=16).digest()
+                out.append((id_, digest, n, steps[: 2 * plan.grids].astype(np.int32), (steps & 255).astype(np.uint8).tobytes(), held))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([r[0] for r in out], pa.int64()),
-                    pa.array([r[1] for r in out], pa.int64()),
-                    pa.array([len(r[2]) for r in out], pa.int32()),
-                    pa.array([r[3][: 2 * plan.grids].astype(np.int32) for r in out], pa.list_(pa.int32())),
-                    pa.array([(r[3] & 255).astype(np.uint8).tobytes() for r in out], pa.binary()),
-                    pa.array([r[2].tobytes() for r in out], pa.binary()),
+                    pa.array([r[i] for r in out], kind)
+                    for i, kind in enumerate((pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.binary(), pa.binary()))
                 ],
-                ["node", "weight", "width", "q", "low", "v"],
+                ["id", "digest", "width", "q", "low", "v"],
             )
 
-    return vectors.mapInArrow(run, "node long, weight long, width int, q array<int>, low binary, v binary")
+    return vectors.mapInArrow(run, "id long, digest binary, width int, q array<int>, low binary, v binary")
+
+
+def units(raw: np.ndarray) -> np.ndarray:
+    """Rows as unit vectors in doubles; scaled by their largest component first, so that no square overflows."""
+    v = raw.astype(np.float64)
+    v /= np.abs(v).max(axis=1, keepdims=True)
+    return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
 def placed(points: DataFrame, plan: Plan, cell_windows: int, tile_rows: int) -> DataFrame:
@@ -105,8 +118,8 @@ def placed(points: DataFrame, plan: Plan, cell_windows: int, tile_rows: int) ->
     by_grid = F.expr(
         f"explode(transform(sequence(0, {plan.grids - 1}), g -> named_struct('grid', g, 'x', q[2 * g], 'y', q[2 * g + 1])))"
     )
-    at = points.select("node", "weight", "width", "low", "v", by_grid.alias("p")).selectExpr(
-        "node", "weight", "width", "low", "v", "p.grid as grid",
+    at = points.select("node", "width", "low", by_grid.alias("p")).selectExpr(
+        "node", "width", "low", "p.grid as grid",
         f"cast(floor(p.x / {cell}) as int) as cx", f"cast(floor(p.y / {cell}) as int) as cy",
         f"cast(pmod(p.x, {cell}) as int) as dx", f"cast(pmod(p.y, {cell}) as int) as dy",
     )
@@ -120,125 +133,184 @@ def placed(points: DataFrame, plan: Plan, cell_windows: int, tile_rows: int) ->
     )
     crowded = at.groupBy("width", "grid", "cx", "cy").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("tiles"))
     crowded = stored(crowded.where("tiles > 1"), "embeddings-crowded").toDF("width", "grid", "x", "y", "tiles")
-    rows = at.select("node", "weight", "width", "low", "v", "grid", F.explode(visits).alias("to")).select(
-        "node", "weight", "width", "low", "v", "grid", "to.by", "to.x", "to.y"
+    rows = at.select("node", "width", "low", "grid", F.explode(visits).alias("to")).select(
+        "node", "width", "low", "grid", "to.by", "to.x", "to.y"
     )
     rows = rows.join(crowded, ["width", "grid", "x", "y"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     last = F.when(F.col("by") == 0, own).otherwise(F.col("tiles") - 1)
     rows = rows.withColumn("own", own).withColumn("tile", F.explode(F.sequence(F.lit(0), last)))
     visit = (~((F.col("by") == 0) & (F.col("own") == F.col("tile")))).cast("int")
-    return rows.select("width", "grid", "x", "y", "tile", visit.alias("visit"), "node", "weight", "low", "v")
+    return rows.select(*TILE, visit.alias("visit"), "node", "low")
+
 
+def by_tile(rows: DataFrame) -> DataFrame:
+    """All rows of a tile in one task, its own points first."""
+    return rows.repartition(*TILE).sortWithinPartitions(*TILE, "visit")
 
-def verified(batches: Iterator[pa.RecordBatch], plan: Plan, threshold: float, cell_windows: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by tile, its own points first: ``a, b`` of links that connect, and ``a, n`` of link counts.
 
-    A pair counts in the first grid that brings it together only. Per tile a task
-    holds the tile's own points (bounded) and one batch of visitors; dense groups
-    are counted, not listed.
+class Tiles:
+    """Rows of sorted tiles: each tile's own points (bounded), then its visitors batch by batch.
+
+    Both sides lie along the grid's first line; ``x`` counts its steps from one window before the cell.
     """
-    current, parts, own, label = None, [], None, None
-    dims = 2 * plan.grids
 
-    def by_line(side):
-        """The rows sorted along the grid's first line; ``x`` counts its steps from one window before the cell."""
-        x = side["low"][:, 2 * current[1]] - np.uint8((current[2] * cell_windows * UNIT - UNIT) & 255)
+    def __init__(self, plan: Plan, cell_windows: int):
+        self.plan, self.cell = plan, cell_windows * UNIT
+
+    def along(self, tile: tuple, side: dict) -> dict:
+        x = side["low"][:, 2 * tile[1]] - np.uint8((tile[2] * self.cell - UNIT) & 255)
         order = np.argsort(x, kind="stable")
         return {k: v[order] for k, v in side.items()} | {"x": x[order].astype(np.int16)}
 
-    def near(left, right, skip_lower: bool):
-        """Index pairs of verified links, ``first`` telling those that no earlier grid has met; both sides sorted."""
+    def walk(self, batches: Iterator[pa.RecordBatch], columns) -> Iterator[tuple[tuple, dict, dict | None]]:
+        """``tile, own, None`` once a tile and then ``tile, own, visitors`` for each batch of these.
+
+        ``columns`` makes arrays from a slice of a batch and its vectors' width.
+        """
+        current, parts, own = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)], 1)
+            visit = batch.column(5).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1
+            for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(keys)]):
+                tile = tuple(keys[lo].tolist())
+                if current != tile:
+                    if own is None and parts:
+                        yield current, self.along(current, joined(parts)), None
+                    current, parts, own = tile, [], None
+                part = columns(batch.slice(lo, hi - lo), tile[0])
+                first = int(np.searchsorted(visit[lo:hi], 1))
+                if first:
+                    parts.append({k: v[:first] for k, v in part.items()})
+                if first == hi - lo or not parts:
+                    continue
+                if own is None:
+                    own = self.along(current, joined(parts))
+                    yield current, own, None
+                yield current, own, self.along(current, {k: v[first:] for k, v in part.items()})
+        if own is None and parts:
+            yield current, self.along(current, joined(parts)), None
+
+    def candidates(self, tile: tuple, left: dict, right: dict | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Index pairs that collide often enough and that no earlier grid brings together; each pair of one side once."""
+        among, right, grid = right is None, left if right is None else right, tile[1]
         step = max(1, min(256, BLOCK // max(1, len(right["node"]))))
-        span = np.uint8(2 * UNIT)
+        span, dims = np.uint8(2 * UNIT), 2 * self.plan.grids
         for lo in range(0, len(left["node"]), step):
             ours, x = left["low"][lo : lo + step], left["x"][lo : lo + step]
             start = int(np.searchsorted(right["x"], x[0] - UNIT))
-            if skip_lower:
+            if among:
                 start = max(start, lo + 1)
             theirs = right["low"][start : int(np.searchsorted(right["x"], x[-1] + UNIT, side="right"))]
             if not len(theirs):
                 continue
             columns = np.ascontiguousarray(theirs.T)
             count = np.zeros((len(ours), len(theirs)), np.uint8)
-            for k in range(plan.lines):
-                shifted = ours[:, k, None] + np.uint8(UNIT) - columns[k]
-                count += shifted <= span
-            i, j = np.nonzero(count >= plan.hits)
-            j = j + start
-            if skip_lower:
-                keep = i + lo < j
-                i, j = i[keep], j[keep]
+            for k in range(self.plan.lines):
+                count += ours[:, k, None] + np.uint8(UNIT) - columns[k] <= span
+            i, j = np.nonzero(count >= self.plan.hits)
+            i, j = i + lo, j + start
+            if among:
+                i, j = i[i < j], j[i < j]
             for s in range(0, len(i), 1 << 16):
-                a, b = i[s : s + (1 << 16)] + lo, j[s : s + (1 << 16)]
-                close = np.einsum("ij,ij->i", left["v"][a], right["v"][b]) >= threshold
-                a, b = a[close], b[close]
-                grid = current[1]
+                a, b = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
                 apart = left["low"][a, :dims] + np.uint8(UNIT) - right["low"][b, :dims] > span
                 met = ~(apart[:, 0::2] | apart[:, 1::2])
-                here = met[:, grid]
-                yield a[here], b[here], ~met[here, :grid].any(axis=1)
+                here = met[:, grid] & ~met[:, :grid].any(axis=1)
+                if here.any():
+                    yield a[here], b[here]
 
-    def out(a, b, n):
+
+def joined(parts: list[dict]) -> dict:
+    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+
+
+def numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def involved(batches: Iterator[pa.RecordBatch], plan: Plan, cell_windows: int) -> Iterator[pa.RecordBatch]:
+    """Of each tile, the points and visitors that have a candidate there, by projections alone."""
+    tiles = Tiles(plan, cell_windows)
+
+    def columns(rows, width):
+        return {"node": numbers(rows.column(6)), "low": matrix_of(rows.column(7), np.uint8, plan.lines)}
+
+    def out(tile, side, marked, visit):
+        at = np.flatnonzero(marked)
+        key = [pa.array(np.full(len(at), k), pa.int32()) for k in tile]
         return pa.RecordBatch.from_arrays(
-            [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["a", "b", "n"]
+            [*key, pa.array(np.full(len(at), visit), pa.int32()), pa.array(side["node"][at], pa.int64())], [*TILE, "visit", "node"]
         )
 
+    tile = own = marked = None
+    for at, points, visitors in tiles.walk(batches, columns):
+        if own is not points:
+            if own is not None:
+                yield out(tile, own, marked, 0)
+            tile, own, marked = at, points, np.zeros(len(points["node"]), bool)
+        guests = None if visitors is None else np.zeros(len(visitors["node"]), bool)
+        for i, j in tiles.candidates(tile, own, visitors):
+            marked[i] = True
+            (marked if guests is None else guests)[j] = True
+        if guests is not None:
+            yield out(tile, visitors, guests, 1)
+    if own is not None:
+        yield out(tile, own, marked, 0)
+
+
+def verified(batches: Iterator[pa.RecordBatch], plan: Plan, threshold: float, cell_windows: int, single: bool) -> Iterator[pa.RecordBatch]:
+    """``a, b`` of links that connect, and ``a, n`` of link counts; dense groups are counted, not listed."""
+    tiles, kind = Tiles(plan, cell_windows), np.float32 if single else np.float64
+
+    def columns(rows, width):
+        return {
+            "node": numbers(rows.column(6)),
+            "weight": numbers(rows.column(7)),
+            "low": matrix_of(rows.column(8), np.uint8, plan.lines),
+            "v": units(matrix_of(rows.column(9), kind, width)),
+        }
+
+    def out(a, b, n):
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["a", "b", "n"])
+
     def counts(side, links):
         at = np.flatnonzero(links)
         return out(side["node"][at], np.full(len(at), -1), links[at].astype(np.int64))
 
-    def settle():
-        nonlocal own, label
-        own = by_line({k: np.concatenate([p[k] for p in parts]) for k in parts[0]})
+    def links_of(tile, left, right):
+        for i, j in tiles.candidates(tile, left, right):
+            close = np.einsum("ij,ij->i", left["v"][i], (left if right is None else right)["v"][j]) >= threshold
+            yield i[close], j[close]
+
+    label = None
+    for tile, own, visitors in tiles.walk(batches, columns):
         size = len(own["node"])
-        label, links = np.arange(size), np.zeros(size)
-        for i, j, first in near(own, own, True):
-            links += np.bincount(i[first], own["weight"][j[first]], size) + np.bincount(j[first], own["weight"][i[first]], size)
-            apart = label[i] != label[j]
-            pairs = np.unique(np.stack([label[i], label[j]], 1)[apart], axis=0)
-            if len(pairs):
-                label = forest(size, np.r_[pairs[:, 0], np.arange(size)], np.r_[pairs[:, 1], label])
-        at = np.flatnonzero(label != np.arange(size))
-        yield out(own["node"][label[at]], own["node"][at], np.zeros(len(at)))
-        yield counts(own, links)
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)], 1)
-        visit = batch.column(5).to_numpy(zero_copy_only=False)
-        rows = {"node": batch.column(6).to_numpy(zero_copy_only=False), "weight": batch.column(7).to_numpy(zero_copy_only=False)}
-        rows["low"] = matrix_of(batch.column(8), np.uint8, plan.lines)
-        widths = keys[:, 0]
-        cuts = np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1
-        for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(keys)]):
-            part = {k: v[lo:hi] for k, v in rows.items()}
-            part["v"] = matrix_of(batch.column(9).slice(lo, hi - lo), np.float64, int(widths[lo]))
-            if current != tuple(keys[lo]):
-                if own is None and parts:
-                    yield from settle()
-                current, parts, own = tuple(keys[lo].tolist()), [], None
-            first = int(np.searchsorted(visit[lo:hi], 1))
-            if first:
-                parts.append({k: v[:first] for k, v in part.items()})
-            if first == hi - lo or not parts:
-                continue
-            if own is None:
-                yield from settle()
-            guests = by_line({k: v[first:] for k, v in part.items()})
-            ours, theirs = np.zeros(len(own["node"])), np.zeros(len(guests["node"]))
-            seen = [np.empty((0, 2), np.int64)]
-            for i, j, new in near(own, guests, False):
-                ours += np.bincount(i[new], guests["weight"][j[new]], len(ours))
-                theirs += np.bincount(j[new], own["weight"][i[new]], len(theirs))
-                seen.append(np.unique(np.stack([label[i], j], 1), axis=0))
-            met = np.unique(np.concatenate(seen), axis=0)
-            yield out(own["node"][met[:, 0]], guests["node"][met[:, 1]], np.zeros(len(met)))
+        ours = np.zeros(size)
+        if visitors is None:
+            label = np.arange(size)
+            for i, j in links_of(tile, own, None):
+                ours += np.bincount(i, own["weight"][j], size) + np.bincount(j, own["weight"][i], size)
+                apart = label[i] != label[j]
+                pairs = np.unique(np.stack([label[i], label[j]], 1)[apart], axis=0)
+                if len(pairs):
+                    label = forest(size, np.r_[pairs[:, 0], np.arange(size)], np.r_[pairs[:, 1], label])
+            at = np.flatnonzero(label != np.arange(size))
+            yield out(own["node"][label[at]], own["node"][at], np.zeros(len(at)))
             yield counts(own, ours)
-            yield counts(guests, theirs)
-    if own is None and parts:
-        yield from settle()
+            continue
+        theirs, seen = np.zeros(len(visitors["node"])), [np.empty((0, 2), np.int64)]
+        for i, j in links_of(tile, own, visitors):
+            ours += np.bincount(i, visitors["weight"][j], size)
+            theirs += np.bincount(j, own["weight"][i], len(theirs))
+            seen.append(np.unique(np.stack([label[i], j], 1), axis=0))
+        met = np.unique(np.concatenate(seen), axis=0)
+        yield out(own["node"][met[:, 0]], visitors["node"][met[:, 1]], np.zeros(len(met)))
+        yield counts(own, ours)
+        yield counts(visitors, theirs)
 
 
 def embedding_groups(
@@ -261,32 +333,30 @@ def embedding_groups(
     An empty table gives an empty result.
     """
     plan = plan or Plan.calibrated(threshold)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    usable = rows.where("id is not null and vector is not null and size(vector) > 0")
-    distinct = stored(usable.groupBy("vector").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("weight")), "embeddings-distinct")
-    points = stored(projected(distinct.select("node", "weight", "vector"), plan, seed), "embeddings-points")
-    sorted_rows = (
-        placed(points, plan, cell_windows, tile_rows)
-        .repartition("width", "grid", "x", "y", "tile")
-        .sortWithinPartitions("width", "grid", "x", "y", "tile", "visit")
+    given = vectors.schema[vector_col].dataType
+    single = isinstance(given, T.ArrayType) and given.elementType == T.FloatType()
+    rows = vectors.select(
+        F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("vector")
     )
-    found = stored(sorted_rows.mapInArrow(lambda b: verified(b, plan, threshold, cell_windows), "a long, b long, n long"), "embeddings-links")
+    known = stored(projected(rows, plan, seed, single), "embeddings-projected")
+    same = [F.first(c).alias(c) for c in ("width", "q", "low", "v")]
+    distinct = known.where("digest is not null").groupBy("digest").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("weight"), *same)
+    points = stored(distinct, "embeddings-points")
+    tiles = by_tile(placed(points, plan, cell_windows, tile_rows))
+    shape = ", ".join(f"{c} int" for c in (*TILE, "visit"))
+    met = stored(tiles.mapInArrow(lambda b: involved(b, plan, cell_windows), f"{shape}, node long"), "embeddings-involved")
+    whole = met.join(points.select("node", F.col("width").alias("_width"), "weight", "low", "v"), "node").where("width = _width")
+    whole = by_tile(whole.select(*TILE, "visit", "node", "weight", "low", "v"))
+    found = stored(whole.mapInArrow(lambda b: verified(b, plan, threshold, cell_windows, single), "a long, b long, n long"), "embeddings-links")
     grouped = components(found.where("b >= 0").select("a", "b"), "embeddings")
     links = found.where("b < 0").groupBy(F.col("a").alias("linked")).agg(F.sum("n").alias("n"))
     per_point = (
-        points.select("node", "weight")
+        points.select("digest", "node", "weight")
         .join(grouped.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
         .join(links, F.col("node") == F.col("linked"), "left")
-        .select("node", F.coalesce("component", "node").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"))
-    )
-    by_vector = distinct.join(per_point, "node").select("vector", "component", "n")
-    by_vector = stored(by_vector, "embeddings-groups")
-    joined = rows.join(by_vector, "vector", "left")
-    known = F.col("id").isNotNull()
-    component = F.coalesce(F.when(known, F.col("component")), F.col("id"))
-    return joined.select(
-        "id",
-        F.when(known, F.coalesce("n", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"),
+        .select("digest", F.coalesce("component", "node").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     )
+    linked = known.where("digest is not null").select("id", "digest").join(stored(per_point, "embeddings-groups"), "digest")
+    alone = known.where("digest is null").selectExpr("id", "0L as n_links", "id as component_id")
+    result = linked.select("id", "n_links", "component_id").unionByName(alone)
+    return result.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))

@@ -165,6 +165,20 @@ def test_embeddings_find_nearly_all_links_and_no_others(spark, vectors, tile_row
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
 
 
+def test_embeddings_repeated_in_both_widths_of_numbers(spark, vectors):
+    """Copies count as rows of their own; doubles are compared as doubles, zeros of either sign are equal."""
+    some = [[float(np.float32(x)) for x in v] for v in vectors[:60]]
+    some[0][0] = 0.0
+    rows = [(i, v) for i, v in enumerate(some)] + [(100 + i, [-0.0, *some[0][1:]]) for i in range(5)] + [(None, some[0]), (7, some[7])]
+    found = []
+    for kind in ("float", "double"):
+        frame = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+        found.append(sorted(map(str, embeddings.embedding_groups(frame).collect())))
+    assert found[0] == found[1] and len(found[0]) == len(rows)
+    links = {r.id: r.n_links for r in embeddings.embedding_groups(frame).collect() if r.id is not None}
+    assert min(links[0], links[100]) >= 5 and links[7] >= 1
+
+
 def test_embeddings_of_nothing_and_plan(spark):
     assert embeddings.embedding_groups(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     plan = embeddings.Plan.calibrated(0.95)
