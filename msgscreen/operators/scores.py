@@ -43,10 +43,11 @@ def learn_lexicon(
     grows with the evidence, and a threshold tells strong marks from weak ones.
     Words are chosen by evidence alone, however many there are.
     """
-    # Should the join need a shuffle, distinct words travel in place of texts.
-    held = documents.select("doc_id", F.array_distinct(words(F.col("text"))).alias("held"))
-    labelled = held.join(labels.select("doc_id", "toxic"), "doc_id")
-    seen = labelled.select((F.col("toxic") == 1).cast("long").alias("t"), F.explode("held").alias("word"))
+    # The labels may be as many as the documents, so they are never broadcast. Distinct
+    # words travel in place of texts, joined, as an array takes twice the room.
+    held = documents.select("doc_id", F.array_join(F.array_distinct(words(F.col("text"))), " ").alias("held")).where("held <> ''")
+    labelled = held.join(labels.select("doc_id", "toxic").hint("merge"), "doc_id")
+    seen = labelled.select((F.col("toxic") == 1).cast("long").alias("t"), F.explode(F.split("held", " ")).alias("word"))
     counts = seen.groupBy("word").agg(F.sum("t").alias("toxic_docs"), F.sum(1 - F.col("t")).alias("clean_docs"))
     totals = labels.agg(
         F.sum(F.col("toxic").cast("long")).alias("n_toxic"),
