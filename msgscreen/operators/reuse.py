@@ -162,7 +162,7 @@ def scan_reusing(
     table. Texts whose scan failed are returned but never reused, so that the next run
     tries them again. A new version of ``models`` needs a new ``models_version``.
     """
-    from ..plans.scan import RESPONSE_COLUMNS, decide, detect, error_columns, gate, scan, too_long
+    from ..plans.scan import RESPONSE_COLUMNS, decide, detect, error_columns, gate, scan_over_long, too_long
     from .routing import accepted
 
     keys = [c for c in df.columns if c != "message"]
@@ -193,6 +193,6 @@ def scan_reusing(
         results = fresh if known is None else known.select("_key", "_salts", *columns).unionByName(fresh.select("_key", "_salts", *columns))
         return results.select("_key", "_salts", F.col("original_prompt").alias("message"), *columns)
 
-    rows, over = accepted(df), too_long(config)
-    reused = per_distinct_text(rows.where(f"not ({over})"), work, stored_results=True).select(*keys, *columns)
-    return reused.unionByName(scan(rows.where(over), config, lexicon, **models).select(*keys, *columns))
+    rows = accepted(df)
+    reused = per_distinct_text(rows.where(f"not ({too_long(config)})"), work, stored_results=True).select(*keys, *columns)
+    return reused.unionByName(scan_over_long(rows, config, **models))

@@ -156,6 +156,14 @@ def scan(df: DataFrame, config: ScreenConfig = ScreenConfig(), lexicon: DataFram
     return scan_wide(df, config, lexicon, **models).select(*keys, *RESPONSE_COLUMNS, *extra)
 
 
+def scan_over_long(df: DataFrame, config: ScreenConfig = ScreenConfig(), **models) -> DataFrame:
+    """The responses of ``scan`` to its over-long messages: no scanner gets a text, so patterns and lexicon fold away."""
+    keys = [c for c in df.columns if c != "message"]
+    none = F.lit(None).cast("string")
+    gated = gate(df.where(too_long(config)), config).withColumns({"scan_text": none, "model_text": none})
+    return decide(detect(gated, config, **models), config).select(*keys, *RESPONSE_COLUMNS, *error_columns(models))
+
+
 def scan_distinct(df: DataFrame, config: ScreenConfig = ScreenConfig(), lexicon: DataFrame | None = None, **models) -> DataFrame:
     """The same responses with every distinct text scanned once; over-long ones, which no scanner sees, stay where they are.
 
@@ -172,9 +180,9 @@ def scan_distinct(df: DataFrame, config: ScreenConfig = ScreenConfig(), lexicon:
             "_key", "_salts", "message", *RESPONSE_COLUMNS, *extra
         )
 
-    rows, over = routing.accepted(df), too_long(config)
-    out = per_distinct_text(rows.where(f"not ({over})"), work).select(*keys, *RESPONSE_COLUMNS, *extra)
-    return out.unionByName(scan(rows.where(over), config, lexicon, **models))
+    rows = routing.accepted(df)
+    out = per_distinct_text(rows.where(f"not ({too_long(config)})"), work).select(*keys, *RESPONSE_COLUMNS, *extra)
+    return out.unionByName(scan_over_long(rows, config, **models))
 
 
 def flatten(responses: DataFrame, *keys: str) -> DataFrame:
