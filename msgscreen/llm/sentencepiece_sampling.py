@@ -9,14 +9,15 @@ k-th best known one can't win and are dropped at once, so k regions are kept at
 
 The vocabulary file is a parameter. Its pieces carry merge ranks, not probabilities;
 those are set to fall with the rank (Zipf), tempered by ``sharpness``.
+
+Texts of ordinary words are searched a batch at a time (``segmentation_batches``); one with
+a word of over 256 characters by itself, as the batch takes a step per edge of its longest word.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import struct
-import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -27,9 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .segmentation_batches import Lattices, ranges, search
+
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 CACHED_CHARS, CACHED_UNITS = 40, 30_000
+BATCH_CHARS, TOGETHER_CHARS = 1_000_000, 256  # of the texts, and of a unit, that are searched together
 RANK_SHIFT = 10.0
 
 
@@ -54,6 +58,12 @@ class Sampler:
         # A piece that goes on after a space would make words depend on each other.
         self.split = not any(SPACE in p.lstrip(SPACE) for p in self.known)
         self.cache: dict[str, list] = {}
+        self.shown = [p.replace(SPACE, " ").encode() for p in self.pieces]
+        for b, i in self.bytes.items():
+            self.shown[i] = bytes([b])
+        sizes = np.array(list(map(len, self.shown)), np.int64)
+        self.shown_bytes = np.cumsum(sizes) - sizes, sizes, np.frombuffer(b"".join(self.shown), np.uint8)
+        self.lattices: Lattices | None = None
 
     def lattice(self, unit: str) -> list:
         """Per position: running probabilities, and edges ``(end, ids, log p, log of the rest)`` given that position."""
@@ -157,26 +167,60 @@ class Sampler:
             answer.append(([x for ids in unrolled(trail, path) for x in ids], logp, chance))
         return answer
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of a segmentation: pieces joined, bytes put together, the first space mark taken off."""
-        byte_of = self.byte_values()
-        parts, raw = [], bytearray()
-        for i in ids:
-            if i in byte_of:
-                raw.append(byte_of[i])
+    def sample_many(self, texts: list[str], k: int, seeds: list[int]) -> tuple[np.ndarray, ...]:
+        """``text, rank, ids, offsets, log p, inclusion`` of up to ``k`` segmentations of each text, by text and rank.
+
+        Texts of ordinary units are searched together, those with a longer one by themselves.
+        """
+        marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
+        units = [UNIT.findall(m) if self.split else [m] if m else [] for m in marked]
+        alone = [t for t, own in enumerate(units) if own and max(map(len, own)) > TOGETHER_CHARS]
+        if self.lattices is None:
+            self.lattices = Lattices(self.known, self.byte_cost)
+        for t in alone:
+            units[t] = []
+        text, rank, symbols, offsets, log_p, inclusion = search(self.lattices, units, seeds, k)
+        ids, offsets = self.ids_of(symbols, offsets)
+        if not alone:
+            return text, rank, ids, offsets, log_p, inclusion
+        parts = []
+        for t in range(len(texts)):
+            if t in set(alone):
+                parts += [(t, r, np.array(i, np.int64), p, c) for r, (i, p, c) in enumerate(self.sample(texts[t], k, seeds[t]))]
             else:
-                if raw:
-                    parts.append(raw.decode("utf-8", "replace"))
-                    raw = bytearray()
-                parts.append(self.pieces[i].replace(SPACE, " "))
-        if raw:
-            parts.append(raw.decode("utf-8", "replace"))
-        return "".join(parts).removeprefix(" ")
+                lo, hi = np.searchsorted(text, (t, t + 1))
+                parts += [(t, rank[j], ids[offsets[j] : offsets[j + 1]], log_p[j], inclusion[j]) for j in range(lo, hi)]
+        text, rank, ids, log_p, inclusion = zip(*parts)
+        return np.array(text), np.array(rank), np.concatenate(ids), np.append(0, np.cumsum(list(map(len, ids)))), np.array(log_p), np.array(inclusion)
 
-    def byte_values(self) -> dict[int, int]:
-        if not hasattr(self, "_byte_values"):
-            self._byte_values = {i: b for b, i in self.bytes.items()}
-        return self._byte_values
+    def ids_of(self, symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols with characters without a piece written as the ids of their bytes."""
+        raw = symbols < 0
+        if not raw.any():
+            return symbols, offsets
+        chars = [chr(-1 - s).encode("utf-8", "surrogatepass") for s in symbols[raw].tolist()]
+        counts = np.ones(len(symbols), np.int64)
+        counts[raw] = list(map(len, chars))
+        ids = np.repeat(symbols, counts)
+        ids[ids < 0] = [self.bytes[b] for b in b"".join(chars)]
+        return ids, np.append(0, np.cumsum(counts))[offsets]
+
+    def round_trips(self, texts: list[str], row: np.ndarray, ids: np.ndarray, offsets: np.ndarray) -> list[bool]:
+        """Whether each segmentation decodes to its text, space marks as spaces."""
+        start, size, flat = self.shown_bytes
+        ends = np.append(0, np.cumsum(size[ids]))[offsets].tolist()
+        decoded = flat[ranges(start[ids], size[ids])].tobytes()
+        wanted = [t.replace(SPACE, " ") for t in texts]
+        raw = [t.encode() for t in wanted]
+        answer = []
+        for i, t in enumerate(row.tolist()):
+            same = decoded[ends[i] : ends[i + 1]].removeprefix(b" ") == raw[t]
+            answer.append(same or self.decode(ids[offsets[i] : offsets[i + 1]].tolist()) == wanted[t])
+        return answer
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of a segmentation: pieces joined, bytes put together, the first space mark taken off."""
+        return b"".join(map(self.shown.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
 
 
 def unrolled(trail: tuple, path: list) -> list:
@@ -204,27 +248,34 @@ def sampled_segmentations(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(model_file, sharpness)
         for batch in batches:
-            out = {c: [] for c in ("row", "rank", "ids", "log_p", "inclusion", "round_trip")}
-            for row, (key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                for rank, (ids, logp, chance) in enumerate(sampler.sample(text, k, xxhash.xxh64_intdigest(key.encode(), seed))):
-                    for c, v in zip(out, (row, rank, ids, logp, chance, sampler.decode(ids) == text.replace(SPACE, " "))):
-                        out[c].append(v)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(out["row"], pa.int64())),
-                    pa.array(out["rank"], pa.int32()),
-                    pa.array(out["ids"], pa.list_(pa.int32())),
-                    pa.array(out["log_p"], pa.float64()),
-                    pa.array(out["inclusion"], pa.float64()),
-                    pa.array(out["round_trip"], pa.bool_()),
-                ],
-                ["key", "rank", "ids", "log_p", "inclusion", "round_trip"],
-            )
+            keys_, texts = batch.column(0), batch.column(1).to_pylist()
+            seeds = [xxhash.xxh64_intdigest(key.encode(), seed) for key in keys_.to_pylist()]
+            for lo, hi in runs_of(list(map(len, texts)), BATCH_CHARS):
+                row, rank, ids, offsets, log_p, inclusion = sampler.sample_many(texts[lo:hi], k, seeds[lo:hi])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        keys_.take(pa.array(row + lo)),
+                        pa.array(rank.astype(np.int32)),
+                        pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32))),
+                        pa.array(log_p),
+                        pa.array(inclusion),
+                        pa.array(sampler.round_trips(texts[lo:hi], row, ids, offsets)),
+                    ],
+                    ["key", "rank", "ids", "log_p", "inclusion", "round_trip"],
+                )
 
     key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys))
     rows = docs.select(key.alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "key string, rank int, ids array<int>, log_p double, inclusion double, round_trip boolean")
 
 
-def ids_crc32(ids) -> int:
-    return zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
+def runs_of(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Rows cut into runs of at most ``most`` in size, or of a single row."""
+    lo, total = 0, 0
+    for i, size in enumerate(sizes):
+        if i > lo and total + size > most:
+            yield lo, i
+            lo, total = i, 0
+        total += size
+    if sizes:
+        yield lo, len(sizes)

@@ -352,6 +352,64 @@ def test_samples_decode_to_the_text(sampler, text):
     assert all(sampler.decode(ids) == text for ids, _, _ in got) and got == sampler.sample(text, 3, 5)
 
 
+def segmentations(sampler, texts, k, seeds):
+    row, rank, ids, offsets, log_p, inclusion = sampler.sample_many(texts, k, seeds)
+    assert all(sampler.round_trips(texts, row, ids, offsets))
+    out = [[] for _ in texts]
+    for i, t in enumerate(row.tolist()):
+        assert rank[i] == len(out[t])
+        out[t].append((tuple(ids[offsets[i] : offsets[i + 1]].tolist()), log_p[i], inclusion[i]))
+    return out
+
+
+def test_batches_of_samples_are_distinct_and_follow_the_distribution(sampler):
+    n, k = 20_000, 3
+    every = all_segmentations(sampler, "the it")
+    best = max(every, key=every.get)
+    first, pairs, held, weight = collections.Counter(), 0, collections.Counter(), collections.Counter()
+    for got in segmentations(sampler, ["the it"] * n, k, list(range(n))):
+        assert len({ids for ids, *_ in got}) == k
+        assert all(abs(every[ids] - p) < 1e-8 and 0 < c <= 1 for ids, p, c in got)
+        first[got[0][0]] += 1
+        pairs += got[0][0] != best and got[1][0] == best
+        for ids, p, c in got:
+            held[ids] += 1
+            weight[ids] += np.exp(p) / c
+    for ids, logp in every.items():
+        p = np.exp(logp)
+        assert abs(first[ids] / n - p) < 5 * np.sqrt(p * (1 - p) / n) + 1e-3
+    top = np.exp(every[best])
+    want = sum(np.exp(q) * top / (1 - np.exp(q)) for q in every.values() if np.exp(q) < top)
+    assert abs(pairs / n - want) < 0.02
+    # Shares divided by inclusion scores estimate the share of a segmentation, and all together one.
+    assert abs(weight[best] / n - top) < 0.02 and abs(sum(weight.values()) / n - 1) < 0.03
+    # The single search draws from the same distribution.
+    alone = collections.Counter(tuple(ids) for seed in range(4000) for ids, *_ in sampler.sample("the it", k, seed))
+    assert all(abs(held[ids] / n - alone[ids] / 4000) < 0.04 for ids in every)
+
+
+def test_all_segmentations_of_a_small_text_come_out(sampler):
+    for text in ("a", "it", "é", "\U0001f600"):
+        every = all_segmentations(sampler, text)
+        (got,) = segmentations(sampler, [text], len(every) + 5, [3])
+        assert {ids for ids, *_ in got} == set(every) and all(c == 1 for *_, c in got)
+
+
+def test_samples_do_not_depend_on_the_batch(sampler):
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcdeitnos  \u2581é日\U0001f600\t"))
+    texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(150)] + ["", " ", "x" * 700 + " the", "word " * 3000, "the it", "the it"]
+    seeds = [*range(len(texts) - 1), len(texts) - 2]
+    together = segmentations(sampler, texts, 4, seeds)
+    assert together[-1] == together[-2]
+    assert all(len({ids for ids, *_ in got}) == len(got) for got in together)
+    assert together[150] == [((), 0.0, 1.0)]
+    sampler.lattices.clear()
+    order = rng.permutation(len(texts))
+    apart = {int(t): segmentations(sampler, [texts[t]], 4, [seeds[t]])[0] for t in order}
+    assert [apart[t] for t in range(len(texts))] == together
+
+
 def test_sampling_query_edges(spark):
     frame = spark.createDataFrame([(1, None), (1, "hi"), (None, "hi"), (1, "hi")], "k long, text string").withColumn("key", F.lit("clash"))
     file = queries.tokenizer_file("piece_bpe_32k.model")
