@@ -16,7 +16,7 @@ import math
 import numpy as np
 
 SHARE_BITS, LOG_BITS = 40, 36
-KEPT_UNITS = 120_000  # lattices kept from batch to batch; beyond it the next batch starts anew
+KEPT_UNITS = 200_000  # lattices kept from batch to batch; beyond it the next batch starts anew
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 EDGES, SPLITS = 0, 1  # what a draw is for
 
@@ -28,9 +28,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def drawn(seeds: np.ndarray, turn: int, purpose: int, places: np.ndarray) -> np.ndarray:
+def seeded(seeds: np.ndarray, turn: int, purpose: int) -> np.ndarray:
+    """Seeds of the draws of a round for one purpose."""
+    return mixed(seeds + np.array([2 * turn + purpose + 1], np.uint64) * GOLDEN)
+
+
+def drawn(seeds: np.ndarray, places: np.ndarray) -> np.ndarray:
     """64 random bits for each place."""
-    return mixed(mixed(seeds + np.array([2 * turn + purpose + 1], np.uint64) * GOLDEN) + (places + 1).astype(np.uint64) * GOLDEN)
+    return mixed(seeds + (places + 1).astype(np.uint64) * GOLDEN)
 
 
 def open_unit(bits: np.ndarray) -> np.ndarray:
@@ -206,7 +211,7 @@ def search(lattices: Lattices, units: list[list[str]], seeds: list[int], k: int)
         place -= np.repeat(place[(unit_end - n_units)[has]], n_units[has])
 
     # A region: (value, start in the pool of the path it leaves, edges kept of it, unit, node, closed edges, log p so far)
-    firsts = -np.log(-np.log(open_unit(drawn(seeds, 0, SPLITS, np.full(n, -1)))))
+    firsts = -np.log(-np.log(open_unit(drawn(seeded(seeds, 0, SPLITS), np.full(n, -1)))))
     regions = [[(v, 0, 0, e - m, unit_node[e - m] if m else -1, (), 0)] for v, e, m in zip(firsts.tolist(), unit_end.tolist(), n_units.tolist())]
     for t in np.flatnonzero(n_units == 0).tolist():
         regions[t] = []
@@ -230,12 +235,12 @@ def search(lattices: Lattices, units: list[list[str]], seeds: list[int], k: int)
         first = np.cumsum(walks) - walks
         at = unit_node[walker]
         at[first] = node
-        who = np.arange(len(walker))
+        who, unit_place = np.arange(len(walker)), place[walker] - unit_node[walker]
+        unit_seed = seeded(seeds[texts], turn, EDGES)[text_of_walker]
         steps = []
         while len(who):
-            here = place[walker[who]] + at - unit_node[walker[who]]
-            own = texts[text_of_walker[who]]
-            bits = drawn(seeds[own], turn, EDGES, here)
+            here = unit_place[who] + at
+            bits = drawn(unit_seed[who], here)
             edge = lattices.draw(at, bits)
             if not steps:
                 forced = {}
@@ -279,7 +284,7 @@ def search(lattices: Lattices, units: list[list[str]], seeds: list[int], k: int)
         room = k - turn
         spots = (upto - logs) * 2.0**-LOG_BITS + rests
         with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
-            chance = np.log(-np.log(open_unit(drawn(seeds[texts[text]], turn, SPLITS, here))))
+            chance = np.log(-np.log(open_unit(drawn(seeded(seeds[texts], turn, SPLITS)[text], here))))
             bounded = spots - np.logaddexp(spots - value[text], chance)
         floor = np.array([min(regions[t])[0] if len(regions[t]) >= room else -np.inf for t in texts.tolist()])
         alive = np.flatnonzero(bounded > floor[text])
