@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from msgscreen import route, scan
-from msgscreen.sources.messages import MESSAGE_SCHEMA, corpus, read_messages
+from msgscreen.sources.messages import MESSAGE_SCHEMA, corpus, derived_messages, read_messages
 from msgscreen.sources.storage import shared_dir
 from msgscreen.streaming.stream import start_scan, stream_files
 
@@ -76,3 +76,40 @@ def test_stream_partitions_by_route(spark, table, tmp_path):
     start_scan(stream_files(spark, source), scan, out, shared_dir(spark, "checkpoint")).awaitTermination()
     assert {r.route for r in spark.read.parquet(out).select("route").distinct().collect()} == {"forward", "reply"}
     assert spark.read.parquet(out).where(F.col("route") == "reply").first().llm_handoff.violation_type == "secrets"
+
+
+@pytest.fixture()
+def key_tables(spark, tmp_path):
+    """Two key tables of one file and one row group each, copies and a null among the keys, beside two small tables in folders."""
+    where = tmp_path / "tables"
+    keys = "case when id < 300 then 28 when id = 300 then null else id end"
+    rows = spark.range(0, 25_000, 1, 1)
+    made = {
+        "customer": rows.selectExpr(f"{keys} as c_custkey", "'x' as c_name"),
+        "part": rows.selectExpr(f"{keys} as p_partkey", "'Brand#1' as p_brand", "concat('lace ', id) as p_name", "'x' as p_type"),
+        "documents": spark.createDataFrame([(1, "mail a@b.co", "web"), (2, "fine", "web")], "doc_id long, text string, source string"),
+        "conversations": spark.createDataFrame([(1, 0, "hello, Kenji"), (1, 1, "password: x1")], "conv_id long, turn int, text string"),
+        "labels": spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int"),
+    }
+    for name, df in made.items():
+        df.write.parquet(str(where / f"{name}.parquet"))
+    for name in ("customer", "part"):
+        (part,) = (where / f"{name}.parquet").glob("part-*.parquet")
+        (where / f"{name}.parquet").rename(where / f"{name}-folder")
+        (where / f"{name}-folder" / part.name).rename(where / f"{name}.parquet")
+    return str(where)
+
+
+def most_in_a_task(df, prefix):
+    mine = df.select("msg_id", F.spark_partition_id().alias("p")).where(F.coalesce("msg_id", F.lit(prefix)).startswith(prefix))
+    return mine.groupBy("p").count().agg(F.max("count")).first()[0]
+
+
+def test_many_keys_in_one_file_are_scanned_by_many_tasks(spark, key_tables):
+    df = corpus(spark, key_tables)
+    undealt = derived_messages(spark.read.parquet(f"{key_tables}/customer.parquet"))
+    assert rows(df.where("source = 'customer'")) == rows(undealt)
+    assert undealt.count() == 25_000 and most_in_a_task(df, "cust-") < 10_000
+    plan = scan(df)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Repartition 3") :]
+    assert "RLIKE" in plan and "RLIKE" not in below.split("Relation [c_custkey")[0]
