@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from msgscreen import route, scan
-from msgscreen.sources.messages import MESSAGE_SCHEMA, corpus, derived_messages, read_messages
+from msgscreen.plans import registered
+from msgscreen.sources.messages import MESSAGE_SCHEMA, corpus, credential_messages, derived_messages, read_messages
 from msgscreen.sources.storage import shared_dir
 from msgscreen.streaming.stream import start_scan, stream_files
 
@@ -113,3 +114,14 @@ def test_many_keys_in_one_file_are_scanned_by_many_tasks(spark, key_tables):
     plan = scan(df)._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("Repartition 3") :]
     assert "RLIKE" in plan and "RLIKE" not in below.split("Relation [c_custkey")[0]
+
+
+def test_many_credential_keys_are_scanned_by_many_tasks(spark, key_tables):
+    df = registered.with_credentials(spark, key_tables)
+    undealt = credential_messages(spark.read.parquet(f"{key_tables}/part.parquet"))
+    assert rows(df.where("source = 'part'")) == rows(undealt)
+    assert most_in_a_task(df.where("source = 'part'"), "part-") < 10_000
+    found = registered.QUERIES["secret_rules"](spark, key_tables)._jdf.queryExecution().optimizedPlan().toString()
+    below = found[found.index("Repartition 3, true", found.index("p_brand")) :]
+    assert "regexp_extract_all" in found and "regexp_extract_all" not in below.split("Relation [p_partkey")[0]
+    assert "BroadcastHashJoin" not in registered.scan_credentials(spark, key_tables)._jdf.queryExecution().executedPlan().toString()
