@@ -125,3 +125,11 @@ def test_many_credential_keys_are_scanned_by_many_tasks(spark, key_tables):
     below = found[found.index("Repartition 3, true", found.index("p_brand")) :]
     assert "regexp_extract_all" in found and "regexp_extract_all" not in below.split("Relation [p_partkey")[0]
     assert "BroadcastHashJoin" not in registered.scan_credentials(spark, key_tables)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stream_reads_folders_and_deals_out_keys(spark, key_tables):
+    got = registered.stream_scan(spark, key_tables)
+    want = route(scan(corpus(spark, key_tables))).select("msg_id", "route")
+    assert rows(got.select("msg_id", "route")) == rows(want)
+    files = got.where("msg_id like 'cust-%'")
+    assert files.select(F.input_file_name()).distinct().count() >= 6
