@@ -144,6 +144,12 @@ def test_dedup_reads_the_text_shuffle_once(spark, small_dir):
     assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_small_distinct_texts_are_worked_on_by_many_tasks(spark, messages):
+    df = messages(*[f"text {i % 300}" for i in range(600)])
+    out = per_distinct_text(df, lambda t: t.withColumn("task", F.spark_partition_id()))
+    assert out.count() == 600 and out.select("task").distinct().count() == 8
+
+
 def test_environment_sets_thresholds(monkeypatch):
     monkeypatch.setenv("INJECTION_THRESHOLD", "0.6")
     config = ScreenConfig.from_env(max_message_chars=10)
